@@ -10,19 +10,25 @@ from pyspark.sql import types as T
 from memspark.functions import jsjson
 
 # JSON text that Spark's VARIANT prints differently from
-# JavaScript. A match only costs time, so the pattern is generous.
-_NUMBER_START = r"(?:^|[:\[,\s])-?"
-UNUSUAL = "|".join(
-    [
-        _NUMBER_START + r"\d+(?:\.\d+)?[eE][+-]?\d",  # exponent
-        _NUMBER_START + r"(?:\d\.?){16}",  # more digits than a double holds
-        _NUMBER_START + r"0\.000000",  # printed with an exponent
-        r"\\u00[01]",  # control character
-        r"\\\\u",  # hides what the next two alternatives look for
-        r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])",  # high surrogate alone
-        r"(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]",  # low surrogate alone
-    ]
+# JavaScript. A match only costs time, so the patterns are generous.
+# Each alternative starts at a digit, which text seldom has.
+UNUSUAL_NUMBER = (
+    r"[0-9](?<=(?:^|[:\[,\s-])[0-9])(?:"
+    r"[0-9.]*[eE][+-]?[0-9]"  # exponent
+    r"|[0-9.]{15}"  # more digits than a double holds
+    r"|\.000000)"  # printed with an exponent
 )
+UNUSUAL_ESCAPE = (
+    r"\\(?:u00[01]"  # control character
+    r"|\\u"  # hides what the next two alternatives look for
+    r"|u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])"  # high surrogate alone
+    r"|(?<!\\u[dD][89abAB][0-9a-fA-F]{2}\\)u[dD][c-fC-F])"  # low surrogate alone
+)
+
+
+def unusual(raw: Column) -> Column:
+    escapes = F.contains(raw, F.lit("\\u")) & raw.rlike(UNUSUAL_ESCAPE)
+    return raw.rlike(UNUSUAL_NUMBER) | escapes
 
 
 def _exact_text(field: str | None):
@@ -59,7 +65,7 @@ def canonical_json(raw: Column, doc: Column | None = None, field: str | None = N
     """
     doc = F.try_parse_json(raw) if doc is None else doc
     value = doc if field is None else F.try_variant_get(doc, f"$.{field}", "variant")
-    exact = _exact_text(field)(F.when(raw.rlike(UNUSUAL), raw))
+    exact = _exact_text(field)(F.when(unusual(raw), raw))
     return F.coalesce(exact, F.to_json(value))
 
 

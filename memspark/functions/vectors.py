@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.functions.bind import let
+
 SCORE_DIGITS = 6
 
 
@@ -31,15 +33,14 @@ def similarity(a: Column, b: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     """The vector at unit length; the zero vector stays as it is.
 
-    The length sits in a one-element array so that it is worked out once per
-    vector and not once per element.
+    The length is bound first, so it is worked out once per vector and not once
+    per element.
     """
     length = F.sqrt(
         F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     )
     divisor = F.when(length > 0, length).otherwise(1.0)
-    scaled = F.transform(F.array(divisor), lambda n: F.transform(vector, lambda x: x.cast("double") / n))
-    return F.get(scaled, F.lit(0))
+    return let(divisor, lambda n: F.transform(vector, lambda x: x.cast("double") / n))
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], vector: str, out: str = "embedding") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions.canonical import canonical_json
-from memspark.functions.text import TAG_PATTERN, UUID_PATTERN, js_number, js_trim, utf16_length
+from memspark.functions.text import TAG_PATTERN, UUID_PATTERN, js_number, js_trim, longer_than
 from memspark.options import QUERY_LENGTH, SOURCE_LENGTH, TYPE_LENGTH, Options
 from memspark.sources.requests import MALFORMED, MALFORMED_LENGTH
 
@@ -134,7 +134,7 @@ def check_creates(parsed: DataFrame, options: Options = Options()) -> DataFrame:
         (F.col("tags_is").isNotNull() & ~F.col("tags_is").startswith("ARRAY"), TAGS_NOT_ARRAY),
         (F.size(tag_list) > options.max_tags, TAGS_TOO_MANY.format(options.max_tags)),
         (
-            utf16_length(content) > options.max_content_length,
+            longer_than(content, options.max_content_length),
             CONTENT_TOO_LARGE.format(options.max_content_length),
         ),
         (F.col("bad_tag").isNotNull(), _message(TAG_INVALID, F.col("bad_tag"))),
@@ -180,10 +180,11 @@ def check_searches(parsed: DataFrame, options: Options = Options()) -> DataFrame
             "limit_number": F.when(F.col("limit_is").rlike(NUMERIC), F.try_variant_get("limit", "$", "double")),
         }
     )
-    asked = F.least(F.col("limit_number"), F.lit(float(options.max_limit)))
+    # ``least`` skips NULL, but a missing limit must stay NULL here.
+    asked = F.when(F.col("limit_number").isNotNull(), F.least("limit_number", F.lit(float(options.max_limit))))
     error = _first_error(
         (_blank(js_trim(F.col("query_raw"))), QUERY_REQUIRED),
-        (utf16_length(F.col("query_raw")) > QUERY_LENGTH, QUERY_TOO_LONG),
+        (longer_than(F.col("query_raw"), QUERY_LENGTH), QUERY_TOO_LONG),
         (
             F.col("limit_is").isNotNull() & ~F.coalesce(F.col("limit_number") >= 1, F.lit(False)),
             LIMIT_NOT_POSITIVE,

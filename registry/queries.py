@@ -11,7 +11,7 @@ from memspark.functions.canonical import (
     content_hash_hex,
     embedding_key,
 )
-from memspark.functions.lexemes import with_lexemes
+from memspark.functions.lexemes import lexemes as lexemes_of
 from memspark.functions.vectors import l2_normalize, mean_pool, width_ok
 from memspark.operators import browse, merge, shape
 from memspark.operators.embed import HashingEmbedder, distinct_texts, embed_once
@@ -134,7 +134,8 @@ def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_lexemes(V.document_texts(spark, sf_dir)).select("doc_id", F.inline("content_text"))
+    docs = V.document_texts(spark, sf_dir)
+    rows = docs.select("doc_id", F.inline(lexemes_of(F.col("content"), F.col("source"))))
     return rows.select("doc_id", "lexeme", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 

@@ -121,7 +121,7 @@ SELECT doc_id, error,
        CASE WHEN error IS NULL THEN limit_rows END AS limit_rows
 FROM (
   SELECT *,
-    CASE lang WHEN 'en' THEN least(n_chars, 100) WHEN 'de' THEN least(n_chars / 4.0, 100)::INTEGER ELSE 10 END::INTEGER AS limit_rows,
+    CASE lang WHEN 'en' THEN least(n_chars, 100) WHEN 'de' THEN least(n_chars / 4.0, 100)::INTEGER WHEN 'fr' THEN 10 END::INTEGER AS limit_rows,
     CASE
       WHEN n_chars > 1000 THEN 'query length cannot exceed 1000 characters'
       WHEN lang = 'es' THEN 'limit must be a positive number'
