@@ -85,9 +85,8 @@ def content_hash(type_: Column, source: Column, content: Column) -> Column:
 
 def id_from_hash(digest: Column) -> Column:
     """A UUID made of the first half of the hash, so that a retried task gives the same id."""
-    text = F.lower(F.hex(digest))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(text, start, size) for start, size in cuts])
+    # One pattern, so that the hash appears, and is worked out, only once.
+    return F.regexp_replace(F.lower(F.hex(digest)), r"^(.{8})(.{4})(.{4})(.{4})(.{12}).*\z", "$1-$2-$3-$4-$5")
 
 
 def embedding_key(text: Column, model: str) -> Column:

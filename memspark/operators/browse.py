@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from memspark.functions.text import SPACE, SPACES, js_trim
 from memspark.operators.filters import matching
 from memspark.operators.skew import join_salted
-from memspark.operators.validate import check_ids
+from memspark.operators.validate import check_ids, outcome
 from memspark.options import BROWSE_LIMIT, BROWSE_MAX, BROWSE_MIN
+from memspark.sources.scratch import Workspace
 
 LIST_ROW = ["id", "type", "tags", "confidence", "created_at", "updated_at"]
 FULL_ROW = ["id", "type", "content", "source", "tags", "confidence", "created_at", "updated_at"]
@@ -53,14 +54,22 @@ def recent_by_tags(memories: DataFrame, tags: str, limit: int | None = None) ->
     return listed(memories, tags=split_tags(tags)).limit(browse_limit(limit))
 
 
-def get_by_ids(memories: DataFrame, requests: DataFrame, request_id: str = "request_id") -> DataFrame:
+def get_by_ids(
+    memories: DataFrame,
+    requests: DataFrame,
+    request_id: str = "request_id",
+    workspace: Workspace | None = None,
+) -> DataFrame:
     """One row per id request: the full record, or the error.
 
     ``requests`` has a unique ``request_id`` and the wanted ``id``. Each id is
     looked up once; the records are then spread over the requests, and an id
-    that holds most of the requests is spread over many tasks.
+    that holds most of the requests is spread over many tasks. The checked
+    requests are staged, since counting and answering both read them.
     """
+    workspace = workspace or Workspace(requests.sparkSession)
     checked = check_ids(requests.select(request_id, F.col("id").alias("asked")), "asked")
+    checked = workspace.stage(checked, "ids")
     good = checked.filter(F.col("error").isNull()).withColumn("id", F.lower("asked")).drop("error")
     wanted = good.groupBy("id").agg(F.count("*").alias("n"))
     found = memories.select(*FULL_ROW).join(wanted.select("id"), "id", "left_semi")
@@ -102,60 +111,57 @@ def parse_addresses(requests: DataFrame, address: str = "uri") -> DataFrame:
         F.when(has_limit & (number == ""), F.lit("limit must be a number")),
         F.when((view != "item") & (path != "") & decoded.isNull(), F.lit("URI malformed")),
     )
-    return requests.withColumns(
-        {
-            "view": view,
-            "argument": F.when(view == "item", argument).when(view == "recent", F.lit("")).otherwise(decoded),
-            "limit": limit,
-            "error": error,
-        }
-    )
+    argument = F.when(view == "item", argument).when(view == "recent", F.lit("")).otherwise(decoded)
+    return outcome(requests, requests.columns, view=view, argument=argument, limit=limit, error=error)
 
 
-def _shelf_key(kind: Column, key: Column) -> Column:
-    return F.concat(kind, F.lit(":"), key).alias("shelf")
+def _shelves() -> Column:
+    """The lists a record stands in: all records, its type, each of its tags."""
+    tags = F.transform(F.array_distinct("tags"), lambda tag: F.concat(F.lit("tag:"), tag))
+    fixed = F.array(F.lit("all:"), F.concat(F.lit("type:"), "type"))
+    return F.concat(fixed, F.coalesce(tags, F.array().cast("array<string>")))
 
 
-def _newest_per(memories: DataFrame, shelf: Column) -> DataFrame:
-    """The newest rows of every shelf, numbered. Each task keeps only its own newest before the shuffle."""
-    window = Window.partitionBy("shelf").orderBy(*newest_first())
+def _wanted_shelves() -> Column:
+    """The lists an address asks for. An empty type or tag list filters nothing, so it asks for all."""
+    names = F.filter(F.transform(F.split("argument", ","), js_trim), lambda tag: tag != "")
+    tags = F.transform(F.array_distinct(names), lambda tag: F.concat(F.lit("tag:"), tag))
     return (
-        memories.select("*", shelf)
-        .withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= BROWSE_MAX)
+        F.when((F.col("view") == "by-tags") & (F.size(tags) > 0), tags)
+        .when((F.col("view") == "by-type") & (F.col("argument") != ""), F.array(F.concat(F.lit("type:"), "argument")))
+        .otherwise(F.array(F.lit("all:")))
     )
 
 
-def browse_many(memories: DataFrame, addresses: DataFrame, request_id: str = "request_id") -> DataFrame:
-    """Answer a table of list addresses (recent, by-tags, by-type) in one job.
+def browse_many(
+    memories: DataFrame,
+    addresses: DataFrame,
+    request_id: str = "request_id",
+    workspace: Workspace | None = None,
+) -> DataFrame:
+    """Answer a table of list addresses (recent, by-tags, by-type) in one pass over the memories.
 
     No view shows more than the newest 100 rows, so the newest 100 of every
-    type and of every tag hold every answer. These are worked out once and
-    joined with the requests, each of which then takes its own number of rows.
+    wanted type and tag hold every answer. Each task keeps only its own newest
+    rows of a list before the shuffle. The lists are then joined with the
+    requests, each of which takes its own number of rows.
     """
-    wanted = parse_addresses(addresses).filter(F.col("error").isNull() & (F.col("view") != "item"))
-    wanted = wanted.select(request_id, "view", "argument", "limit")
-    rows = memories.select(*LIST_ROW)
-    # An empty type or tag list filters nothing, so it reads as "recent". One
-    # request has one entry per distinct argument.
-    tags = F.filter(F.transform(F.split("argument", ","), js_trim), lambda t: t != "")
-    keys = F.when(F.col("view") == "by-tags", F.array_distinct(tags)).when(
-        F.col("argument") != "", F.array("argument")
+    workspace = workspace or Workspace(addresses.sparkSession)
+    asked = parse_addresses(addresses).filter(F.col("error").isNull() & (F.col("view") != "item"))
+    asked = asked.select(request_id, "limit", F.explode(_wanted_shelves()).alias("shelf"))
+    asked = workspace.stage(asked, "asked")
+    counts = asked.groupBy("shelf").agg(F.count("*").alias("n"))
+
+    shelf = Window.partitionBy("shelf").orderBy(*newest_first())
+    newest = (
+        memories.select(*LIST_ROW, F.explode(_shelves()).alias("shelf"))
+        .join(counts.select("shelf"), "shelf", "left_semi")
+        .withColumn("rank", F.row_number().over(shelf))
+        .filter(F.col("rank") <= BROWSE_MAX)
     )
-    keyed = wanted.withColumn("key", F.explode_outer(keys))
-    kind = F.when(F.col("key").isNull(), "all").when(F.col("view") == "by-tags", "tag").otherwise("type")
-    keyed = keyed.select(request_id, "limit", _shelf_key(kind, F.coalesce("key", F.lit(""))))
-    by_type = _newest_per(rows, _shelf_key(F.lit("type"), F.col("type")))
-    by_tag = _newest_per(
-        rows.withColumn("tag", F.explode(F.array_distinct("tags"))), _shelf_key(F.lit("tag"), F.col("tag"))
-    ).drop("tag")
-    newest = rows.orderBy(*newest_first()).limit(BROWSE_MAX)
-    every = _newest_per(newest, _shelf_key(F.lit("all"), F.lit("")))
-    shelf = by_type.unionByName(by_tag).unionByName(every)
-    counts = keyed.groupBy("shelf").agg(F.count("*").alias("n"))
     # A record with several of the wanted tags comes up once per tag: keep one.
     hits = (
-        join_salted(keyed, shelf, "shelf", counts, [request_id], how="inner")
+        join_salted(asked, newest, "shelf", counts, [request_id], how="inner")
         .filter(F.col("rank") <= F.col("limit"))
         .drop("shelf", "rank")
         .dropDuplicates([request_id, "id"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.functions.bind import let
 from memspark.functions.canonical import canonical_json
 from memspark.functions.text import TAG_PATTERN, UUID_PATTERN, js_number, js_trim, longer_than
 from memspark.options import QUERY_LENGTH, SOURCE_LENGTH, TYPE_LENGTH, Options
@@ -58,23 +59,23 @@ def _falsy(name: str) -> Column:
 
 def _tag_text(tag: Column) -> Column:
     """A tag as JavaScript turns it into text; NULL for arrays and objects, which are refused."""
-    kind = F.schema_of_variant(tag)
-    return (
-        F.when(kind == "STRING", F.try_variant_get(tag, "$", "string"))
+    return let(
+        F.schema_of_variant(tag),
+        lambda kind: F.when(kind == "STRING", F.try_variant_get(tag, "$", "string"))
         .when(kind == "VOID", F.lit("null"))
         .when(kind == "BOOLEAN", F.to_json(tag))
-        .when(kind.rlike(NUMERIC), js_number(F.try_variant_get(tag, "$", "double")))
+        .when(kind.rlike(NUMERIC), js_number(F.try_variant_get(tag, "$", "double"))),
     )
 
 
 def _tags(df: DataFrame) -> DataFrame:
     """Add ``tag_list``: struct of the raw text and the cleaned tag, NULL unless ``tags`` is an array."""
     items = F.try_variant_get("tags", "$", "array<variant>")
+    texts = F.transform(items, lambda tag: F.struct(_tag_text(tag).alias("text"), F.to_json(tag).alias("json")))
     pairs = F.transform(
-        items,
+        texts,
         lambda tag: F.struct(
-            F.coalesce(_tag_text(tag), F.to_json(tag)).alias("raw"),
-            F.lower(js_trim(_tag_text(tag))).alias("clean"),
+            F.coalesce(tag["text"], tag["json"]).alias("raw"), F.lower(js_trim(tag["text"])).alias("clean")
         ),
     )
     return df.withColumn("tag_list", F.when(F.col("tags_is").startswith("ARRAY"), pairs))
@@ -103,6 +104,16 @@ def _first_error(*checks: tuple[Column, str | Column]) -> Column:
     )
 
 
+def outcome(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and the outcome, worked out once per row.
+
+    ``inline`` keeps later filters on ``error`` above this step. As plain
+    columns, the optimizer would copy all checks into such a filter and run
+    them twice.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def check_creates(parsed: DataFrame, options: Options = Options()) -> DataFrame:
     """Create requests with their cleaned fields and ``error`` (NULL when valid).
 
@@ -139,18 +150,19 @@ def check_creates(parsed: DataFrame, options: Options = Options()) -> DataFrame:
         ),
         (F.col("bad_tag").isNotNull(), _message(TAG_INVALID, F.col("bad_tag"))),
     )
-    return df.select(
-        *extra,
-        error.alias("error"),
-        F.substring("type_text", 1, TYPE_LENGTH).alias("type"),
-        "content",
-        F.substring("source_text", 1, SOURCE_LENGTH).alias("source"),
-        F.coalesce(F.array_distinct(_clean_tags(tag_list)), F.array().cast("array<string>")).alias("tags"),
-        confidence.alias("confidence"),
+    return outcome(
+        df,
+        extra,
+        error=error,
+        type=F.substring("type_text", 1, TYPE_LENGTH),
+        content=content,
+        source=F.substring("source_text", 1, SOURCE_LENGTH),
+        tags=F.coalesce(F.array_distinct(_clean_tags(tag_list)), F.array().cast("array<string>")),
+        confidence=confidence,
     )
 
 
-def _optional_type(df: DataFrame) -> Column:
+def _optional_type() -> Column:
     return F.when(~_falsy("type"), F.substring(js_trim(_string("type")), 1, TYPE_LENGTH))
 
 
@@ -193,13 +205,14 @@ def check_searches(parsed: DataFrame, options: Options = Options()) -> DataFrame
         _type_error(TYPE_REQUIRED),
         *_filter_tag_errors(),
     )
-    return df.select(
-        *extra,
-        error.alias("error"),
-        js_trim(F.col("query_raw")).alias("query"),
-        _optional_type(df).alias("type"),
-        _optional_tags().alias("tags"),
-        F.coalesce(asked, F.lit(float(options.default_limit))).cast("int").alias("limit"),
+    return outcome(
+        df,
+        extra,
+        error=error,
+        query=js_trim(F.col("query_raw")),
+        type=_optional_type(),
+        tags=_optional_tags(),
+        limit=F.coalesce(asked, F.lit(float(options.default_limit))).cast("int"),
     )
 
 
@@ -208,19 +221,18 @@ def check_lists(parsed: DataFrame) -> DataFrame:
     extra = [name for name in parsed.columns if name != "doc"]
     df = _tags(_fields(parsed, "type", "tags")).withColumn("bad_tag", _bad_tag(F.col("tag_list")))
     error = _first_error(_type_error(TYPE_BLANK), *_filter_tag_errors())
-    return df.select(
-        *extra, error.alias("error"), _optional_type(df).alias("type"), _optional_tags().alias("tags")
-    )
+    return outcome(df, extra, error=error, type=_optional_type(), tags=_optional_tags())
 
 
 def check_ids(requests: DataFrame, id_column: str = "id") -> DataFrame:
     """Id requests (a text column) with the trimmed id and error."""
-    trimmed = js_trim(F.col(id_column))
+    asked = F.col(id_column)
     error = F.coalesce(
-        F.when(_blank(trimmed), F.lit(ID_REQUIRED)),
-        F.when(~trimmed.rlike(UUID_PATTERN), F.lit(ID_INVALID)),
+        F.when(_blank(asked), F.lit(ID_REQUIRED)), F.when(~asked.rlike(UUID_PATTERN), F.lit(ID_INVALID))
     )
-    return requests.withColumns({"error": error, id_column: trimmed})
+    kept = [name for name in requests.columns if name != id_column]
+    trimmed = requests.withColumn(id_column, js_trim(asked))
+    return outcome(trimmed, kept, **{id_column: asked, "error": error})
 
 
 def valid(checked: DataFrame) -> DataFrame:
