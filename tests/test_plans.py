@@ -1,0 +1,69 @@
+"""The plans are the ones wanted: early top-k, pushed filters, narrow scans, no Python where none is needed."""
+
+from registry import views as V
+from registry.queries import _self_queries, OPTIONS
+from pyspark.sql import functions as F
+
+from memspark.functions.canonical import canonical_json_builtin
+from memspark.operators import browse, merge
+from memspark.operators.search import search, search_many
+from memspark.operators.validate import check_creates
+from memspark.sources.requests import parse_lines
+from memspark.sources.table import MemoryTable
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stored(spark, tmp_path):
+    table = MemoryTable.create(spark, str(tmp_path / "t"), 0, "none")
+    writes = V.event_writes(V.table(spark, SF, "events"))
+    table.append(merge.fold(writes.withColumn("embedding", F.array().cast("array<float>")), hashed=True))
+    table.compact()
+    return table.read()
+
+
+def test_single_search(spark):
+    text = plan(search(V.vectors(spark, SF), [0.1] * 64, limit=5, scoring="builtin"))
+    assert "TakeOrderedAndProject" in text and "Python" not in text and "Arrow" not in text
+    text = plan(search(V.vectors(spark, SF), [0.1] * 64, limit=5, scoring="arrow"))
+    assert "TakeOrderedAndProject" in text and "MapInArrow" in text
+
+
+def test_search_many_sends_only_top_entries(spark):
+    memories = V.vectors(spark, SF)
+    text = plan(search_many(memories, _self_queries(memories), OPTIONS))
+    assert "WindowGroupLimit" in text and text.count("Exchange") == 1
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_list_reads_only_its_columns(spark, tmp_path):
+    text = plan(browse.recent(stored(spark, tmp_path).filter("type = 'click'"), 5))
+    assert "TakeOrderedAndProject" in text and "EqualTo(type,click)" in text
+    scanned = text.split("ReadSchema:")[1]
+    assert "embedding" not in scanned and "content" not in scanned
+
+
+def test_fold_combines_before_its_only_shuffle(spark):
+    text = plan(V.event_records(spark, SF))
+    assert text.count("Exchange") == 1 and "partial_collect_set" in text and "partial_min_by" in text
+    assert "Python" not in text
+
+
+def test_browse_many_limits_before_the_shuffle(spark, tmp_path):
+    requests = spark.createDataFrame([(1, "mem://recent")], "request_id int, uri string")
+    text = plan(browse.browse_many(stored(spark, tmp_path), requests))
+    assert "WindowGroupLimit" in text and "CartesianProduct" not in text
+
+
+def test_canonical_text_without_python(spark):
+    docs = V.table(spark, SF, "documents").select(canonical_json_builtin(F.to_json(F.struct("text"))))
+    assert "Python" not in plan(docs)
+
+
+def test_filter_on_error_does_not_repeat_the_checks(spark):
+    checked = check_creates(parse_lines(V.document_lines(spark, SF))).filter("error is null")
+    assert plan(checked).count("type is required") == 1

@@ -1,0 +1,199 @@
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from memspark import Options
+from memspark.operators import merge
+from memspark.operators.embed import EMBEDDING_FAILED, HashingEmbedder
+from memspark.plans.create import create
+from memspark.plans.search import run_searches
+from memspark.sources.requests import read_lines, read_lines_stream
+from memspark.sources.scratch import Workspace
+from memspark.sources.table import MemoryTable
+from memspark.streaming.dedupe import latest, stream_fold, write_changes
+from memspark.streaming.ingest import ingest_stream
+
+DIM = 16
+OPTIONS = Options(dim=DIM)
+EMBEDDER = HashingEmbedder(DIM)
+
+
+def line(n, **changes):
+    fields = {
+        "type": "note",
+        "content": {"text": f"topic {n % 7} words"},
+        "source": "app",
+        "confidence": (n % 10) / 10,
+        "tags": [f"t{n % 4}", "all"],
+    }
+    return json.dumps({**fields, **changes})
+
+
+def lines_df(spark, lines):
+    return spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "raw string, seq long")
+
+
+def table(spark, tmp_path, name="table"):
+    return MemoryTable.create(spark, str(tmp_path / name), DIM, EMBEDDER.model)
+
+
+def content(memories):
+    rows = memories.read().select("id", "type", "content", "tags", "confidence", "first_seq").collect()
+    return sorted((r.id, r.type, r.content, tuple(r.tags), r.confidence) for r in rows)
+
+
+def test_batches_equal_one_batch(spark, tmp_path):
+    lines = [line(n) for n in range(60)]
+    whole, parts = table(spark, tmp_path), table(spark, tmp_path, "parts")
+    create(lines_df(spark, lines), whole, EMBEDDER, OPTIONS, ts=datetime(2024, 1, 1))
+    for k in range(3):
+        result = create(lines_df(spark, lines[k * 20 : k * 20 + 20]), parts, EMBEDDER, OPTIONS, ts=datetime(2024, 1, 1 + k))
+        assert result.written.count() == 7 and result.rejected.count() == 0
+        if k == 1:
+            parts.compact()
+            assert parts.pending == 0
+    assert parts.pending == 1
+    assert content(parts) == content(whole) and len(content(whole)) == 7
+    before = content(parts)
+    parts.compact()
+    assert content(parts) == before
+    row = parts.read().first()
+    assert row.updated_at > row.created_at and len(row.embedding) == DIM
+    assert merge.duplicate_hashes(parts.read()).count() == 0
+
+
+def test_rejects_and_failed_texts(spark, tmp_path):
+    class Picky(HashingEmbedder):
+        def encode(self, texts, pooling="mean", normalize=True):
+            if any("topic 3" in t for t in texts):
+                raise RuntimeError("no")
+            return super().encode(texts, pooling, normalize)
+
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    memories = table(spark, tmp_path)
+    lines = [line(n) for n in range(14)] + ["{bad", line(1, type="")]
+    options = Options(dim=DIM, embed_retries=1)
+    result = create(
+        lines_df(spark, lines), memories, Picky(DIM), options, rejects_path=str(tmp_path / "rejects"), pause=0.0
+    )
+    errors = sorted((r.error, r.raw) for r in result.rejected.collect())
+    assert [e for e, _ in errors].count(EMBEDDING_FAILED) == 2
+    assert {raw for e, raw in errors if e == EMBEDDING_FAILED} == {lines[3], lines[10]}
+    assert len(errors) == 4
+    assert memories.read().count() == result.written.count() == 6
+
+
+def test_stored_vectors_are_reused(spark, tmp_path):
+    memories = table(spark, tmp_path)
+    create(lines_df(spark, [line(n) for n in range(14)]), memories, EMBEDDER, OPTIONS)
+    # The same texts under another source: new records, old vectors.
+    more = [line(n, source="other") for n in range(10)]
+    create(lines_df(spark, more), memories, EMBEDDER, OPTIONS, reuse_vectors=True)
+    vectors = memories.read().groupBy("content").agg(F.count("*").alias("n"), F.count_distinct("embedding").alias("v"))
+    assert {(r.n, r.v) for r in vectors.collect()} == {(2, 1)}
+
+
+def test_batch_of_a_stream_is_written_once(spark, tmp_path):
+    memories = table(spark, tmp_path)
+    first = create(lines_df(spark, [line(1)]), memories, EMBEDDER, OPTIONS, stream="s", batch_id=0)
+    again = create(lines_df(spark, [line(2)]), memories, EMBEDDER, OPTIONS, stream="s", batch_id=0)
+    assert first.written.count() == 1 and again.written is None
+    assert memories.read().count() == 1 and memories.version == 2
+
+
+def test_table_guards(spark, tmp_path):
+    memories = table(spark, tmp_path)
+    assert memories.read().count() == 0
+    with pytest.raises(ValueError, match="vectors of"):
+        create(lines_df(spark, [line(1)]), memories, HashingEmbedder(8), Options(dim=8))
+    with pytest.raises(RuntimeError, match="someone else"):
+        memories._publish({"version": 1})
+    with pytest.raises(FileNotFoundError):
+        MemoryTable(spark, str(tmp_path / "none")).read()
+
+
+def test_workspace_clears_only_itself(spark):
+    one, two = Workspace(spark), Workspace(spark)
+    kept = two.stage(spark.range(3), "x")
+    one.stage(spark.range(3), "x")
+    one.clear()
+    assert kept.count() == 3
+
+
+def test_searches_over_a_created_table(spark, tmp_path):
+    memories = table(spark, tmp_path)
+    create(lines_df(spark, [line(n) for n in range(14)]), memories, EMBEDDER, OPTIONS)
+    requests = [
+        (1, json.dumps({"query": '{"text":"topic 3 words"}', "limit": 1})),
+        (2, json.dumps({"query": "topic", "tags": ["T0"], "limit": 100})),
+        (3, json.dumps({"query": ""})),
+    ]
+    df = spark.createDataFrame(requests, "query_id long, raw string")
+    hits, queries, rejected = run_searches(df, memories.read(), EMBEDDER, OPTIONS)
+    rows = hits.orderBy("query_id", "rank").collect()
+    assert rows[0].query_id == 1 and rows[0].similarity == 2.0
+    tagged = memories.read().filter(F.array_contains("tags", "t0")).count()
+    assert len(rows) == 1 + tagged and queries.count() == 2
+    assert [r.error for r in rejected.collect()] == ["query is required and must be a non-empty string"]
+
+
+def test_read_lines(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_bytes(b'{"a":1}\r\n{"b":2}\n')
+    assert [r.raw for r in read_lines(spark, str(tmp_path / "in.jsonl")).orderBy("seq").collect()] == ['{"a":1}', '{"b":2}']
+
+
+def write_files(folder, start, count):
+    folder.mkdir(exist_ok=True)
+    for k in range(start, start + count):
+        text = "\n".join([line(n) for n in range(k * 10, k * 10 + 10)] + ["{bad"])
+        (folder / f"{k}.jsonl").write_text(text)
+
+
+def test_ingest_equals_batch_also_after_restart(spark, tmp_path):
+    source, streamed = tmp_path / "in", table(spark, tmp_path, "streamed")
+
+    def run():
+        ingest_stream(
+            read_lines_stream(spark, str(source), files_per_batch=1),
+            streamed,
+            EMBEDDER,
+            checkpoint=str(tmp_path / "checkpoint"),
+            rejects_path=str(tmp_path / "rejects"),
+            options=OPTIONS,
+            compact_every=3,
+            available_now=True,
+        ).awaitTermination()
+
+    write_files(source, 0, 3)
+    run()
+    assert streamed.pending == 0
+    write_files(source, 3, 2)
+    run()
+    whole = table(spark, tmp_path)
+    create(read_lines(spark, str(source)), whole, EMBEDDER, OPTIONS)
+    assert content(streamed) == content(whole)
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == 5
+
+
+def test_stream_state_equals_batch_also_after_restart(spark, tmp_path):
+    rows = [("n", "s", str(n % 5), [f"t{n % 3}"], n / 40, datetime(2024, 1, 1, 0, n), n) for n in range(40)]
+    schema = "type string, source string, content string, tags array<string>, confidence double, ts timestamp, seq long"
+    source, changes = str(tmp_path / "in"), str(tmp_path / "changes")
+
+    def run(part):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        folded = stream_fold(merge.with_identity(stream))
+        write_changes(folded, changes, str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+
+    run(rows[25:])  # the later writes come first
+    run(rows[:25])
+    batch = merge.fold(merge.with_identity(spark.createDataFrame(rows, schema)))
+    out = latest(spark, changes).select(*batch.columns)
+    assert out.exceptAll(batch).count() == 0 and out.count() == batch.count() == 5
