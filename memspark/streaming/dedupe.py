@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from memspark.operators.merge import merge_columns, merged_rows, one_row_per_tag
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DEFAULT = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
 def stream_fold(records: DataFrame) -> DataFrame:
@@ -16,7 +18,7 @@ def stream_fold(records: DataFrame) -> DataFrame:
 
     There is no watermark: a duplicate must merge however late it comes, so the
     state grows with the number of distinct hashes. The aggregate is the one of
-    the batch job. Run the session with the RocksDB state store for large state.
+    the batch job.
     """
     rows = one_row_per_tag(records)
     return merged_rows(rows.groupBy("content_hash").agg(*merge_columns(rows)), records.columns)
@@ -27,8 +29,12 @@ def write_changes(
 ) -> StreamingQuery:
     """Write the changed records of every micro-batch to ``path/batch=N``.
 
-    A batch that runs twice writes the same folder twice.
+    A batch that runs twice writes the same folder twice. The state is kept in
+    RocksDB, on disk, unless the session names another store.
     """
+    session = merged.sparkSession
+    if session.conf.get(PROVIDER) == DEFAULT:
+        session.conf.set(PROVIDER, ROCKSDB)
 
     def write(changes: DataFrame, batch_id: int) -> None:
         changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
