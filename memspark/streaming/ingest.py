@@ -21,6 +21,7 @@ def ingest_stream(
     options: Options = Options(),
     name: str = "ingest",
     compact_every: int = 50,
+    compact_share: float = 0.1,
     available_now: bool = False,
     **how,
 ) -> StreamingQuery:
@@ -28,7 +29,9 @@ def ingest_stream(
 
     The table is the state, so nothing is held in memory between batches. A
     batch that comes again after a restart is recognised by its number and
-    skipped. Its rejects are written before the table shows it.
+    skipped. Its rejects are written before the table shows it. The table is
+    compacted when at least ``compact_every`` batches are pending and they make
+    up ``compact_share`` of it, so a large table is seldom rewritten.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -47,7 +50,7 @@ def ingest_stream(
             **how,
         )
         workspace.clear()
-        if table.pending >= compact_every:
+        if table.pending >= compact_every and table.pending_share() >= compact_share:
             table.compact()
 
     writer = lines.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(run)

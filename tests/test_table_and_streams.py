@@ -112,12 +112,33 @@ def test_table_guards(spark, tmp_path):
     assert memories.read().count() == 0
     with pytest.raises(ValueError, match="vectors of"):
         create(lines_df(spark, [line(1)]), memories, HashingEmbedder(8), Options(dim=8))
-    with pytest.raises(RuntimeError, match="someone else"):
-        memories._publish({"version": 1})
+    assert not memories._publish({"version": 1})
+    with pytest.raises(FileExistsError):
+        table(spark, tmp_path)
     with pytest.raises(FileNotFoundError):
         MemoryTable(spark, str(tmp_path / "none")).read()
 
 
+def test_writers_that_meet(spark, tmp_path):
+    memories = table(spark, tmp_path)
+    create(lines_df(spark, [line(1)]), memories, EMBEDDER, OPTIONS)
+    write, late = memories._write, MemoryTable(spark, memories.root)
+
+    def write_while_another_appends(records, folder):
+        memories._write = write
+        create(lines_df(spark, [line(2)]), late, EMBEDDER, OPTIONS)
+        write(records, folder)
+
+    memories._write = write_while_another_appends
+    memories.compact()
+    # The batch that came in during the compaction is still pending.
+    assert memories.pending == 1 and memories.read().count() == 2
+    assert memories.pending_share() > 0
+    assert memories.drop_unused() == 0
+    assert memories.drop_unused(older_than_hours=0) == 1
+    assert memories.read().count() == 2
+
+
 def test_workspace_clears_only_itself(spark):
     one, two = Workspace(spark), Workspace(spark)
     kept = two.stage(spark.range(3), "x")
