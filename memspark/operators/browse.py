@@ -94,14 +94,19 @@ def parse_addresses(requests: DataFrame, address: str = "uri") -> DataFrame:
     Views are recent, by-tags, by-type and item. A plus sign stays a plus sign
     in the argument, as percent-decoding of a path leaves it.
     """
-    uri = F.col(address)
-    view = F.regexp_extract(uri, ADDRESS, 1)
-    path = F.regexp_extract(uri, ADDRESS, 2)
-    argument = F.substring(path, 2, 1_000_000)
-    decoded = F.try_url_decode(F.replace(argument, F.lit("+"), F.lit("%2B")))
+    uri, view, path = F.col(address), F.col("__view"), F.col("__path")
     limit_text = F.try_url_decode(F.regexp_extract(uri, r"^[^?#]*\?(?:[^#]*&)?limit=([^&#]*)", 1))
-    has_limit = uri.rlike(r"^[^?#]*\?(?:[^#]*&)?limit(?:=|&|#|\z)")
-    number = F.regexp_extract(limit_text, rf"^{SPACE}*([+-]?\d+)", 1)
+    split = requests.withColumns(
+        {
+            "__view": F.regexp_extract(uri, ADDRESS, 1),
+            "__path": F.regexp_extract(uri, ADDRESS, 2),
+            "__has_limit": uri.rlike(r"^[^?#]*\?(?:[^#]*&)?limit(?:=|&|#|\z)"),
+            "__number": F.regexp_extract(limit_text, rf"^{SPACE}*([+-]?\d+)", 1),
+        }
+    )
+    raw = F.substring(path, 2, 1_000_000)
+    split = split.withColumn("__text", F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
+    decoded, has_limit, number = F.col("__text"), F.col("__has_limit"), F.col("__number")
     known = ((view == "recent") & (path == "")) | (view.isin("by-tags", "by-type", "item") & (path != ""))
     limit = F.when(~has_limit, F.lit(BROWSE_LIMIT)).otherwise(
         F.greatest(F.lit(float(BROWSE_MIN)), F.least(F.lit(float(BROWSE_MAX)), number.try_cast("double"))).cast("int")
@@ -111,8 +116,8 @@ def parse_addresses(requests: DataFrame, address: str = "uri") -> DataFrame:
         F.when(has_limit & (number == ""), F.lit("limit must be a number")),
         F.when((view != "item") & (path != "") & decoded.isNull(), F.lit("URI malformed")),
     )
-    argument = F.when(view == "item", argument).when(view == "recent", F.lit("")).otherwise(decoded)
-    return outcome(requests, requests.columns, view=view, argument=argument, limit=limit, error=error)
+    argument = F.when(view == "item", raw).when(view == "recent", F.lit("")).otherwise(decoded)
+    return outcome(split, requests.columns, view=view, argument=argument, limit=limit, error=error)
 
 
 def _shelves() -> Column:

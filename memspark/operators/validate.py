@@ -162,66 +162,62 @@ def check_creates(parsed: DataFrame, options: Options = Options()) -> DataFrame:
     )
 
 
-def _optional_type() -> Column:
-    return F.when(~_falsy("type"), F.substring(js_trim(_string("type")), 1, TYPE_LENGTH))
-
-
-def _type_error(text: str) -> tuple[Column, str]:
-    return (~_falsy("type") & _blank(js_trim(_string("type"))), text)
+def _filters(df: DataFrame) -> DataFrame:
+    """Add the cleaned optional filters: a falsy value means that there is none."""
+    return df.withColumns(
+        {
+            "type_given": ~_falsy("type"),
+            "type_text": F.coalesce(js_trim(_string("type")), F.lit("")),
+            "tags_given": ~_falsy("tags"),
+            "bad_tag": _bad_tag(F.col("tag_list")),
+        }
+    )
 
 
-def _filter_tag_errors() -> list[tuple[Column, str | Column]]:
+def _filter_errors(type_text: str) -> list[tuple[Column, str | Column]]:
+    given = F.col("tags_given")
     return [
-        (~_falsy("tags") & ~F.col("tags_is").startswith("ARRAY"), TAGS_NOT_ARRAY),
+        (F.col("type_given") & (F.col("type_text") == ""), type_text),
+        (given & ~F.col("tags_is").startswith("ARRAY"), TAGS_NOT_ARRAY),
         (F.col("bad_tag").isNotNull(), _message(TAG_INVALID, F.col("bad_tag"))),
     ]
 
 
-def _optional_tags() -> Column:
-    return F.when(~_falsy("tags"), _clean_tags(F.col("tag_list")))
+def _filter_columns() -> dict[str, Column]:
+    return {
+        "type": F.when(F.col("type_given"), F.substring("type_text", 1, TYPE_LENGTH)),
+        "tags": F.when(F.col("tags_given"), _clean_tags(F.col("tag_list"))),
+    }
 
 
 def check_searches(parsed: DataFrame, options: Options = Options()) -> DataFrame:
     """Search requests with query, type, tags, limit and error."""
     extra = [name for name in parsed.columns if name != "doc"]
-    df = _tags(_fields(parsed, "query", "type", "tags", "limit"))
-    df = df.withColumns(
-        {
-            "query_raw": _string("query"),
-            "bad_tag": _bad_tag(F.col("tag_list")),
-            "limit_number": F.when(F.col("limit_is").rlike(NUMERIC), F.try_variant_get("limit", "$", "double")),
-        }
-    )
+    df = _filters(_tags(_fields(parsed, "query", "type", "tags", "limit")))
+    number = F.when(F.col("limit_is").rlike(NUMERIC), F.try_variant_get("limit", "$", "double"))
+    df = df.withColumns({"query_raw": _string("query"), "limit_number": number})
+    df = df.withColumn("query_text", js_trim(F.col("query_raw")))
     # ``least`` skips NULL, but a missing limit must stay NULL here.
     asked = F.when(F.col("limit_number").isNotNull(), F.least("limit_number", F.lit(float(options.max_limit))))
     error = _first_error(
-        (_blank(js_trim(F.col("query_raw"))), QUERY_REQUIRED),
+        (_blank(F.col("query_text")), QUERY_REQUIRED),
         (longer_than(F.col("query_raw"), QUERY_LENGTH), QUERY_TOO_LONG),
         (
             F.col("limit_is").isNotNull() & ~F.coalesce(F.col("limit_number") >= 1, F.lit(False)),
             LIMIT_NOT_POSITIVE,
         ),
         (asked != F.floor(asked), LIMIT_FRACTION),
-        _type_error(TYPE_REQUIRED),
-        *_filter_tag_errors(),
-    )
-    return outcome(
-        df,
-        extra,
-        error=error,
-        query=js_trim(F.col("query_raw")),
-        type=_optional_type(),
-        tags=_optional_tags(),
-        limit=F.coalesce(asked, F.lit(float(options.default_limit))).cast("int"),
+        *_filter_errors(TYPE_REQUIRED),
     )
+    limit = F.coalesce(asked, F.lit(float(options.default_limit))).cast("int")
+    return outcome(df, extra, error=error, query=F.col("query_text"), **_filter_columns(), limit=limit)
 
 
 def check_lists(parsed: DataFrame) -> DataFrame:
     """List requests with type, tags and error."""
     extra = [name for name in parsed.columns if name != "doc"]
-    df = _tags(_fields(parsed, "type", "tags")).withColumn("bad_tag", _bad_tag(F.col("tag_list")))
-    error = _first_error(_type_error(TYPE_BLANK), *_filter_tag_errors())
-    return outcome(df, extra, error=error, type=_optional_type(), tags=_optional_tags())
+    df = _filters(_tags(_fields(parsed, "type", "tags")))
+    return outcome(df, extra, error=_first_error(*_filter_errors(TYPE_BLANK)), **_filter_columns())
 
 
 def check_ids(requests: DataFrame, id_column: str = "id") -> DataFrame:
