@@ -70,17 +70,20 @@ def get_by_ids(
     workspace = workspace or Workspace(requests.sparkSession)
     checked = check_ids(requests.select(request_id, F.col("id").alias("asked")), "asked")
     checked = workspace.stage(checked, "ids")
-    good = checked.filter(F.col("error").isNull()).withColumn("id", F.lower("asked")).drop("error")
-    wanted = good.groupBy("id").agg(F.count("*").alias("n"))
-    found = memories.select(*FULL_ROW).join(wanted.select("id"), "id", "left_semi")
-    answered = join_salted(good, found.withColumn("found", F.lit(True)), "id", wanted, [request_id])
-    answered = answered.withColumn(
-        "error", F.when(F.col("found").isNull(), F.concat(F.lit(NOT_FOUND), F.col("asked")))
-    ).drop("found", "asked")
-    refused = checked.filter(F.col("error").isNotNull()).select(request_id, "error")
-    return answered.unionByName(refused, allowMissingColumns=True).select(
-        request_id, *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in FULL_ROW], "error"
+    good = checked.filter(F.col("error").isNull()).select(request_id, "asked")
+    answered = _with_records(memories, good, request_id).withColumn(
+        "error", F.when(F.col("id").isNull(), F.concat(F.lit(NOT_FOUND), F.col("asked")))
     )
+    refused = checked.filter(F.col("error").isNotNull()).select(request_id, "error")
+    return answered.unionByName(refused, allowMissingColumns=True).select(request_id, *FULL_ROW, "error")
+
+
+def _with_records(memories: DataFrame, asked: DataFrame, request_id: str) -> DataFrame:
+    """``asked`` (request_id, asked) with the record of each id, NULL where there is none."""
+    keyed = asked.withColumn("key", F.lower("asked"))
+    wanted = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    found = memories.select(*FULL_ROW, F.col("id").alias("key")).join(wanted.select("key"), "key", "left_semi")
+    return join_salted(keyed, found, "key", wanted, [request_id]).drop("key")
 
 
 # The address forms of the read-only views.
@@ -177,3 +180,16 @@ def browse_many(
         .filter((F.col("rank") <= BROWSE_MAX) & (F.col("rank") <= F.col("limit")))
         .select(request_id, "rank", *LIST_ROW)
     )
+
+
+def items_by_address(
+    memories: DataFrame,
+    addresses: DataFrame,
+    request_id: str = "request_id",
+    workspace: Workspace | None = None,
+) -> DataFrame:
+    """Answer the item addresses of a table: one row per address, all NULL when no record has the id."""
+    workspace = workspace or Workspace(addresses.sparkSession)
+    asked = parse_addresses(addresses).filter(F.col("error").isNull() & (F.col("view") == "item"))
+    asked = workspace.stage(asked.select(request_id, F.col("argument").alias("asked")), "items")
+    return _with_records(memories, asked, request_id).select(request_id, *FULL_ROW)

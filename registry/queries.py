@@ -318,6 +318,19 @@ def parse_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.parse_addresses(pages).select("page_id", "view", "argument", F.col("limit").alias("limit_rows"), "error")
 
 
+def items_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item address of every event's record, and addresses nobody has."""
+    writes = V.event_writes(table(spark, sf_dir, "events"))
+    docs = table(spark, sf_dir, "documents")
+    addresses = writes.select(
+        F.concat(F.lit("e"), F.col("first_seq").cast("string")).alias("request_id"), F.col("id")
+    ).unionByName(
+        docs.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("request_id"), V.uuid_of_text(F.col("text")).alias("id"))
+    )
+    addresses = addresses.select("request_id", F.concat(F.lit("mem://item/"), "id").alias("uri"))
+    return flat(browse.items_by_address(V.event_records(spark, sf_dir), addresses))
+
+
 # -- search ---------------------------------------------------------------------------
 
 
@@ -508,6 +521,7 @@ QUERIES = {
     "recent_by_tags": recent_by_tags,
     "recent_by_type": recent_by_type,
     "browse_many": browse_many,
+    "items_by_address": items_by_address,
     "parse_addresses": parse_addresses,
     "search_topk": search_topk,
     "search_topk_arrow": search_topk_arrow,

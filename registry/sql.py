@@ -234,6 +234,13 @@ pairs AS (
   ) t ON event_type = 'error' AND (t.tag = asked.tag OR t.tag = 'user:7') AND n <= limit_rows),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place) AS rank FROM pairs)
 SELECT event_id AS request_id, rank, id, created_at FROM ranked JOIN newest USING (place) WHERE rank <= limit_rows""",
+    "items_by_address": f"""
+WITH {EVENT_RECORDS},
+requests AS (
+  SELECT 'e' || event_id AS request_id, id AS asked FROM writes
+  UNION ALL SELECT 't' || doc_id, {_uuid("sha256(text)")} FROM documents)
+SELECT request_id, id, type, content, source, tags, confidence, created_at, updated_at
+FROM requests LEFT JOIN memories ON id = asked""",
     "parse_addresses": """
 SELECT page_id, CASE WHEN contains(url, '?') THEN 'by-type' ELSE 'by-tags' END AS view,
        CASE WHEN contains(url, '?') THEN url ELSE 'a+b,' || url END AS argument,

@@ -129,6 +129,14 @@ def test_browse_many(spark, memories, rows):
         assert found.get(n, []) == want, uri
 
 
+def test_items_by_address(spark, memories, rows):
+    asked = [f"mem://item/{uid(3)}"] * 20 + [f"mem://item/{uid(4).upper()}?limit=1", "mem://item/none", "mem://recent"]
+    df = spark.createDataFrame(list(enumerate(asked)), "request_id int, uri string")
+    out = {r.request_id: r for r in browse.items_by_address(memories, df).collect()}
+    assert set(out) == set(range(22)) and {out[n].id for n in range(20)} == {uid(3)}
+    assert out[20].source == "app" and out[21].id is None and out[21].content is None
+
+
 def test_shapes(spark, memories, tmp_path):
     one = memories.filter(F.col("id") == uid(0))
     assert shape.list_items(one).first().asDict() == {
