@@ -94,7 +94,17 @@ WITH {CENTROID}
 SELECT vec_id AS id, {SCORE.format("embedding", "v")} AS similarity
 FROM embeddings, centroid ORDER BY 2 DESC, 1 LIMIT 10"""
 
-NUMBER = "regexp_replace(regexp_replace(({})::VARCHAR, '\\.0$', ''), 'e-0', 'e-')"
+
+
+def _number(x: str) -> str:
+    """A number as JavaScript prints it: no trailing ``.0``, and an exponent only below 1e-6."""
+    text = f"({x})::VARCHAR"
+    digits = f"replace(split_part({text}, 'e', 1), '.', '')"
+    zeros = f"repeat('0', split_part({text}, 'e-', 2)::INTEGER - 1)"
+    short = f"regexp_replace(regexp_replace({text}, '\\.0$', ''), 'e-0', 'e-')"
+    return f"CASE WHEN ({x}) >= 1e-6 AND contains({text}, 'e-') THEN '0.' || {zeros} || {digits} ELSE {short} END"
+
+
 LONG_TIME = "strftime({}, '%a %b %d %Y %H:%M:%S GMT+0000 (Coordinated Universal Time)')"
 JSON_TAGS = """'["' || array_to_string(tag_list, '","') || '"]'"""
 
@@ -142,8 +152,8 @@ FROM (
     "canonical_pages": """
 SELECT page_id, sha256('{"html":' || to_json(html) || ',"url":' || to_json(url) || '}') AS text_key FROM pages""",
     "canonical_numbers": f"""
-SELECT o_orderkey, '{{"key":' || (o_orderkey * 1000)::VARCHAR || ',"price":' || {NUMBER.format("o_totalprice")}
-       || ',"tiny":' || {NUMBER.format("o_totalprice / 1e12")} || '}}' AS text
+SELECT o_orderkey, '{{"key":' || (o_orderkey * 1000)::VARCHAR || ',"price":' || {_number("o_totalprice")}
+       || ',"tiny":' || {_number("o_totalprice / 1e12")} || '}}' AS text
 FROM orders""",
     "lexemes": r"""
 WITH words AS (
@@ -174,7 +184,7 @@ WITH {EVENT_RECORDS} SELECT id, type, tags, confidence, created_at AS "createdAt
     "upsert_text": f"""
 WITH {EVENT_RECORDS}
 SELECT id, 'Memory upserted.' || chr(10) || 'ID: ' || id || chr(10) || 'Type: ' || type || chr(10)
-       || 'Tags: ' || {JSON_TAGS} || chr(10) || 'Confidence: ' || {NUMBER.format("confidence")} || chr(10)
+       || 'Tags: ' || {JSON_TAGS} || chr(10) || 'Confidence: ' || {_number("confidence")} || chr(10)
        || 'Created: ' || {LONG_TIME.format("created_at")} AS text
 FROM memories""",
     "append_plain": f"""
@@ -293,7 +303,7 @@ SELECT id, type, content, source, tags, confidence, created_at AS "createdAt", u
     "record_cards": f"""
 WITH {EVENT_RECORDS}
 SELECT id, concat_ws(chr(10), 'Memory: ' || id, 'Type: ' || type, 'Source: ' || source, 'Tags: ' || {JSON_TAGS},
-       'Confidence: ' || {NUMBER.format("confidence")}, 'Created: ' || {LONG_TIME.format("created_at")},
+       'Confidence: ' || {_number("confidence")}, 'Created: ' || {LONG_TIME.format("created_at")},
        'Updated: ' || {LONG_TIME.format("updated_at")}, '', 'Content:',
        replace(replace(replace(content, '{{', '{{' || chr(10) || '  '), ':', ': '), '}}', chr(10) || '}}')) AS text
 FROM memories""",
