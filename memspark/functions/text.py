@@ -81,11 +81,11 @@ def fixed3(value: Column) -> Column:
     numbers. Values of 4 and more take the ordinary formatter.
     """
     size = F.abs(value)
+    unit, half = F.lit(str(2**60)).cast("decimal(19,0)"), F.lit(str(2**59)).cast("decimal(19,0)")
     units = (size * F.lit(float(2**60))).cast("bigint").cast("decimal(19,0)")
-    thousandths = F.floor(
-        (units * F.lit(1000).cast("decimal(4,0)") + F.lit(str(2**59)).cast("decimal(19,0)"))
-        / F.lit(str(2**60)).cast("decimal(19,0)")
-    ).cast("bigint")
+    total = units * F.lit(1000).cast("decimal(4,0)") + half
+    # Decimal division rounds, so the remainder is taken off first.
+    thousandths = ((total - total % unit) / unit).cast("bigint")
     exact = F.concat(
         F.when(value < 0, "-").otherwise(""),
         F.floor(thousandths / 1000).cast("string"),

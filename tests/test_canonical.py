@@ -1,5 +1,6 @@
 import hashlib
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -122,7 +123,19 @@ def test_number_columns(spark, numbers):
     for row in df.select("x", js_number(F.col("x")).alias("j"), fixed3(F.col("x")).alias("f")).collect():
         assert float(row.j) == row.x
         if 1 / 256 <= abs(row.x) < 4:
-            assert row.f == f"{row.x:.3f}" or row.x * 2000 == int(row.x * 2000)
+            assert row.f == exact_fixed3(row.x)
+
+
+def exact_fixed3(value):
+    """Half away from zero on the exact binary value."""
+    return str(Decimal(value).quantize(Decimal("0.001"), ROUND_HALF_UP))
+
+
+def test_fixed_decimals_next_to_every_half(spark):
+    scores = [round(n / 1000 + 0.0005, 6) for n in range(10, 3000)]
+    df = spark.createDataFrame([(x,) for x in scores], "x double")
+    for row in df.select("x", fixed3(F.col("x")).alias("f")).collect():
+        assert row.f == exact_fixed3(row.x), row.x
 
 
 @pytest.mark.parametrize("value, text", [(1.0005, "1.000"), (1.0015, "1.002"), (0.5, "0.500"), (2.0, "2.000"), (0.0625, "0.063")])
