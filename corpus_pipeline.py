@@ -6,25 +6,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, quality
-from memspark.llm.queries import vocabulary
+from memspark.llm import bpe, jaccard, mixing, quality
+from memspark.llm.queries import table, vocabulary
 from memspark.sources.scratch import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep; the model is fitted on ``docs`` and the labels."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep(docs, quality.fit(docs, labels))
+    """The documents that the rules keep. The model is fitted on ``docs`` and the labels, so
+    an empty table or one without labels is judged by the base rules alone."""
+    return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest doc_id. Rows without doc_id
+    stay unless they are linked with one that has it; rows that share a doc_id stay together."""
+    return jaccard.keep_first(docs, Workspace(spark))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, repeated by epochs, so that the words of each source come near its target;
+    a document that the cut divides is taken if half of it or more lies before the cut."""
+    return mixing.mixed_documents(docs, Workspace(spark))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What identifies the ids of every row and their decoding; one row for each row of ``docs``."""
-    digest = bpe.digest(F.col("text"), *vocabulary("byte_bpe_50k.tiktoken"))
-    return docs.select("doc_id", "source", digest.alias("d")).select("doc_id", "source", "d.*")
+    """The ids of every row and what identifies them and their decoding; one row for each row of ``docs``."""
+    path, pattern = vocabulary("byte_bpe_50k.tiktoken")
+    coded = docs.select("doc_id", "source", bpe.coded(F.col("text"), path, pattern).alias("coded"))
+    return coded.select("doc_id", "source", "coded.*")
 
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
     ("byte_level_bpe", byte_level_bpe),
 ]
 
@@ -32,9 +47,9 @@ ORACLE_SQL = None  # SQL has no byte-level BPE; tests hold the rows against a pl
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. What stages write lies in the cluster's shared folder."""
+    """The rows of the last stage. What the stages write lies in the cluster's shared folder."""
     space = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = space.stage(stage(spark, docs, sf_dir), name)
     return docs

@@ -247,29 +247,42 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+CODED = DIGEST + ", ids array<int>"
 
 
-def digest(text: Column, path: str, pattern: str) -> Column:
-    """Encode a text, decode its ids, and return what identifies both: a struct of DIGEST.
-
-    Null counts as the empty text. Every row is worked on alone.
-    """
-
+def _round_trip(text: Column, path: str, pattern: str, with_ids: bool) -> Column:
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for column in texts:
-            counts, encoded, decoded = [], [], []
-            for text in column.to_pylist():
-                ids = own.encode(text)
+            ids = [own.encode(text) for text in column.to_pylist()]
+            decoded = []
+            for one in ids:
                 back = hashlib.sha256()
-                for part in own.decode(ids):
+                for part in own.decode(one):
                     back.update(part.encode())
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 decoded.append(back.hexdigest())
-            yield pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
-                ["n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            counts = np.array([len(i) for i in ids], np.int64)
+            encoded = [hashlib.sha256(i.tobytes()).hexdigest() for i in ids]
+            columns = [pa.array(counts), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                names.append("ids")
+            yield pa.StructArray.from_arrays(columns, names)
+
+    return F.arrow_udf(work, CODED if with_ids else DIGEST).asNondeterministic()(text)
+
+
+def digest(text: Column, path: str, pattern: str) -> Column:
+    """Encode a text, decode its ids, and return what identifies both: a struct of DIGEST.
+
+    Null counts as the empty text. Every row is worked on alone.
+    """
+    return _round_trip(text, path, pattern, False)
+
 
-    return F.arrow_udf(work, DIGEST).asNondeterministic()(text)
+def coded(text: Column, path: str, pattern: str) -> Column:
+    """``digest`` with the ids themselves: a struct of CODED."""
+    return _round_trip(text, path, pattern, True)

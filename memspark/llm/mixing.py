@@ -5,9 +5,9 @@ it cannot take goes to the others by weight. Within a source the documents stand
 a hash of their id. Whole epochs are taken first, then the documents up to the place where
 the words counted from the first reach what is left of the target.
 
-The order within a source is cut into ranges of the hash with about RANGE documents each, so a source
-that holds a third of all rows is spread like the others. The sum up to a document is that of the
-ranges before its own (one row per range) and that of the documents before it in its range.
+The order within a source is cut into ranges of the hash, none of which holds more than about RANGE
+documents, so a source with a third of all rows is spread over many tasks. The sum up to a document is
+that of the ranges before its own (one row per range) and that of the documents before it in its range.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.sources.scratch import Workspace
+
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 WEIGHTS = (5, 2, 1)
-RANGE = 20_000
+RANGE = 1000
 KEY_BITS = 48
 
 
@@ -34,7 +36,7 @@ def order_key(doc_id: Column, seed: str = "mix") -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target) from (source, source_size, ...): one row per source in and out.
+    """(source, source_size, target) from (source, source_size): one row per source in and out.
 
     A source is at its cap exactly when cap * size / weight is below the common level of words
     per unit of weight. In the order of that quotient the level follows from running sums
@@ -55,7 +57,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         F.first(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level")), ignorenulls=True).over(whole),
     )
     target = F.least(F.col("most").cast("double"), F.coalesce(F.col("weight") * F.col("common"), F.lit(0.0)))
-    return level.select("source", "source_size", "documents", target.alias("target"))
+    return level.select("source", "source_size", target.alias("target"))
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -65,27 +67,26 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     with the same key stand in the order of id and size; equal rows may change places,
     which leaves the set of result rows as it is. A document without words takes none.
     """
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
-    wanted = targets(per_source, weights, cap)
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("documents") / RANGE))
-    width = F.ceil(F.lit(1 << KEY_BITS) / ranges).cast("long")
-    plan = wanted.withColumn("width", width).withColumn("source_at", F.coalesce("source", F.lit(""))).withColumn(
-        "source_null", F.col("source").isNull()
-    )
-    plan = plan.drop("source", "documents")
-    rows = (
-        sizes.withColumn("source_at", F.coalesce("source", F.lit("")))
-        .withColumn("source_null", F.col("source").isNull())
-        .join(plan, ["source_at", "source_null"])
-        .withColumn("part", F.floor(F.col("key") / F.col("width")))
+    ranges = max(1, -(-sizes.count() // RANGE))
+    keyed = sizes.select(
+        "*",
+        F.coalesce("source", F.lit("")).alias("source_at"),
+        F.col("source").isNull().alias("source_null"),
+        F.floor(F.col("key") / F.lit(-(-(1 << KEY_BITS) // ranges))).alias("part"),
     )
-    group = ["source_at", "source_null", "part"]
-    parts = rows.groupBy(*group).agg(F.sum("size").alias("part_size"))
-    earlier = Window.partitionBy("source_at", "source_null").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*group, F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("parts_before"))
+    source, group = ["source_at", "source_null"], ["source_at", "source_null", "part"]
+    parts = keyed.groupBy(*group).agg(F.sum("size").alias("part_size"))
+    earlier = Window.partitionBy(*source).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    parts = parts.select(*group, F.coalesce(F.sum("part_size").over(earlier), none).alias("parts_before"))
     inside = Window.partitionBy(*group).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = rows.withColumn("in_part", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = ordered.join(parts, group).withColumn("before", F.col("parts_before") + F.col("in_part"))
+    ordered = keyed.withColumn("in_part", F.coalesce(F.sum("size").over(inside), none))
+    before = F.col("parts_before") + F.col("in_part")
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = targets(per_source, weights, cap).select(
+        F.coalesce("source", F.lit("")).alias("source_at"), F.col("source").isNull().alias("source_null"), "source_size", "target"
+    )
+    placed = ordered.join(parts, group).withColumn("before", before).join(plan, source)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("before")))
@@ -102,6 +103,21 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key"))
 
 
-def copies(taken: Column, words: Column) -> Column:
-    """Whole copies for a mix of documents: ``taken`` words, rounded to whole documents."""
-    return F.when(words > 0, F.round(taken / words)).otherwise(0).cast("int")
+def mixed_documents(
+    docs: DataFrame, space: Workspace, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
+) -> DataFrame:
+    """The rows of a mix, with the columns of ``docs``: each document as often as it is taken.
+
+    Documents are whole: the one that the cut divides is taken if half of it or more lies before the cut, and
+    none more than ``cap`` times. The cut of a source is a key, so rows that share a doc_id are
+    taken alike. Texts without words (null and empty ones too) are not taken. Texts are not shuffled
+    unless there are too many sources to broadcast one row for each.
+    """
+    mixed = mix(space.stage(document_sizes(docs), "sizes"), weights, cap)
+    half = (F.col("size") > 0) & (2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size"))
+    cuts = mixed.groupBy("source").agg(F.max("epochs").alias("__epochs"), F.max(F.when(half, F.col("key"))).alias("__cut"))
+    cuts = space.stage(cuts.withColumnRenamed("source", "__source"), "cuts")
+    before_cut = F.coalesce(order_key(F.col("doc_id")) <= F.col("__cut"), F.lit(False)).cast("int")
+    rows = docs.filter(F.rlike("text", F.lit(WORD))).join(cuts, F.col("source").eqNullSafe(F.col("__source")))
+    times = F.array_repeat(F.lit(0), (F.col("__epochs") + before_cut).cast("int"))
+    return rows.withColumn("__copy", F.explode(times)).select(*[rows[c] for c in docs.columns])
