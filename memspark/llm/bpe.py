@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
-Encoder: the merges are compiled, as far as texts need them, into a deterministic
-finite-state transducer. A string of tokens is what the merges make of its bytes exactly when each token is what
-they make of its own bytes, and each two neighbours are what they make of theirs. So every
-prefix has one encoding, and the last token of it is the one that may follow the encoding of the bytes before it.
-A state holds, for every place from which a token may still go on, the tokens up to
-there that are not given out yet and the bytes since. A step on a byte gives out the tokens
-on which all places agree; no place lies further back than the longest token, which
-bounds the lookahead. States and steps are made when first met and kept, up to a
-bound on their number; beyond it the machine starts afresh, with the same results.
+Encoder: the merges are compiled, as far as texts need them, into a finite-state transducer. A string of tokens is
+what the merges make of its bytes exactly when each token is what they make of its own bytes, and each
+two neighbours are what they make of theirs. So every prefix has one encoding; its last token is the one
+that may follow the encoding of the bytes before it. The machine gives that last token at every byte.
+
+A place is a start from which a token may still go on, with what the token before it bars; places move on bytes by
+themselves. A state is the set of open places. Places, states and steps are made when first met and kept, up to
+a bound on their number; beyond it the machine starts afresh, with the same results. A token is
+final as soon as every open place lies behind it, and none lies further back than the longest token. Then
+the tokens are read off from the last one back.
 
 Decoder: bytes of tokens go through a UTF-8 state machine that holds back an unfinished character.
 """
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from memspark.llm.chunks import Memory
 
-STEPS = 250_000  # steps kept by a transducer
+STEPS = 300_000  # steps kept by a transducer
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,6 +41,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+class Place:
+    """Where a token may go on: the bytes since its start, and what may not follow the token before it.
+
+    ``barred`` has (part, rank): a token is barred when that part stands at its left end at that rank.
+    """
+
+    __slots__ = ("since", "barred", "moves")
+
+    def __init__(self, since: bytes, barred: tuple[tuple[bytes, int], ...]):
+        self.since, self.barred = since, barred
+        self.moves: dict[int, tuple[Place | None, int | None]] = {}
+
+
+class State(dict):
+    """Steps made so far: byte -> (next state, last token of the encoding up to and with this byte)."""
+
+    __slots__ = ("places",)
+
+
 class Transducer:
     """Bytes of one piece of text in, token ids out."""
 
@@ -44,21 +67,33 @@ class Transducer:
         self.ranks, self.limit = ranks, steps
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longer = {token[:i] for token in ranks for i in range(1, len(token))}
+        self.after: dict[bytes, list[tuple[bytes, int]]] = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if token[:i] in ranks and token[i:] in ranks:
+                    self.after.setdefault(token[:i], []).append((token[i:], rank))
         self.edges: dict[int, tuple[list, list] | None] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._number((-1, (((), b""),)))
-
-    def _number(self, state: tuple) -> int:
-        number = self.numbers.setdefault(state, len(self.states))
-        if number == len(self.states):
-            self.states.append(state)
-        return number
+        self.places: dict[tuple, Place] = {}
+        self.fresh: dict[int, Place] = {}
+        self.states: dict[tuple, State] = {}
+        self.made = 0
+        self.start = self._state((self._place(b"", ()),))
+
+    def _place(self, since: bytes, barred: tuple) -> Place:
+        place = self.places.get((since, barred))
+        if place is None:
+            place = self.places[since, barred] = Place(since, barred)
+        return place
+
+    def _state(self, places: tuple[Place, ...]) -> State:
+        state = self.states.get(places)
+        if state is None:
+            state = self.states[places] = State()
+            state.places = places
+        return state
 
     def merged(self, data: bytes, parts_left: int = 1) -> list[bytes]:
         """The encoding by the definition: join the neighbours of the lowest rank, the first ones first."""
@@ -70,81 +105,93 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _edge(self, token: int) -> tuple[list, list] | None:
-        """What stands at the left and at the right end of a token while its bytes are merged: (part,
-        rank at which it is merged away). None for a token that the merges never make."""
+    def _edge(self, token: int) -> tuple[dict, dict] | None:
+        """The parts that stand at the left and at the right end of a token while its bytes are merged, with the
+        rank at which each is merged away. None for a token that the merges never make."""
         if token not in self.edges:
             data = self.bytes_of[token]
             if self.merged(data) != [data]:
                 self.edges[token] = None
             elif len(data) == 1:
-                self.edges[token] = [(data, 1 << 60)], [(data, 1 << 60)]
+                self.edges[token] = {data: 1 << 60}, {data: 1 << 60}
             else:
-                both = self.merged(data, 2)
-                ends = [self._edge(self.ranks[part])[side] for side, part in enumerate(both)]
-                self.edges[token] = tuple([(data, 1 << 60), (end[0][0], token), *end[1:]] for end in ends)
+                ends = [(part, self._edge(self.ranks[part])[side]) for side, part in enumerate(self.merged(data, 2))]
+                self.edges[token] = tuple(end | {part: token, data: 1 << 60} for part, end in ends)
         return self.edges[token]
 
-    def _may_follow(self, before: int, token: int) -> bool:
-        """Whether no merge ever joins the end of one token with the start of the next.
+    def _after(self, token: int) -> Place:
+        """The place right behind a token.
 
-        A merge of parts a and b happens when both are there at its rank. At equal ranks the place
-        further left goes first: the merge inside the first token, and the joining one before
-        that inside the second.
+        A merge joins two tokens when both parts are there at its rank. At equal ranks the place further
+        left goes first: the merge inside the first token, the joining one before that inside the second.
         """
-        own = self._edge(token)
-        if before < 0 or own is None:
-            return own is not None
-        pair = before, token
-        if pair not in self.fits:
-            get = self.ranks.get
-            self.fits[pair] = not any(
-                rank < left_end and rank <= right_end
-                for a, left_end in self._edge(before)[1]
-                for b, right_end in own[0]
-                if (rank := get(a + b)) is not None
-            )
-        return self.fits[pair]
-
-    def _step(self, number: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
-        """A state is the last token given out and, for each place, (tokens held, bytes since)."""
-        given, places = self.states[number]
-        onward, ended = [], None
-        for held, since in places:
-            run = since + byte
-            token = self.ranks.get(run)
-            if ended is None and token is not None and self._may_follow(held[-1] if held else given, token):
-                ended = (*held, token)
-            if run in self.longer:
-                onward.append((held, run))
-        onward.append((ended, b""))  # one place always ends here, as every byte is a token
-        first = onward[0][0]
-        shared = len(first)
-        for held, _ in onward:
-            while held[:shared] != first[:shared]:
-                shared -= 1
-        if not shared:
-            return self._number((given, tuple(onward))), ()
-        state = first[shared - 1], tuple((held[shared:], run) for held, run in onward)
-        return self._number(state), first[:shared]
+        place = self.fresh.get(token)
+        if place is None:
+            barred: dict[bytes, int] = {}
+            for part, end in self._edge(token)[1].items():
+                for other, rank in self.after.get(part, ()):
+                    if rank < end and rank < barred.get(other, 1 << 60):
+                        barred[other] = rank
+            place = self.fresh[token] = self._place(b"", tuple(sorted(barred.items())))
+        return place
+
+    def _move(self, place: Place, byte: int) -> tuple[Place | None, int | None]:
+        """The same place one byte later, if some token is longer, and the token that may end here."""
+        since = place.since + bytes((byte,))
+        token, onward = self.ranks.get(since), None
+        barred = tuple([p for p in place.barred if p[0].startswith(since) or since.startswith(p[0])])
+        if token is not None:
+            edge = self._edge(token)
+            if edge is None or any(edge[0].get(part, -1) >= rank for part, rank in barred):
+                token = None
+        if since in self.longer:
+            onward = self._place(since, barred)
+        place.moves[byte] = onward, token
+        return onward, token
+
+    def _step(self, state: State, byte: int) -> tuple[State, int]:
+        places, ended = [], None
+        for place in state.places:
+            onward, token = place.moves.get(byte) or self._move(place, byte)
+            if onward is not None:
+                places.append(onward)
+            if token is not None:
+                ended = token  # of one place only, as a prefix has one encoding
+        places.append(self._after(ended))
+        return self._state(tuple(places)), ended
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
-        if (whole := self.ranks.get(data)) is not None:
+        whole = self.ranks.get(data)
+        if whole is not None:
             return [whole]
-        out, state, steps = [], 0, self.steps
+        out: list[int] = []
+        last, state = [], self.start
         for byte in data:
-            step = steps.get(state << 8 | byte)
+            step = state.get(byte)
             if step is None:
-                if len(steps) >= self.limit:
-                    now = self.states[state]
+                if self.made >= self.limit:
+                    here = state.places
                     self._clear()
-                    steps, state = self.steps, self._number(now)
-                step = steps[state << 8 | byte] = self._step(state, bytes([byte]))
-            state, given = step
-            if given:
-                out += given
-        return out + list(self.states[state][1][-1][0])
+                    state = self._state(here)
+                step = state[byte] = self._step(state, byte)
+                self.made += 1
+            state, token = step
+            last.append(token)
+            if len(state.places) == 1 and len(last) > 64:  # no earlier place is open: all is decided
+                out += self._chain(last)
+                last.clear()
+        return out + self._chain(last)
+
+    def _chain(self, last: list[int]) -> list[int]:
+        """The tokens that end at the last byte, from the last token at each byte."""
+        tokens, at, length = [], len(last), self.bytes_of
+        while at:
+            token = last[at - 1]
+            tokens.append(token)
+            at -= len(length[token])
+        tokens.reverse()
+        return tokens
 
 
 class Codec:
@@ -158,9 +205,17 @@ class Codec:
 
     def _part(self, part: str) -> bytes:
         ids: list[int] = []
-        for piece in self.pieces.findall(part):
+        word = part[1:] if part[0] == " " else part
+        # a word, or a word with a comma or full stop, is split by the pattern as follows
+        if word.isalpha():
+            pieces = [part]
+        elif word[-1:] in (",", ".") and word[:-1].isalpha():
+            pieces = [part[:-1], part[-1]]
+        else:
+            pieces = self.pieces.findall(part)
+        for piece in pieces:
             ids += self.transducer.encode(piece.encode())
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text, 32 bits each; none for null."""

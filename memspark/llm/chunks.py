@@ -27,16 +27,22 @@ def cut(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """What ``work`` makes of a part, kept for at most ``size`` parts at a time."""
+    """What ``work`` makes of a part. Holds the parts met lately: at most twice ``size``.
 
-    def __init__(self, work, size: int = 250_000):
+    When ``size`` parts are held they become the older half, and parts of it that are met again come back.
+    """
+
+    def __init__(self, work, size: int = 200_000):
         super().__init__()
-        self.work, self.size = work, size
+        self.work, self.size, self.older = work, size, {}
 
     def __missing__(self, part: str):
-        value = self.work(part)
+        value = self.older.get(part)
+        if value is None:
+            value = self.work(part)
         if len(part) <= LONG:
             if len(self) >= self.size:
+                self.older = dict(self)
                 self.clear()
             self[part] = value
         return value
