@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from memspark.llm.html_pages import labelled_pages
 
 SAMPLE = 200  # pages of the table used for the fit, at most
+SMOOTH = 2
 
 # Fixed values of HTML: elements by the way they break lines and nest.
 BLOCK = frozenset(
@@ -84,6 +85,7 @@ def parse(source: str | None) -> Page:
     source = source or ""
     page = Page()
     stack: list[tuple[str, int]] = [("#root", page.add("#root", -1, ""))]
+    still_open: Counter[str] = Counter()
     silent, links = 0, 0
     run: list[str] = []
     owner, run_linked = 0, 0
@@ -103,18 +105,19 @@ def parse(source: str | None) -> Page:
         nonlocal silent, links
         while len(stack) > depth:
             name, _ = stack.pop()
+            still_open[name] -= 1
             silent -= name in SILENT
             links -= name == "a"
 
-    def close(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> bool:
+    def close(names: set[str], until: set[str]) -> None:
+        """End the innermost open element of these names, unless one of ``until`` is further in."""
+        if not any(still_open[name] for name in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
-            name = stack[depth][0]
-            if name in names:
-                pop_to(depth)
-                return True
-            if name in until:
-                return False
-        return False
+            if stack[depth][0] in names:
+                return pop_to(depth)
+            if stack[depth][0] in until:
+                return
 
     at, end = 0, len(source)
     while at < end:
@@ -132,8 +135,7 @@ def parse(source: str | None) -> Page:
             name = tag.group(1).lower()
             if name in BLOCK:
                 flush()
-            if any(n == name for n, _ in stack):
-                close({name}, set())
+            close({name}, set())
             owner = stack[-1][1]
         elif tag.group(2):
             name, attributes = tag.group(2).lower(), tag.group(3)
@@ -150,6 +152,7 @@ def parse(source: str | None) -> Page:
             if name not in VOID and not attributes.rstrip().endswith("/") or name in BLOCK and name != "hr":
                 node = page.add(name, stack[-1][1], attributes) if name in BLOCK and not silent else stack[-1][1]
                 stack.append((name, node))
+                still_open[name] += 1
                 silent += name in SILENT
                 links += name == "a"
                 if name in RAW:  # the text up to the end tag is not markup
@@ -208,16 +211,22 @@ def article_labels(page: Page) -> list[int] | None:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-odds of content for each feature, chances of content given the parent's label."""
+    """Log-odds of content for each feature; chances of content given the parent's label (0 or 1), for
+    the tags of parent and child and for any other pair of tags; the chance at the root."""
 
     odds: dict[str, float]
-    given: tuple[float, float]
+    given: dict[tuple[str, str], tuple[float, float]]
+    other: tuple[float, float]
     root: float
 
+    def edges(self, page: Page) -> list[tuple[float, float]]:
+        tag = page.tag
+        return [self.other, *[self.given.get((tag[p], tag[i]), self.other) for i, p in enumerate(page.parent) if p >= 0]]
+
     def marginals(self, page: Page) -> list[float]:
         """Chance of content for each block element: one pass up, one down."""
         n, parent = len(page.tag), page.parent
-        (t0, t1), odds = self.given, self.odds
+        odds, edges = self.odds, self.edges(page)
         up0, up1 = [1.0] * n, [1.0] * n  # potential times the messages of the children
         to0, to1 = [1.0] * n, [1.0] * n  # message to the parent
         for i, row in enumerate(features(page)):
@@ -226,6 +235,7 @@ class Model:
             total = up0[i] + up1[i]
             a, b = up0[i] / total, up1[i] / total
             up0[i], up1[i] = a, b
+            t0, t1 = edges[i]
             m0, m1 = (1 - t0) * a + t0 * b, (1 - t1) * a + t1 * b
             to0[i], to1[i] = m0, m1
             p = parent[i]
@@ -236,7 +246,7 @@ class Model:
         out = [0.0] * n
         for i in range(n):
             if i:  # what the parent says without this child, through the edge
-                p = parent[i]
+                p, (t0, t1) = parent[i], edges[i]
                 a, b = (1 - out[p]) / to0[i], out[p] / to1[i]
                 d0, d1 = a * (1 - t0) + b * (1 - t1), a * t0 + b * t1
             else:
@@ -253,23 +263,28 @@ class Model:
 
 
 def fit(labelled: list[tuple[Page, list[int]]]) -> Model:
-    """Counts of features by label and of labels by the parent's label, smoothed."""
-    seen, nodes, edges = (Counter(), Counter()), [0, 0], [[1, 1], [1, 1]]
-    roots = [1, 1]
+    """Counts of features by label and of labels by the parent's label, smoothed; pairs of tags
+    lean on all pairs as if SMOOTH more edges had been seen."""
+    seen, nodes, roots = (Counter(), Counter()), [0, 0], [1, 1]
+    pairs: dict[tuple[str, str], list[list[int]]] = {}
     for page, labels in labelled:
         for i, row in enumerate(features(page)):
             y = labels[i]
             nodes[y] += 1
             seen[y].update(row)
             if i:
-                edges[labels[page.parent[i]]][y] += 1
+                p = page.parent[i]
+                pairs.setdefault((page.tag[p], page.tag[i]), [[0, 0], [0, 0]])[labels[p]][y] += 1
             else:
                 roots[y] += 1
     odds = {
         f: math.log((seen[1][f] + 0.5) / (nodes[1] + 1)) - math.log((seen[0][f] + 0.5) / (nodes[0] + 1))
         for f in seen[0].keys() | seen[1].keys()
     }
-    return Model(odds, tuple(e[1] / (e[0] + e[1]) for e in edges), roots[1] / sum(roots))
+    every = [[1 + sum(n[x][y] for n in pairs.values()) for y in (0, 1)] for x in (0, 1)]
+    other = tuple(n[1] / sum(n) for n in every)
+    given = {k: tuple((n[x][1] + SMOOTH * other[x]) / (sum(n[x]) + SMOOTH) for x in (0, 1)) for k, n in pairs.items()}
+    return Model(odds, given, other, roots[1] / sum(roots))
 
 
 def train(pages: DataFrame, limit: int = SAMPLE) -> Model:

@@ -13,6 +13,8 @@ All of it is one projection of built-in expressions: no shuffle, no join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,18 +117,25 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAD = r"(conditions|are met):"  # a colon that ends a sentence
+STOP = r"[.!?]+"
+SPACE = r"[ \t\n\x0B\f\r]"
+PARAGRAPH = rf"\n[ \t]*\n{SPACE}*"  # an empty line
+WRAP = r"\n[ \t#*/;-]*"  # a line break with the comment signs after it
 HOLDER = r"(?:^| )copyright [^\n]*? all rights reserved$"  # of a normalised sentence
 
 
 def normalised(sentence: str) -> str:
-    """The rule of ``_sentences`` for one known sentence."""
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in sentence)
-    return " ".join("".join(c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in lowered).split())
+    """A known sentence by the rule of ``_sentences``; of one with inner stops the longest part."""
+    lowered = re.sub(LEAD, r"\1.", sentence.translate(str.maketrans(UPPER, LOWER)))
+    parts = re.split(rf"{STOP}({SPACE})", lowered)
+    return max((" ".join(re.sub(r"[^a-z0-9]+", " ", part).split()) for part in parts), key=len)
 
 
 def _sentences(text: Column) -> Column:
-    """Normalised sentences in order. A sentence ends at a line break, or at . ! ? ; or : before white space."""
-    split = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[.!?:;]+(?=\s)", "\n")
+    """Normalised sentences in order. A sentence ends at a line break, at . ! or ? before white space, or at a colon by LEAD."""
+    lowered = F.regexp_replace(F.translate(text, UPPER, LOWER), LEAD, "$1.")
+    split = F.regexp_replace(lowered, rf"{STOP}({SPACE})", "\n$1")
     plain = F.regexp_replace(split, r"[^a-z0-9\n]+", " ")
     tidy = F.regexp_replace(plain, r" ?\n[ \n]*", "\n")
     return F.split(F.trim(tidy), "\n")
@@ -134,14 +143,11 @@ def _sentences(text: Column) -> Column:
 
 def _identifiers(sentences: Column, known: dict[str, str]) -> Column:
     """Identifiers of the known sentences, each between two bars: |a||b|."""
-    items = [F.lit(x) for pair in known.items() for x in pair]
-    table = F.create_map(*items)
-    reserved = "AllRights" if "AllRights" in known.values() else None
-    found = F.element_at(table, F.lit("")) if not items else None
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    reserved = F.lit("AllRights" if "AllRights" in known.values() else None)
 
     def one(sentence: Column) -> Column:
-        value = F.try_element_at(table, sentence) if found is None else F.lit(None).cast("string")
-        return F.coalesce(value, F.when(F.rlike(sentence, F.lit(HOLDER)), F.lit(reserved))) if reserved else value
+        return F.coalesce(F.try_element_at(table, sentence), F.when(F.rlike(sentence, F.lit(HOLDER)), reserved))
 
     ids = F.filter(F.transform(sentences, one), F.isnotnull)
     return F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("|"), i, F.lit("|"))))
@@ -160,21 +166,20 @@ def scan(
     rules: list[tuple[tuple[str, ...], str]] = RULES,
     into: str = "licence_scan",
 ) -> DataFrame:
-    """``docs`` with a struct ``into``: sentence_ids (in order), licences (sorted, each once) and unmatched
-    (identifiers that no rule takes), as texts joined by commas.
+    """``docs`` with a struct ``into``: sentence_ids (in order), licences and unmatched
+    (identifiers that no rule takes; both sorted, each once), as texts joined by commas.
 
     A null or empty text has no sentences and gives empty strings. Rows are worked on one by one: ids and
     repeated rows play no part.
     """
     known = {normalised(s): i for s, i in sentences.items()}
     text = F.coalesce(F.col("text"), F.lit(""))
-    paragraphs = F.regexp_replace(F.regexp_replace(text, r"\n[ \t]*\n\s*", ".\u0001"), r"\n[ \t#*/;-]*", " ")
-    joined = F.replace(paragraphs, F.lit("\u0001"), F.lit("\n"))
+    joined = F.replace(F.regexp_replace(F.regexp_replace(text, PARAGRAPH, ".\u0001"), WRAP, " "), F.lit("\u0001"), F.lit("\n"))
 
     def facts(by_line: Column, by_paragraph: Column) -> Column:
         lines, wrapped = _matched(by_line, rules), _matched(by_paragraph, rules)
         licences = F.array_sort(F.array_distinct(F.regexp_extract_all(F.concat(lines, wrapped), F.lit("<([^>]*)>"), 1)))
-        left = F.array_distinct(F.regexp_extract_all(lines, F.lit(r"\|([^|]*)\|"), 1))
+        left = F.array_sort(F.array_distinct(F.regexp_extract_all(lines, F.lit(r"\|([^|]*)\|"), 1)))
         return F.struct(
             F.array_join(F.regexp_extract_all(by_line, F.lit(r"\|([^|]*)\|"), 1), ",").alias("sentence_ids"),
             F.array_join(licences, ",").alias("licences"),

@@ -59,11 +59,9 @@ def _repeated_words(words: Words, rows: int) -> np.ndarray:
     twice = np.zeros(len(at), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    starts = np.zeros(len(words.hash) + WINDOW, bool)
-    starts[at[twice]] = True
     covered = np.zeros(len(words.hash), bool)
     for j in range(WINDOW):
-        covered[j:] |= starts[: len(words.hash) - j] if j else starts[: len(words.hash)]
+        covered[at[twice] + j] = True
     return np.bincount(words.doc[covered], minlength=rows)
 
 

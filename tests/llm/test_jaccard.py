@@ -1,0 +1,149 @@
+"""The join against all pairs of sets, and the promise that similar sets share a tile."""
+
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+from conftest_llm import make, odd_rows, prose
+
+from memspark.llm import jaccard
+from memspark.llm.words import shingle_sets, utf8
+
+import pyarrow as pa
+
+
+def plain_sets(texts):
+    out = []
+    for text in texts:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+        out.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} if words else set())
+    return out
+
+
+def plain_components(rows):
+    """(doc_id, n_shingles, component_id) per row."""
+    sets = plain_sets([t for _, t, _ in rows])
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            group[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i, (doc_id, _, _) in enumerate(rows):
+        if doc_id is not None:
+            least[top(i)] = min(least.get(top(i), doc_id), doc_id)
+    return sorted(((d, len(sets[i]), least.get(top(i), d)) for i, (d, _, _) in enumerate(rows)), key=str)
+
+
+def result(df):
+    assert df.columns == ["doc_id", "n_shingles", "component_id"]
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def edited(text, seed, changes):
+    r = random.Random(seed)
+    words = text.split()
+    for _ in range(changes):
+        words[r.randrange(len(words))] = prose(r.random(), 1)
+    return " ".join(words)
+
+
+def test_odd_rows(spark, odd, space):
+    assert result(jaccard.components_of(odd, space)) == plain_components(odd_rows())
+
+
+def test_empty_table(spark, empty, space):
+    assert result(jaccard.components_of(empty, space)) == []
+
+
+def test_near_copies_chains_and_shared_passages(spark, space):
+    """Copies with few and many edits, chains whose ends are not similar, a passage that all texts share."""
+    rows, passage = [], prose(77, 40)
+    for family in range(12):
+        base = prose(family, 20 + 30 * family)
+        for i in range(8):
+            rows.append((len(rows), edited(base, 100 * family + i, i * len(base.split()) // 100), "s"))
+        chained = base
+        for i in range(6):
+            chained = edited(chained, 7000 + 10 * family + i, max(1, len(base.split()) // 60))
+            rows.append((len(rows), chained, "s"))
+    rows += [(len(rows) + i, f"{prose(5000 + i, 30)} {passage} {prose(6000 + i, 60)}", "s") for i in range(40)]
+    rows += [(len(rows) + i, passage, "s") for i in range(5)]
+    random.Random(3).shuffle(rows)
+    want = plain_components(rows)
+    assert len({c for _, _, c in want}) < len(rows) - 60
+    assert result(jaccard.components_of(make(spark, rows).repartition(5), space)) == want
+
+
+def test_small_sets(spark, space):
+    """Sets of 1 to 12 shingles over few words, where tiles are few and agree by chance."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(r.randint(1, 16))), "s") for i in range(300)]
+    assert result(jaccard.components_of(make(spark, rows), space)) == plain_components(rows)
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_hot_tiles(spark, space, monkeypatch, hot):
+    """Hot tiles go another way and give the same links."""
+    monkeypatch.setattr(jaccard, "PROBE", 1)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 3 if hot else 10**9)
+    monkeypatch.setattr(jaccard, "HOT_PARTS", 1000)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    base = prose(1, 120)
+    rows = [(i, edited(base, i, i % 12), "s") for i in range(60)] + [(100 + i, prose(i + 50, 80), "s") for i in range(20)]
+    assert result(jaccard.components_of(make(spark, rows), space)) == plain_components(rows)
+
+
+def test_similar_sets_share_a_tile():
+    """Every pair at or above the threshold agrees on a key, at sizes from 1 to 2000 and at the edge of the threshold."""
+    r = np.random.default_rng(1)
+    for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 16, 17, 20, 31, 33, 50, 64, 65, 100, 128, 129, 300, 513, 2000]:
+        for _ in range(40 if n < 200 else 8):
+            both = r.integers(0, 2**63, n, dtype=np.uint64)
+            apart = n // 4  # |both| / (|both| + apart) >= 0.8
+            left = int(r.integers(0, apart + 1))
+            a = np.unique(np.concatenate([both, r.integers(0, 2**63, left, dtype=np.uint64)]))
+            b = np.unique(np.concatenate([both, r.integers(0, 2**63, apart - left, dtype=np.uint64)]))
+            row, key = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            assert set(key[row == 0].tolist()) & set(key[row == 1].tolist()), n
+
+
+def test_bitmaps_never_rule_out_similar_sets():
+    r = np.random.default_rng(2)
+    for n in [1, 5, 30, 200, 1500]:
+        both = r.integers(0, 2**63, n, dtype=np.uint64)
+        extra = r.integers(0, 2**63, n // 4, dtype=np.uint64)
+        values = np.concatenate([np.sort(both), np.sort(np.concatenate([both, extra]))])
+        x, y = (np.frombuffer(m, np.uint64) for m in jaccard.bitmaps(values, np.array([0, n, 2 * n + n // 4])))
+        words = min(len(x), len(y))
+        apart = int(np.bitwise_count(jaccard._fold(x, words) ^ jaccard._fold(y, words)).sum())
+        assert apart <= n // 4
+        assert jaccard.may_link(n, n + n // 4, apart, 80)
+
+
+def test_shingle_sets_match_plain_sets():
+    """Sizes and overlaps of hashed sets, also across the blocks in which texts are read."""
+    texts = [t for _, t, _ in odd_rows()] + [prose(9, 400_000)]
+    values, offsets = shingle_sets(*utf8(pa.array(texts)), 5)
+    plain = plain_sets(texts)
+    own = [set(values[offsets[i] : offsets[i + 1]].tolist()) for i in range(len(texts))]
+    assert [len(s) for s in own] == [len(s) for s in plain]
+    for i, j in combinations(range(len(texts)), 2):
+        assert len(own[i] & own[j]) == len(plain[i] & plain[j])
+
+
+def test_keep_first(spark, space):
+    rows = [(1, prose(1, 50), "a"), (2, prose(1, 50), "a"), (3, prose(2, 50), "a"), (4, None, "a"), (None, prose(1, 50), "b"), (None, prose(4, 9), "b")]
+    docs = make(spark, rows)
+    kept = jaccard.keep_first(docs, space)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0), (True, 0)]

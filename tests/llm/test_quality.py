@@ -1,0 +1,127 @@
+"""Counts against their definition, scores against a plain version, the verdict on held-out labels."""
+
+import math
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+from conftest_llm import make, odd_rows, prose
+from pyspark.sql import functions as F
+
+from memspark.llm import quality
+from memspark.llm.queries import op10_quality_rules
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_facts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    count = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if count[w] > 1 for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def plain_grams(text):
+    codes = [ord(c) for c in text or ""]
+    return [(sum(c * m for c, m in zip(codes[i : i + 3], quality.MULTIPLIERS)) % 2**32) >> 16 for i in range(len(codes) - 2)]
+
+
+def plain_model(docs, labels):
+    raw, trusted = Counter(), Counter()
+    for doc_id, text in docs:
+        raw.update(plain_grams(text))
+        if labels.get(doc_id) == 1:
+            trusted.update(plain_grams(text))
+    if not trusted:
+        return lambda text: 0
+    all_raw, all_trusted = sum(raw.values()), sum(trusted.values())
+
+    def weight(b):
+        t, r = (trusted[b] + 1) / (all_trusted + 65536), (raw[b] + 1) / (all_raw + 65536)
+        return math.floor((math.log(t) - math.log(r)) * 65536 + 0.5)
+
+    return lambda text: sum(weight(b) for b in plain_grams(text))
+
+
+FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def test_query_against_plain_version(spark):
+    """All columns of the registered query, kept included."""
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    labels = dict(con.execute(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").fetchall())
+    score = plain_model(docs, labels)
+    rows = {}
+    for doc_id, text in docs:
+        facts = plain_facts(text)
+        grams = len(plain_grams(text))
+        failed = facts[0] < 10 or 100 * facts[4] > 20 * facts[0]
+        rows[doc_id] = (*facts, grams, score(text), failed, score(text) / max(grams, 1))
+    seen = sorted((r[8], labels[d]) for d, r in rows.items() if d in labels and not r[7])
+    good, best, cut = sum(g for _, g in seen), -1, 0
+    bad = len(seen) - good
+    for i in range(len(seen)):
+        if i and seen[i][0] == seen[i - 1][0]:
+            continue
+        below = seen[:i]
+        value = (good - sum(g for _, g in below)) / good + (sum(1 - g for _, g in below) / bad if bad else 0)
+        if value > best:
+            best, cut = value, (seen[i][0] + seen[i - 1][0]) / 2 if i else seen[0][0]
+    got = {r["doc_id"]: r for r in op10_quality_rules(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for doc_id, want in rows.items():
+        r = got[doc_id]
+        assert (*[r[f] for f in FACTS], r["n_grams"], r["score"], r["base_failed"]) == want[:8]
+        assert r["kept"] == (not want[7] and want[8] >= cut), doc_id
+
+
+def test_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, "x"), (8, 0, "x"), (None, 1, "x"), (6, None, "x")], "doc_id long, quality int, text string")
+    model = quality.fit(odd, labels)
+    got = quality.judge(odd, model, "quality_out").select("doc_id", "text", "quality_out.*").collect()
+    assert sorted((tuple(r[f] for f in FACTS) for r in got)) == sorted(plain_facts(t) for _, t, _ in odd_rows())
+    assert all(not r["kept"] for r in got if not (r["text"] or "").strip())
+    kept = quality.keep(odd, model)
+    assert kept.columns == odd.columns
+    assert kept.count() == sum(r["kept"] for r in got)
+
+
+def test_empty_tables_and_no_labels(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep(empty, quality.fit(empty, none)).count() == 0
+    kept = quality.judge(odd, quality.fit(odd, none), "q").filter(F.col("q.kept") == F.col("q.base_failed")).count()
+    assert kept == 0  # without trusted texts the base rules alone decide
+
+
+def test_batches_do_not_change_scores():
+    texts = [t for _, t, _ in odd_rows()]
+    import pyarrow as pa
+
+    weights = np.arange(quality.BUCKETS) - 30_000
+    whole = quality.facts(pa.array(texts), weights)
+    for i, text in enumerate(texts):
+        one = quality.facts(pa.array([text], pa.string()), weights)
+        assert [int(c[0]) for c in one] == [int(c[i]) for c in whole]
+
+
+def test_held_out_labels(spark):
+    """Fitted on every other label, the verdict agrees with the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = quality.judge(docs, quality.fit(docs, labels.filter("doc_id % 2 = 0")), "q").join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    seen = judged.filter("NOT q.base_failed").select("quality", "q.kept").collect()
+    right = sum(bool(q) == k for q, k in seen)
+    assert right >= 0.98 * len(seen)
+
+
+def test_trusted_documents_stay_without_bad_examples(spark):
+    docs = make(spark, [(i, prose(i, 40), "a") for i in range(6)])
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
+    judged = quality.judge(docs, quality.fit(docs, labels), "q")
+    assert all(r["k"] for r in judged.filter("doc_id < 2").select("q.kept").toDF("k").collect())
