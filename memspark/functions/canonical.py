@@ -61,11 +61,16 @@ def canonical_json(raw: Column, doc: Column | None = None, field: str | None = N
 
     ``doc`` is ``raw`` already parsed. The built-in VARIANT printer does nearly
     all rows. Only the unusual ones are handed to Python; for the others the
-    UDF receives NULL, which costs little next to reading the input twice.
+    UDF receives NULL, which costs little next to reading the input twice. Texts
+    that do not parse here are handed over too: they may hold a key twice, which
+    the built-in parser refuses unless the session says otherwise. The last one counts.
     """
-    doc = F.try_parse_json(raw) if doc is None else doc
+    by_hand = unusual(raw)
+    if doc is None:
+        doc = F.try_parse_json(raw)
+        by_hand = by_hand | doc.isNull()
     value = doc if field is None else F.try_variant_get(doc, f"$.{field}", "variant")
-    exact = _exact_text(field)(F.when(unusual(raw), raw))
+    exact = _exact_text(field)(F.when(by_hand, raw))
     return F.coalesce(exact, F.to_json(value))
 
 
@@ -75,7 +80,8 @@ def canonical_json_builtin(raw: Column) -> Column:
 
 
 def content_hash_hex(type_: Column, source: Column, content: Column) -> Column:
-    return F.sha2(F.concat_ws("::", type_, source, content), 256)
+    """NULL when a part is NULL: a hash without one of its parts would join unlike records."""
+    return F.sha2(F.concat(type_, F.lit("::"), source, F.lit("::"), content), 256)
 
 
 def content_hash(type_: Column, source: Column, content: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,23 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """One plus the inner product, rounded so that every engine ranks alike.
+    """One plus the inner product, rounded half up on the binary value; NULL when it is not a finite number.
 
-    Adding zero turns a negative zero into a plain one.
+    ``rounded_scores`` is the same rule for numpy.
     """
-    return F.round(1.0 + inner_product(a, b), SCORE_DIGITS) + F.lit(0.0)
+    scale = 10.0**SCORE_DIGITS
+
+    def rounded(score: Column) -> Column:
+        finite = F.abs(score) < F.lit(float("inf"))  # NaN counts as larger
+        return F.when(finite, F.floor(score * scale + 0.5) / scale)
+
+    return let(1.0 + inner_product(a, b), rounded)
+
+
+def rounded_scores(scores: np.ndarray) -> np.ndarray:
+    """Finite scores, rounded half up on the binary value."""
+    scale = 10.0**SCORE_DIGITS
+    return np.floor(scores * scale + 0.5) / scale + 0.0
 
 
 def l2_normalize(vector: Column) -> Column:

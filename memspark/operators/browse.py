@@ -54,6 +54,11 @@ def recent_by_tags(memories: DataFrame, tags: str, limit: int | None = None) ->
     return listed(memories, tags=split_tags(tags)).limit(browse_limit(limit))
 
 
+def get_by_id(memories: DataFrame, id: str) -> DataFrame:
+    """The full record with an id, which is compared in lower case; the comparison reaches the scan."""
+    return memories.filter(F.col("id") == F.lit(id.strip(SPACES).lower())).select(*FULL_ROW)
+
+
 def get_by_ids(
     memories: DataFrame,
     requests: DataFrame,
@@ -86,6 +91,8 @@ def _with_records(memories: DataFrame, asked: DataFrame, request_id: str) -> Dat
     return join_salted(keyed, found, "key", wanted, [request_id]).drop("key")
 
 
+SHELF_PARTS = 64
+
 # The address forms of the read-only views.
 ADDRESS = r"^mem://([^/?#]+)(/[^?#]*)?(?:\?([^#]*))?"
 UNKNOWN_ADDRESS = "Unknown resource: "
@@ -98,7 +105,8 @@ def parse_addresses(requests: DataFrame, address: str = "uri") -> DataFrame:
     in the argument, as percent-decoding of a path leaves it.
     """
     uri, view, path = F.col(address), F.col("__view"), F.col("__path")
-    limit_text = F.try_url_decode(F.regexp_extract(uri, r"^[^?#]*\?(?:[^#]*&)?limit=([^&#]*)", 1))
+    # the first limit counts
+    limit_text = F.try_url_decode(F.regexp_extract(uri, r"^[^?#]*\?(?:[^#]*?&)??limit(?:=([^&#]*))?(?=&|#|\z)", 1))
     split = requests.withColumns(
         {
             "__view": F.regexp_extract(uri, ADDRESS, 1),
@@ -107,7 +115,7 @@ def parse_addresses(requests: DataFrame, address: str = "uri") -> DataFrame:
             "__number": F.regexp_extract(limit_text, rf"^{SPACE}*([+-]?\d+)", 1),
         }
     )
-    raw = F.substring(path, 2, 1_000_000)
+    raw = F.regexp_extract(uri, r"^mem://[^/?#]+/([^?#]*)", 1)
     split = split.withColumn("__text", F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
     decoded, has_limit, number = F.col("__text"), F.col("__has_limit"), F.col("__number")
     known = ((view == "recent") & (path == "")) | (view.isin("by-tags", "by-type", "item") & (path != ""))
@@ -123,11 +131,23 @@ def parse_addresses(requests: DataFrame, address: str = "uri") -> DataFrame:
     return outcome(split, requests.columns, view=view, argument=argument, limit=limit, error=error)
 
 
-def _shelves() -> Column:
-    """The lists a record stands in: all records, its type, each of its tags."""
+def _fixed_shelves() -> Column:
+    """The lists a record stands in whatever its tags: all records, its type."""
+    return F.array(F.lit("all:"), F.concat(F.lit("type:"), "type"))
+
+
+def _tag_shelves() -> Column:
     tags = F.transform(F.array_distinct("tags"), lambda tag: F.concat(F.lit("tag:"), tag))
-    fixed = F.array(F.lit("all:"), F.concat(F.lit("type:"), "type"))
-    return F.concat(fixed, F.coalesce(tags, F.array().cast("array<string>")))
+    return F.coalesce(tags, F.array().cast("array<string>"))
+
+
+def _newest_by_shelf(rows: DataFrame) -> DataFrame:
+    """The newest BROWSE_MAX rows per shelf with their ``rank``, ranked in parts first: no list meets in one task."""
+    part = Window.partitionBy("shelf", "__part").orderBy(*newest_first())
+    best = rows.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(SHELF_PARTS)))
+    best = best.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= BROWSE_MAX).drop("rank", "__part")
+    shelf = Window.partitionBy("shelf").orderBy(*newest_first())
+    return best.withColumn("rank", F.row_number().over(shelf)).filter(F.col("rank") <= BROWSE_MAX)
 
 
 def _wanted_shelves() -> Column:
@@ -152,7 +172,8 @@ def browse_many(
     No view shows more than the newest 100 rows, so the newest 100 of every
     wanted type and tag hold every answer. Each task keeps only its own newest
     rows of a list before the shuffle. The lists are then joined with the
-    requests, each of which takes its own number of rows.
+    requests, each of which takes its own number of rows. Faulty addresses have no
+    rows here; ``refused`` gives their errors.
     """
     workspace = workspace or Workspace(addresses.sparkSession)
     asked = parse_addresses(addresses).filter(F.col("error").isNull() & (F.col("view") != "item"))
@@ -160,13 +181,13 @@ def browse_many(
     asked = workspace.stage(asked, "asked")
     counts = asked.groupBy("shelf").agg(F.count("*").alias("n"))
 
-    shelf = Window.partitionBy("shelf").orderBy(*newest_first())
-    newest = (
-        memories.select(*LIST_ROW, F.explode(_shelves()).alias("shelf"))
-        .join(counts.select("shelf"), "shelf", "left_semi")
-        .withColumn("rank", F.row_number().over(shelf))
-        .filter(F.col("rank") <= BROWSE_MAX)
-    )
+    # Lists of all records and of a type are cut before the join, as few rows of them are left;
+    # tags may be very many, so only the wanted ones are ranked.
+    rows = memories.select(*LIST_ROW, F.explode(_fixed_shelves()).alias("shelf"))
+    fixed = _newest_by_shelf(rows).join(counts.select("shelf"), "shelf", "left_semi")
+    tagged = memories.select(*LIST_ROW, F.explode(_tag_shelves()).alias("shelf"))
+    tagged = _newest_by_shelf(tagged.join(counts.select("shelf"), "shelf", "left_semi"))
+    newest = workspace.stage(fixed.unionByName(tagged), "newest")
     # A record with several of the wanted tags comes up once per tag: keep one.
     hits = (
         join_salted(asked, newest, "shelf", counts, [request_id], how="inner")
@@ -182,13 +203,19 @@ def browse_many(
     )
 
 
+def refused(addresses: DataFrame, request_id: str = "request_id") -> DataFrame:
+    """(request_id, error) of the addresses that have no answer because they are faulty."""
+    return parse_addresses(addresses).filter(F.col("error").isNotNull()).select(request_id, "error")
+
+
 def items_by_address(
     memories: DataFrame,
     addresses: DataFrame,
     request_id: str = "request_id",
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """Answer the item addresses of a table: one row per address, all NULL when no record has the id."""
+    """Answer the item addresses of a table: one row per address, all NULL when no record has the id.
+    Faulty addresses are left to ``refused``."""
     workspace = workspace or Workspace(addresses.sparkSession)
     asked = parse_addresses(addresses).filter(F.col("error").isNull() & (F.col("view") == "item"))
     asked = workspace.stage(asked.select(request_id, F.col("argument").alias("asked")), "items")

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from memspark.functions.canonical import content_hash, id_from_hash
 
-FIRST_WRITER = ["id", "type", "content", "source", "embedding"]
+FIRST_WRITER = ["id", "type", "content", "source"]
+WIDE = [*FIRST_WRITER, "embedding"]
 
 
-def with_identity(writes: DataFrame) -> DataFrame:
+def with_identity(writes: DataFrame, keep: list[str] = []) -> DataFrame:
     """Add content hash, id and row defaults to sanitised writes.
 
     Expects type, content (canonical text), source, tags, confidence, ``ts``
-    and ``seq``; (ts, seq) orders all writes.
+    and ``seq``; (ts, seq) orders all writes. A write without type, source or
+    content has no identity and fails the job; checked requests always have them.
+    Columns named in ``keep`` are carried along.
     """
-    hashed = writes.withColumn("content_hash", content_hash(F.col("type"), F.col("source"), F.col("content")))
+    refused = F.raise_error(F.lit("a write needs type, source and content")).cast("binary")
+    digest = F.coalesce(content_hash(F.col("type"), F.col("source"), F.col("content")), refused)
+    hashed = writes.withColumn("content_hash", digest)
     return hashed.select(
         "content_hash",
         id_from_hash(F.col("content_hash")).alias("id"),
@@ -29,6 +34,7 @@ def with_identity(writes: DataFrame) -> DataFrame:
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
         F.col("seq").alias("first_seq"),
+        *keep,
     )
 
 
@@ -36,14 +42,19 @@ def merge_columns(rows: DataFrame):
     """The merge as aggregate columns over one row per tag.
 
     Tags united, highest confidence, earliest creation, latest update, all
-    other fields from the first writer. Every part combines on the map side, so
+    other fields from the first writer; the vector from the first writer that
+    brought one, since writes of a known record come without. Every part combines on the map side, so
     a hash that holds most of the rows sends one row per task; the final tag
     set is as large as the merged record itself and no larger.
     """
     fields = [name for name in FIRST_WRITER if name in rows.columns]
     order = F.struct("created_at", "first_seq")
     head = F.col("__pos") == 0
+    vector = []
+    if "embedding" in rows.columns:
+        vector = [F.min_by("embedding", F.when(F.col("embedding").isNotNull(), order)).alias("embedding")]
     return [
+        *vector,
         F.min_by(F.when(head, F.struct(*fields)), F.when(head, order)).alias("__first"),
         F.min(F.when(head, order)).alias("__order"),
         F.array_sort(F.collect_set("__tag")).alias("tags"),
@@ -54,7 +65,7 @@ def merge_columns(rows: DataFrame):
 
 def one_row_per_tag(records: DataFrame) -> DataFrame:
     """Spread the tags; only the first row of a record keeps the wide fields."""
-    fields = [name for name in FIRST_WRITER if name in records.columns]
+    fields = [name for name in WIDE if name in records.columns]
     spread = records.select(
         *[name for name in records.columns if name != "tags"],
         F.posexplode_outer("tags").alias("__pos", "__tag"),
@@ -87,6 +98,38 @@ def fold(records: DataFrame, hashed: bool = False) -> DataFrame:
     return merged.unionByName(records.filter(F.col("content_hash").isNull()))
 
 
+def update(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """``base`` after ``delta``; either has one row per hash. Only the hashes of ``base`` are read twice.
+
+    Spark broadcasts ``delta`` while it is small, and then no row of ``base`` moves.
+    """
+    def old(name):
+        return F.col(name)
+
+    def new(name):
+        return F.col(f"__new_{name}")
+
+    joined = base.join(
+        delta.select("content_hash", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in delta.columns if c != "content_hash"]),
+        "content_hash",
+        "left",
+    )
+    hit = F.coalesce("__hit", F.lit(False))
+    newer_first = hit & (F.struct(new("created_at"), new("first_seq")) < F.struct(old("created_at").alias("a"), old("first_seq").alias("b")))
+    none = F.array().cast("array<string>")
+    tags = F.array_sort(F.array_distinct(F.concat(F.coalesce(old("tags"), none), F.coalesce(new("tags"), none))))
+    columns = {name: F.when(newer_first, new(name)).otherwise(old(name)) for name in [*FIRST_WRITER, "created_at", "first_seq"]}
+    columns["tags"] = F.when(hit, tags).otherwise(old("tags"))
+    columns["confidence"] = F.greatest(old("confidence"), new("confidence"))
+    columns["updated_at"] = F.greatest(old("updated_at"), new("updated_at"))
+    if "embedding" in base.columns:
+        one, two = old("embedding"), new("embedding")
+        columns["embedding"] = F.when(newer_first, F.coalesce(two, one)).otherwise(F.coalesce(one, two))
+    merged = joined.select("content_hash", *[columns[c].alias(c) for c in base.columns if c != "content_hash"])
+    added = delta.join(base.select("content_hash"), "content_hash", "left_anti")
+    return merged.select(*base.columns).unionByName(added.select(*base.columns))
+
+
 def upsert(current: DataFrame, batch: DataFrame, hashed: bool = False) -> DataFrame:
     """``current`` after the writes of ``batch`` (both in record form)."""
     return fold(current.unionByName(batch), hashed)

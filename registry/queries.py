@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memspark import Options
 from memspark.functions.canonical import (
     canonical_json,
+    canonical_json_builtin,
     content_hash_hex,
     embedding_key,
 )
@@ -56,6 +57,27 @@ def rejects_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.filter(F.col("error").isNotNull()).groupBy("error").agg(F.count("*").alias("n"))
 
 
+def validate_edge_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that count as missing, tags of the wrong form and number, type and source beyond their length."""
+    kind = F.col("doc_id") % 8
+    rest = F.lit(',"source":"s","confidence":0.5')
+    raw = F.concat(
+        F.lit('{"type":"'),
+        F.when(kind == 7, F.repeat(F.lit("t"), F.lit(60))).otherwise("t"),
+        F.lit('"'),
+        F.when(kind == 0, "").when(kind == 1, ',"content":null').when(kind == 2, ',"content":false').when(kind == 3, ',"content":0')
+        .when(kind == 4, ',"content":""').when(kind == 7, ',"content":[]').otherwise(',"content":"x"'),
+        F.when(kind == 7, F.concat(F.lit(',"source":"'), F.repeat(F.lit("s"), F.lit(120)), F.lit('","confidence":0.5'))).otherwise(rest),
+        F.when(kind == 5, ',"tags":"a"').when(kind == 6, ',"tags":["a"' + ',"a"' * 20 + "]").otherwise(""),
+        F.lit("}"),
+    )
+    lines = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    checked = check_creates(parse_lines(lines))
+    valid = F.col("error").isNull()
+    lengths = {f"{c}_length": F.when(valid, F.char_length(c)) for c in ("type", "source")}
+    return checked.select("doc_id", "error", *[v.alias(k) for k, v in lengths.items()])
+
+
 def validate_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.col("lang")
     limit = (
@@ -154,12 +176,28 @@ def embed_once_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the vector of its text; equal texts share one model run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     embedded = embed_once(docs, "text", HashingEmbedder(DIM), OPTIONS, spread_by=["doc_id"])
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    numbers = F.transform("embedding", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x * x))
+    weighed = F.transform(numbers, lambda x, i: x * (i + 1))
+    moment = F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x)
     return embedded.select(
-        "doc_id", "embed_error", F.size("embedding").alias("width"), F.round(length, 3).alias("length")
+        "doc_id",
+        "embed_error",
+        F.size("embedding").alias("width"),
+        F.round(length, 3).alias("length"),
+        (F.round(moment, 3) + F.lit(0.0)).alias("moment"),
     )
 
 
+def embed_cls_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First word only, not normalised: one entry per document that has a word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    options = Options(dim=DIM, pooling="cls", normalize=False)
+    embedded = embed_once(docs, "text", HashingEmbedder(DIM), options, spread_by=["doc_id"])
+    entries = embedded.select("doc_id", F.posexplode("embedding").alias("place", "x")).filter("x != 0")
+    return entries.select("doc_id", "place", F.col("x").cast("double"))
+
+
 def mean_pool_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
     unit = pooled.select("label", l2_normalize(F.col("embedding")).alias("v"))
@@ -199,6 +237,22 @@ def upsert_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("created_at", "updated_at")}))
 
 
+def first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ways to split the same hashed text into type and source: the earlier write names the record."""
+    even = F.col("event_id") % 2 == 0
+    writes = table(spark, sf_dir, "events").select(
+        F.when(even, "a::b").otherwise("a").alias("type"),
+        F.when(even, "c").otherwise("b::c").alias("source"),
+        canonical_json_builtin(F.col("props")).alias("content"),
+        F.array(F.when(even, "a::b").otherwise("a")).alias("tags"),
+        F.lit(1.0).alias("confidence"),
+        "ts",
+        F.col("event_id").alias("seq"),
+    )
+    merged = merge.fold(merge.with_identity(writes), hashed=True)
+    return flat(merged.select("content_hash", "type", "source", "created_at", F.size("tags").cast("long").alias("types")))
+
+
 def upsert_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that the purchases among the events wrote to, after all writes."""
     writes = V.event_writes(table(spark, sf_dir, "events"))
@@ -281,20 +335,25 @@ def list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(shape.list_items(rows))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The place of each row as it comes; a limited list is one partition."""
+    return rows.withColumn("rank", F.monotonically_increasing_id() + 1)
+
+
 def recent_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(browse.recent(V.event_records(spark, sf_dir), 25))
+    return _numbered(flat(browse.recent(V.event_records(spark, sf_dir), 25)))
 
 
 def recent_by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(browse.recent_by_tags(V.event_records(spark, sf_dir), " user:7,,user:11 , USER:1"))
+    return _numbered(flat(browse.recent_by_tags(V.event_records(spark, sf_dir), " user:7,,user:11 , USER:1")))
 
 
 def recent_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(browse.recent_by_type(V.event_records(spark, sf_dir), "error", 1000))
+    return _numbered(flat(browse.recent_by_type(V.event_records(spark, sf_dir), "error", 1000)))
 
 
-def browse_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One address per event: its type, its user, or the newest records, by the kind of event."""
+def _event_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One address per event: its type, its user, the newest records, or an unknown one, by the kind of event."""
     kind = F.col("event_type")
     limit = F.concat(F.lit("?limit="), (F.floor("value") % 7).cast("string"))
     user = F.concat(F.lit("user%3A"), F.col("user_id").cast("string"))
@@ -304,15 +363,24 @@ def browse_many(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", F.concat(F.lit("mem://recent"), limit))
         .otherwise(F.concat(F.lit("mem://unknown/"), kind))
     )
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), address.alias("uri"))
-    return browse.browse_many(V.event_records(spark, sf_dir), events).select("request_id", "rank", "id", "created_at")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), address.alias("uri"))
+
+
+def browse_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = browse.browse_many(V.event_records(spark, sf_dir), _event_addresses(spark, sf_dir))
+    return found.select("request_id", "rank", "id", "created_at")
+
+
+def browse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of the addresses that ``browse_many`` leaves out."""
+    return browse.refused(_event_addresses(spark, sf_dir))
 
 
 def parse_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses turned into view addresses: host as type, path as tags."""
     url = F.col("url")
     address = F.when(
-        F.contains(url, F.lit("?")), F.concat(F.lit("mem://by-type/"), F.url_encode(url), F.lit("?limit=250"))
+        F.contains(url, F.lit("?")), F.concat(F.lit("mem://by-type/"), F.url_encode(url), F.lit("?limit=250&limit=3"))
     ).otherwise(F.concat(F.lit("mem://by-tags/a+b,"), F.url_encode(url)))
     pages = table(spark, sf_dir, "pages").select("page_id", address.alias("uri"))
     return browse.parse_addresses(pages).select("page_id", "view", "argument", F.col("limit").alias("limit_rows"), "error")
@@ -349,6 +417,28 @@ def search_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(hits)
 
 
+def search_edge_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are missing, too short, or hold NaN or infinity are not found, by any way of searching."""
+    kind = F.col("id") % 7
+    damaged = (
+        F.when(kind == 0, F.lit(None).cast("array<float>"))
+        .when(kind == 1, F.slice("embedding", 1, 5))
+        .when(kind == 2, F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan")).cast("float")).otherwise(x)))
+        .when(kind == 3, F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("inf")).cast("float")).otherwise(x)))
+        .otherwise(F.col("embedding"))
+    )
+    memories = V.vectors(spark, sf_dir).withColumn("embedding", damaged).select("id", "embedding")
+    vector = V.centroid(spark, sf_dir)
+    query = spark.range(1).select(F.lit(1).alias("query_id"), F.array(*[F.lit(x) for x in vector]).alias("embedding"), F.lit(50).alias("limit"))
+    ways = {
+        "builtin": search(memories, vector, limit=50, scoring="builtin"),
+        "arrow": search(memories, vector, limit=50, scoring="arrow"),
+        "many": search_many(memories, query, OPTIONS),
+    }
+    parts = [hits.select(F.lit(way).alias("way"), "id", "similarity") for way, hits in ways.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _self_queries(memories: DataFrame) -> DataFrame:
     return memories.select(F.col("id").alias("query_id"), "embedding", (F.col("label") + 1).alias("limit"))
 
@@ -446,6 +536,19 @@ def create_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.select("content_hash", "id", "type", "source", "tags", "confidence", width))
 
 
+def create_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the documents, then all: the second batch embeds only what is new, and nothing loses its vector."""
+    workspace = Workspace(spark)
+    lines = V.document_lines(spark, sf_dir)
+    embedder = HashingEmbedder(DIM)
+    memories = MemoryTable.create(spark, workspace.path("table"), DIM, embedder.model)
+    create(lines.filter("seq % 3 != 0"), memories, embedder, OPTIONS, workspace=workspace)
+    memories.compact()
+    create(lines, memories, embedder, OPTIONS, workspace=workspace)
+    width = F.size("embedding").alias("width")
+    return flat(memories.read().select("content_hash", "id", "type", "source", "tags", "confidence", width))
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a search request over the table of documents."""
     workspace = Workspace(spark)
@@ -492,6 +595,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "validate_creates": validate_creates,
+    "validate_edge_creates": validate_edge_creates,
     "rejects_by_error": rejects_by_error,
     "validate_searches": validate_searches,
     "validate_lists": validate_lists,
@@ -502,10 +606,12 @@ QUERIES = {
     "embed_key": embed_key,
     "embed_distinct": embed_distinct,
     "embed_once": embed_once_,
+    "embed_cls_raw": embed_cls_raw,
     "mean_pool_normalize": mean_pool_normalize,
     "dimension_check": dimension_check,
     "upsert_fold": upsert_fold,
     "upsert_incremental": upsert_incremental,
+    "first_writer": first_writer,
     "upsert_returning": upsert_returning,
     "upsert_items": upsert_items,
     "upsert_text": upsert_text,
@@ -521,10 +627,12 @@ QUERIES = {
     "recent_by_tags": recent_by_tags,
     "recent_by_type": recent_by_type,
     "browse_many": browse_many,
+    "browse_rejects": browse_rejects,
     "items_by_address": items_by_address,
     "parse_addresses": parse_addresses,
     "search_topk": search_topk,
     "search_topk_arrow": search_topk_arrow,
+    "search_edge_vectors": search_edge_vectors,
     "search_filtered_topk": search_filtered_topk,
     "search_batch": search_batch,
     "search_batch_filtered": search_batch_filtered,
@@ -538,6 +646,7 @@ QUERIES = {
     "record_cards": record_cards,
     "json_lines": json_lines,
     "create_documents": create_documents,
+    "create_incremental": create_incremental,
     "search_documents": search_documents,
     "stream_upsert": stream_upsert,
     "stream_ingest": stream_ingest,

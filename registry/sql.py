@@ -26,6 +26,7 @@ memories AS (
   FROM writes GROUP BY content_hash
 )"""
 
+RANK = "row_number() OVER (ORDER BY created_at DESC, id) AS rank"
 LIST_ROW = "id, type, tags, confidence, created_at, updated_at"
 RECORD = "content_hash, id, type, content, source, tags, confidence, created_at, updated_at"
 
@@ -60,7 +61,7 @@ centroid AS (
   SELECT list(x / norm ORDER BY pos) AS v FROM means, (SELECT sqrt(sum(x * x)) AS norm FROM means)
 )"""
 
-SCORE = "round(1 + list_inner_product({}::DOUBLE[], {}::DOUBLE[]), 6) + 0"
+SCORE = "floor((1 + list_inner_product({}::DOUBLE[], {}::DOUBLE[])) * 1000000 + 0.5) / 1000000"
 TYPED = """
 typed AS (
   SELECT vec_id AS id, embedding, label, lang AS type, lang || ',' || d.source AS tags, d.source AS source
@@ -96,6 +97,23 @@ FROM embeddings, centroid ORDER BY 2 DESC, 1 LIMIT 10"""
 
 
 
+def _vectors(name: str, texts: str) -> str:
+    """Entries (key, place, x) of the vector of each text: signed words by their MD5, mean, unit length."""
+    return f"""
+{name}_words AS (
+  SELECT key, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS word
+  FROM ({texts})),
+{name}_hashed AS (SELECT key, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h FROM {name}_words),
+{name}_sums AS (
+  SELECT key, (h % 64)::INTEGER AS place, sum(CASE WHEN h >= 9223372036854775808 THEN -1.0 ELSE 1.0 END::DOUBLE) AS s
+  FROM {name}_hashed GROUP BY key, place),
+{name}_means AS (
+  SELECT key, place, s / n AS m FROM {name}_sums JOIN (SELECT key, count(*) AS n FROM {name}_hashed GROUP BY key) USING (key)),
+{name} AS (
+  SELECT key, place, (m / CASE WHEN norm > 0 THEN norm ELSE 1 END)::FLOAT AS x
+  FROM {name}_means JOIN (SELECT key, sqrt(sum(m * m)) AS norm FROM {name}_means GROUP BY key) USING (key))"""
+
+
 def _number(x: str) -> str:
     """A number as JavaScript prints it: no trailing ``.0``, and an exponent only below 1e-6."""
     text = f"({x})::VARCHAR"
@@ -110,6 +128,12 @@ JSON_TAGS = """'["' || array_to_string(tag_list, '","') || '"]'"""
 
 UPSERT_FOLD = f"WITH {EVENT_RECORDS} SELECT {RECORD} FROM memories"
 
+CREATED = f"""
+WITH {DOCUMENT_REQUESTS}
+SELECT content_hash, {_uuid("content_hash")} AS id, type, source,
+       array_to_string(list_sort([type, source]), ',') AS tags, max(confidence) AS confidence, 64 AS width
+FROM checked WHERE error IS NULL GROUP BY content_hash, type, source"""
+
 ORACLE = {
     "validate_creates": f"""
 WITH {DOCUMENT_REQUESTS}
@@ -166,7 +190,19 @@ FROM (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS position
 GROUP BY doc_id, lexeme""",
     "embed_key": "SELECT doc_id, sha256(text) || '::model' AS embed_key FROM documents",
     "embed_distinct": "SELECT sha256(text) || '::model' AS embed_key, count(*) AS n FROM documents GROUP BY text",
-    "embed_once": "SELECT doc_id, NULL::VARCHAR AS embed_error, 64 AS width, 1.0::DOUBLE AS length FROM documents",
+    "embed_once": f"""
+WITH {_vectors("entries", "SELECT doc_id AS key, text FROM documents")}
+SELECT doc_id, NULL::VARCHAR AS embed_error, 64 AS width, round(coalesce(length, 0), 3) AS length,
+       round(coalesce(moment, 0), 3) + 0 AS moment
+FROM documents LEFT JOIN (
+  SELECT key, sqrt(sum(x::DOUBLE * x)) AS length, sum((place + 1) * x::DOUBLE) AS moment FROM entries GROUP BY key
+) ON key = doc_id""",
+    "embed_cls_raw": r"""
+SELECT doc_id, (h % 64)::INTEGER AS place, CASE WHEN h >= 9223372036854775808 THEN -1.0 ELSE 1.0 END::DOUBLE AS x
+FROM (
+  SELECT doc_id, ('0x' || substr(md5(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')[1]), 1, 16))::UBIGINT AS h
+  FROM documents)
+WHERE h IS NOT NULL""",
     "mean_pool_normalize": """
 WITH means AS (
   SELECT label, pos, avg(x::DOUBLE) AS x
@@ -217,12 +253,13 @@ FROM requests LEFT JOIN memories ON id = lower(asked)""",
     "list_filtered": f"""
 WITH {EVENT_RECORDS} SELECT id, type, tags, created_at AS "createdAt" FROM memories
 WHERE type = 'view' AND list_has_any(tag_list, ['user:7', 'user:11'])""",
-    "recent_n": f"WITH {EVENT_RECORDS} SELECT {LIST_ROW} FROM memories ORDER BY created_at DESC, id LIMIT 25",
+    "recent_n": f"""
+WITH {EVENT_RECORDS} SELECT {LIST_ROW}, {RANK} FROM memories ORDER BY created_at DESC, id LIMIT 25""",
     "recent_by_tags": f"""
-WITH {EVENT_RECORDS} SELECT {LIST_ROW} FROM memories
+WITH {EVENT_RECORDS} SELECT {LIST_ROW}, {RANK} FROM memories
 WHERE list_has_any(tag_list, ['user:7', 'user:11', 'USER:1']) ORDER BY created_at DESC, id LIMIT 20""",
     "recent_by_type": f"""
-WITH {EVENT_RECORDS} SELECT {LIST_ROW} FROM memories
+WITH {EVENT_RECORDS} SELECT {LIST_ROW}, {RANK} FROM memories
 WHERE type = 'error' ORDER BY created_at DESC, id LIMIT 100""",
     "browse_many": f"""
 WITH {EVENT_RECORDS},
@@ -311,11 +348,50 @@ FROM memories""",
 WITH {EVENT_RECORDS}
 SELECT '{{"id":"' || id || '","type":"' || type || '","content":' || to_json(content) || ',"tags":' || {JSON_TAGS}
        || '}}' AS value FROM memories""",
-    "create_documents": f"""
-WITH {DOCUMENT_REQUESTS}
-SELECT content_hash, {_uuid("content_hash")} AS id, type, source,
-       array_to_string(list_sort([type, source]), ',') AS tags, max(confidence) AS confidence, 64 AS width
-FROM checked WHERE error IS NULL GROUP BY content_hash, type, source""",
+    "create_documents": CREATED,
+    "search_documents": f"""
+WITH {DOCUMENT_REQUESTS},
+records AS (
+  SELECT content_hash, {_uuid("content_hash")} AS id, type, array_to_string(list_sort([type, source]), ',') AS tags,
+         max(confidence) AS confidence, min(content) AS content
+  FROM checked WHERE error IS NULL GROUP BY content_hash, type, source),
+asked AS (
+  SELECT conv_id || '/' || turn || '/' || role AS query_id, text
+  FROM conversations WHERE length(text) <= 1000 AND trim(text) <> ''),
+{_vectors("stored", "SELECT id AS key, content AS text FROM records")},
+{_vectors("wanted", "SELECT query_id AS key, text FROM asked")},
+products AS (
+  SELECT w.key AS query_id, s.key AS id, sum(w.x::DOUBLE * s.x::DOUBLE) AS p
+  FROM wanted w JOIN stored s USING (place) GROUP BY w.key, s.key),
+scores AS (
+  SELECT query_id, id, type, tags, confidence, floor((1 + coalesce(p, 0)) * 1000000 + 0.5) / 1000000 AS similarity
+  FROM asked CROSS JOIN records LEFT JOIN products USING (query_id, id))
+SELECT query_id, rank, id, type, tags, confidence, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scores)
+WHERE rank <= 5""",
+    "create_incremental": CREATED,
+    "first_writer": """
+SELECT content_hash, first(type ORDER BY ts, event_id) AS type, first(source ORDER BY ts, event_id) AS source,
+       min(ts) AS created_at, count(DISTINCT type) AS types
+FROM (
+  SELECT ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'a::b' ELSE 'a' END AS type,
+         CASE WHEN event_id % 2 = 0 THEN 'c' ELSE 'b::c' END AS source,
+         sha256('a::b::c::' || replace(props, ': ', ':')) AS content_hash
+  FROM events)
+GROUP BY content_hash""",
+    "validate_edge_creates": """
+SELECT doc_id, CASE WHEN doc_id % 8 < 5 THEN 'content is required' WHEN doc_id % 8 = 5 THEN 'tags must be an array'
+         WHEN doc_id % 8 = 6 THEN 'tags array cannot have more than 20 items' END AS error,
+       CASE WHEN doc_id % 8 = 7 THEN 50 END AS type_length, CASE WHEN doc_id % 8 = 7 THEN 100 END AS source_length
+FROM documents""",
+    "browse_rejects": """
+SELECT event_id AS request_id, 'Unknown resource: mem://unknown/' || event_type AS error
+FROM events WHERE event_type NOT IN ('click', 'error', 'view')""",
+    "search_edge_vectors": f"""
+WITH {CENTROID}, ways AS (SELECT unnest(['builtin', 'arrow', 'many']) AS way)
+SELECT way, id, similarity FROM ways, (
+  SELECT vec_id AS id, {SCORE.format("embedding", "v")} AS similarity
+  FROM embeddings, centroid WHERE vec_id % 7 > 3 ORDER BY 2 DESC, 1 LIMIT 50)""",
     "stream_upsert": UPSERT_FOLD,
     "stream_ingest": f"""
 WITH {EVENT_WRITES}

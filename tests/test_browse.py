@@ -89,6 +89,10 @@ ADDRESSES = [
     ("mem://recent", ("recent", "", 20, None)),
     ("mem://recent?limit=5", ("recent", "", 5, None)),
     ("mem://recent?x=1&limit=7abc", ("recent", "", 7, None)),
+    ("mem://recent?limit=5&limit=7", ("recent", "", 5, None)),
+    ("mem://recent?limit=7&x=2&limit=5", ("recent", "", 7, None)),
+    ("mem://recent?xlimit=9&limit=5", ("recent", "", 5, None)),
+    ("mem://recent?limit&limit=5", ("recent", "", None, "limit must be a number")),
     ("mem://recent?limit=-4", ("recent", "", 1, None)),
     ("mem://recent?limit=99999999999999", ("recent", "", 100, None)),
     ("mem://recent?limit=abc", ("recent", "", None, "limit must be a number")),
@@ -175,3 +179,16 @@ def test_digests(spark, memories):
     texts = {r.query_id: r.text for r in shape.search_digests(hits, queries).collect()}
     assert texts[1] == "Found 2 memories:\n• [a] sim=1.000 tags=\n• [b] sim=0.500 tags=x, y"
     assert texts[2] == "No memories found."
+
+
+def test_long_argument_is_kept_whole(spark):
+    tag = "x" * 1_200_000
+    df = spark.createDataFrame([(f"mem://by-type/{tag}?limit=3",)], "uri string")
+    assert browse.parse_addresses(df).first()["argument"] == tag
+
+
+def test_refused_addresses(spark):
+    uris = ["mem://recent", "mem://nowhere/x", "mem://recent?limit=x", "mem://by-tags/%zz"]
+    df = spark.createDataFrame(list(enumerate(uris)), "request_id int, uri string")
+    got = {r.request_id: r.error for r in browse.refused(df).collect()}
+    assert got == {1: "Unknown resource: mem://nowhere/x", 2: "limit must be a number", 3: "URI malformed"}

@@ -46,8 +46,18 @@ TEXTS = [
 ]
 
 
-def test_canonical_text(spark):
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_canonical_text(spark, allowed):
+    """The same, whatever the session makes of keys that come twice."""
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+    try:
+        check_texts(spark)
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+
+
+def check_texts(spark):
     df = spark.createDataFrame([(t, i) for i, (t, _) in enumerate(TEXTS)], "raw string, n int")
     rows = {r.n: r.c for r in df.select("n", canonical_json(F.col("raw")).alias("c")).collect()}
     for n, (text, expected) in enumerate(TEXTS):
@@ -150,3 +160,9 @@ def test_lexemes(spark):
     found = [[(e.lexeme, e.positions) for e in r.l] for r in out]
     assert found[0] == [("a", [3, 5]), ("b", [2]), ("nb", [4]), ("src", [6]), ("text", [1])]
     assert found[1:] == [[], [("x", [1])], []]
+
+
+def test_missing_part_gives_no_hash(spark):
+    df = spark.createDataFrame([("t", "s", "1"), ("t", "s", None), (None, "s", "1")], "a string, b string, c string")
+    got = [r[0] for r in df.select(content_hash_hex(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got[0] and got[1] is None and got[2] is None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.canonical import canonical_json_builtin
 from memspark.operators import browse, merge
-from memspark.operators.search import search, search_many
+from memspark.operators.search import QueryBlock, nearest_per_task, ranked, search
 from memspark.operators.validate import check_creates
 from memspark.sources.requests import parse_lines
 from memspark.sources.table import MemoryTable
@@ -35,7 +35,9 @@ def test_single_search(spark):
 
 def test_search_many_sends_only_top_entries(spark):
     memories = V.vectors(spark, SF)
-    text = plan(search_many(memories, _self_queries(memories), OPTIONS))
+    queries = _self_queries(memories).withColumns({n: F.lit(None).cast(t) for n, t in (("type", "string"), ("tags", "array<string>"))})
+    block = QueryBlock.of(queries.limit(20).toArrow(), queries.schema["query_id"].dataType)
+    text = plan(ranked(nearest_per_task(memories, block, ["id"]), OPTIONS.max_limit))
     assert "WindowGroupLimit" in text and text.count("Exchange") == 1
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
@@ -67,3 +69,32 @@ def test_canonical_text_without_python(spark):
 def test_filter_on_error_does_not_repeat_the_checks(spark):
     checked = check_creates(parse_lines(V.document_lines(spark, SF))).filter("error is null")
     assert plan(checked).count("type is required") == 1
+
+
+def test_reading_pending_batches_scans_the_base_once(spark, tmp_path):
+    """Its hashes are read a second time, without any other column."""
+    table = MemoryTable.create(spark, str(tmp_path / "p"), 0, "none")
+    writes = V.event_writes(V.table(spark, SF, "events")).withColumn("embedding", F.array().cast("array<float>"))
+    table.append(merge.fold(writes, hashed=True))
+    table.compact()
+    table.append(merge.fold(writes.limit(10), hashed=True))
+    scans = [line for line in plan(table.read()).splitlines() if "FileScan" in line]
+    assert len(scans) == 3 and len([line for line in scans if "embedding#" in line]) == 2  # of the base and of the batch
+
+
+def test_full_rows_are_not_dealt_by_shelf(spark, tmp_path):
+    """Without broadcasts, lists are cut in parts before they meet."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = V.event_records(spark, SF)
+        cut = browse._newest_by_shelf(rows.select(*browse.LIST_ROW, F.explode(browse._fixed_shelves()).alias("shelf")))
+        text = plan(cut)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = [line for line in text.splitlines() if "Exchange hashpartitioning(shelf" in line][-1]
+    assert "__part" in first and text.count("WindowGroupLimit") >= 3
+
+
+def test_single_id_reaches_the_scan(spark, tmp_path):
+    text = plan(browse.get_by_id(stored(spark, tmp_path), " ABC "))
+    assert "EqualTo(id,abc)" in text

@@ -202,6 +202,60 @@ def test_ingest_equals_batch_also_after_restart(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 5
 
 
+def test_two_sources_and_a_fresh_checkpoint_lose_nothing(spark, tmp_path):
+    """Streams are told apart by their checkpoints, not by a name."""
+    memories = table(spark, tmp_path, "shared")
+
+    def run(folder, checkpoint):
+        ingest_stream(
+            read_lines_stream(spark, str(tmp_path / folder)), memories, EMBEDDER, checkpoint=str(tmp_path / checkpoint),
+            rejects_path=str(tmp_path / "rejects"), options=OPTIONS, available_now=True,
+        ).awaitTermination()
+
+    for folder, start in (("a", 0), ("b", 100)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text("\n".join(line(n) for n in range(start, start + 5)))
+    run("a", "ca")
+    first = memories.read().count()
+    run("b", "cb")
+    second = memories.read().count()
+    (tmp_path / "a" / "y.jsonl").write_text("\n".join(line(n, source="late") for n in range(5)))
+    run("a", "fresh")
+    assert 0 < first < second < memories.read().count()
+
+
+def test_known_records_are_not_embedded_again(spark, tmp_path):
+    class Once(HashingEmbedder):
+        def encode(self, texts, pooling="mean", normalize=True):
+            raise RuntimeError("called")
+
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    memories = table(spark, tmp_path)
+    lines = lines_df(spark, [line(n) for n in range(14)])
+    create(lines, memories, EMBEDDER, OPTIONS, ts=datetime(2024, 1, 2))
+    before = content(memories)
+    again = create(lines, memories, Once(DIM), OPTIONS, ts=datetime(2024, 1, 1), pause=0.0)
+    assert again.rejected.count() == 0 and again.written.count() == len(before)
+    rows = memories.read().collect()
+    assert all(len(r.embedding) == DIM for r in rows) and {r.created_at for r in rows} == {datetime(2024, 1, 1)}
+
+
+def test_stream_batch_needs_a_number(spark, tmp_path):
+    with pytest.raises(ValueError, match="batch_id"):
+        create(lines_df(spark, [line(1)]), table(spark, tmp_path), EMBEDDER, OPTIONS, stream="s")
+
+
+def test_small_batches_make_small_files(spark, tmp_path):
+    memories = table(spark, tmp_path)
+    create(lines_df(spark, [line(n) for n in range(500)]).coalesce(1), memories, EMBEDDER, OPTIONS)
+    folder = memories._pointer()["deltas"][0]
+    assert memories._bytes(folder) < 100_000
+
+
 def test_stream_state_equals_batch_also_after_restart(spark, tmp_path):
     rows = [("n", "s", str(n % 5), [f"t{n % 3}"], n / 40, datetime(2024, 1, 1, 0, n), n) for n in range(40)]
     schema = "type string, source string, content string, tags array<string>, confidence double, ts timestamp, seq long"
