@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -29,10 +27,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memspark.llm.chunks import Memory
+from memspark.llm.chunks import Memory, pack_ids
+from memspark.llm.words import slices
 
 STEPS = 300_000  # steps kept by a transducer
-LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -200,12 +198,12 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern)
-        self.parts = Memory(self._part)
+        self.parts = Memory(lambda parts: [self._part(part) for part in parts])
         self.vocabulary = self.transducer.bytes_of
 
     def _part(self, part: str) -> bytes:
         ids: list[int] = []
-        word = part[1:] if part[0] == " " else part
+        word = part[1:] if part[:1] == " " else part
         # a word, or a word with a comma or full stop, is split by the pattern as follows
         if word.isalpha():
             pieces = [part]
@@ -215,11 +213,18 @@ class Codec:
             pieces = self.pieces.findall(part)
         for piece in pieces:
             ids += self.transducer.encode(piece.encode())
-        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+        return pack_ids(ids)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text, 32 bits each; none for null."""
-        return np.frombuffer(b"".join(self.parts.of(text)), "<u4")
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, 32 bits each; none for null."""
+        for rows in slices(pa.record_batch([texts], ["text"]), "text"):
+            ids, starts = self.parts.ids(rows.column(0))
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                yield ids[a:b]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one text."""
+        return next(self.encode_all(pa.array([text], pa.string())))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """The text in parts; each part ends with a whole character."""
@@ -282,7 +287,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for column in texts:
-            ids = [own.encode(t) for t in column.to_pylist()]
+            ids = list(own.encode_all(column))
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -309,7 +314,7 @@ def _round_trip(text: Column, path: str, pattern: str, with_ids: bool) -> Column
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for column in texts:
-            ids = [own.encode(text) for text in column.to_pylist()]
+            ids = list(own.encode_all(column))
             decoded = []
             for one in ids:
                 back = hashlib.sha256()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm.bpe import read_ranks
 from memspark.llm.chunks import Memory
+from memspark.llm.words import slices
 
 STEP = 4096
 
@@ -32,10 +33,10 @@ class Counter:
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        self.parts = Memory(lambda part: len(encoding.encode_ordinary(part)))
+        self.parts = Memory(lambda parts: [len(encoding.encode_ordinary(part)) for part in parts])
 
-    def count(self, text: str | None) -> int:
-        return sum(self.parts.of(text))
+    def count(self, texts: pa.Array) -> np.ndarray:
+        return self.parts.sums(texts)
 
 
 @cache
@@ -49,7 +50,9 @@ def n_tokens(text: Column, path: str, pattern: str) -> Column:
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = counter(path, pattern)
         for column in texts:
-            yield pa.array(np.array([own.count(t) for t in column.to_pylist()], np.int64))
+            batch = pa.record_batch([column], ["text"])
+            counts = [own.count(part.column(0)) for part in slices(batch, "text")]
+            yield pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]))
 
     return F.arrow_udf(work, "long").asNondeterministic()(text)
 

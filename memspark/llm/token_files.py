@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.llm import simple8b
-from memspark.llm.chunks import Memory
+from memspark.llm.chunks import Memory, pack_ids
+from memspark.llm.words import slices
 
 MAGIC = b"MSTOK1\0\0"
 FILE_IDS = 1 << 20
@@ -45,13 +46,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = Memory(self._part)
+        self.parts = Memory(self._parts)
 
-    def _part(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """All parts in one call of the library, which tells the part that each id comes from."""
+        coded = self.tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        counts = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(parts))
+        ends = 4 * np.cumsum(counts)
+        ids = pack_ids(coded.ids)
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(self.parts.of(text)), "<u4")
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text begins."""
+        return self.parts.ids(texts)
 
 
 @cache
@@ -124,16 +131,21 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END) -> DataFrame:
             schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
-        last = np.array([end], "<u4")
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                own_ids = own.encode(text)
-                doc_ids.append(doc_id)
-                counts.append(len(own_ids) + 1)
-                ids += [own_ids, last]
-                held += len(own_ids) + 1
-                if held >= FILE_IDS:
-                    yield save()
+            for rows in slices(batch, "text"):
+                flat, starts = own.encode(rows.column("text"))
+                flat = np.insert(flat, starts[1:], end)
+                ends = starts[1:] + np.arange(1, len(starts))
+                at = 0
+                for doc_id, stop, n in zip(rows.column("doc_id").to_pylist(), ends.tolist(), (np.diff(starts) + 1).tolist()):
+                    doc_ids.append(doc_id)
+                    counts.append(n)
+                    held += n
+                    if held >= FILE_IDS:
+                        ids.append(flat[at:stop])
+                        at = stop
+                        yield save()
+                ids.append(flat[at:])
         if doc_ids:
             yield save()
 
