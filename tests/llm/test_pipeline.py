@@ -1,0 +1,101 @@
+"""The registered queries against their SQL, and the pipeline against a plain version of its stages."""
+
+import hashlib
+import inspect
+from collections import Counter
+
+import corpus_pipeline
+import duckdb
+import numpy as np
+import pytest
+from compare import compare, duck
+from conftest_llm import make, odd_rows
+from test_bpe import LIBRARY
+from test_jaccard import plain_components
+from test_mixing import plain_mix
+from test_quality import plain_facts, plain_grams, plain_model
+
+import __spark_entry__ as driver
+from memspark.llm import mixing
+from memspark.llm.queries import QUERIES
+from memspark.llm.sql import ORACLE
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query(spark, name):
+    assert compare(spark, duck(SF), name, SF) == ""
+
+
+def test_registered(spark):
+    names = set(driver.queries())
+    assert set(QUERIES) | {"pipeline"} <= names and set(ORACLE) <= set(driver.oracle_sql())
+    assert all(any(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11))
+
+
+def plain_quality(docs, labels):
+    score = plain_model([(d, t) for d, t, _ in docs], labels)
+    rows = []
+    for doc_id, text, source in docs:
+        words, *_, repeated = plain_facts(text)
+        rows.append((doc_id, text, source, words < 10 or 100 * repeated > 20 * words, score(text) / max(1, len(plain_grams(text)))))
+    seen = sorted((r[4], labels[r[0]]) for r in rows if r[0] in labels and not r[3])
+    good, bad = sum(g for _, g in seen), sum(1 - g for _, g in seen)
+    best, cut = -1, -np.inf
+    for i, (value, _) in enumerate(seen):
+        if good and (not i or value != seen[i - 1][0]):
+            below = [g for _, g in seen[:i]]
+            gain = (good - sum(below)) / good + ((len(below) - sum(below)) / bad if bad else 0)
+            if gain > best:
+                best, cut = gain, (value + seen[i - 1][0]) / 2 if i else value
+    return [r[:3] for r in rows if not r[3] and r[4] >= cut]
+
+
+def plain_pipeline(docs, labels):
+    kept = plain_quality(docs, labels)
+    first = {d for d, _, c in plain_components(kept) if d == c}
+    kept = [r for r in kept if r[0] in first]
+    taken, _, _ = plain_mix(kept)
+    copies = {i: (t // n, 2 * (t % n) >= n and t % n > 0) if n else (0, False) for i, n, _, t in taken}
+    out = []
+    for doc_id, text, source in kept:
+        whole, part = copies[doc_id]
+        ids = np.array(LIBRARY.encode_ordinary(text), "<u4")
+        row = (doc_id, source, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), tuple(ids.tolist()))
+        out += [row] * (whole + part)
+    return Counter(out)
+
+
+def test_pipeline(spark):
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+    labels = dict(con.execute(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").fetchall())
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    rows = Counter((*r[:5], tuple(r["ids"])) for r in got.collect())
+    assert rows == plain_pipeline(docs, labels)
+
+
+def test_stages_one_by_one(spark, tmp_path):
+    """Each stage but the last gives the columns of its input; odd rows and empty tables go through all of them."""
+    labels = spark.createDataFrame([(1, 1), (8, 1), (9, 0)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = odd_rows()
+    for docs in (make(spark, rows), make(spark, [])):
+        current = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            result = stage(spark, current, str(tmp_path))
+            assert result.columns == docs.columns, name
+            current = spark.createDataFrame(result.collect(), docs.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path))
+        assert last.count() == current.count()
+        for name, stage in corpus_pipeline.STAGES:  # each alone on the odd rows
+            stage(spark, docs, str(tmp_path)).write.format("noop").mode("overwrite").save()
+
+
+def test_stage_list():
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "near_duplicates", "mix_sources", "byte_level_bpe"]
+    assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
+    assert corpus_pipeline.ORACLE_SQL is None and mixing.CAP == 3
