@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.functions.bind import let
 
@@ -56,17 +59,55 @@ def l2_normalize(vector: Column) -> Column:
     return let(divisor, lambda n: F.transform(vector, lambda x: x.cast("double") / n))
 
 
+def _partial_sums(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """keys, sums, counts: one row per key and Arrow batch. A NULL entry, or one beyond the end of a shorter
+    vector, counts for nothing at its position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("__vector")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            width = int(lengths.max(initial=0))
+            if not width:
+                continue
+            flat = column.flatten().cast(pa.float64())
+            there = np.arange(width) < lengths[:, None]
+            matrix, known = np.zeros(there.shape), np.zeros(there.shape)
+            matrix[there] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+            known[there] = flat.is_valid().to_numpy(zero_copy_only=False)
+            names = [f"k{i}" for i in range(len(keys))]
+            table = pa.table(batch.columns[: len(keys)], names).append_column("row", pa.array(np.arange(batch.num_rows)))
+            groups = table.group_by(names).aggregate([("row", "list")])
+            rows = groups.column("row_list").combine_chunks()
+            starts = rows.offsets.to_numpy()[:-1]
+            order = rows.flatten().to_numpy()
+            sums, counts = (np.add.reduceat(m[order], starts, axis=0) for m in (matrix, known))
+            offsets = pa.array(np.arange(0, sums.size + 1, width, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(m.reshape(-1))) for m in (sums, counts)]
+            own = [groups.column(name).combine_chunks() for name in names]
+            yield pa.RecordBatch.from_arrays([*own, *lists], [*keys, "__sums", "__counts"])
+
+    fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("__sums", numbers), T.StructField("__counts", numbers)])
+    return df.select(*keys, F.col(vector).alias("__vector")).mapInArrow(run, schema)
+
+
 def mean_pool(df: DataFrame, keys: Sequence[str], vector: str, out: str = "embedding") -> DataFrame:
     """Mean vector per key.
 
-    Sums are combined on the map side per (key, position), so a key that holds
-    most of the rows still sends only one row per position and task. The last
-    step gathers exactly one entry per position.
+    Vectors are added up per key in Arrow batches, then per (key, position), so a
+    key that holds most of the rows still sends only one row per position and
+    task. The last step gathers exactly one entry per position.
     """
+    entries = F.posexplode(F.arrays_zip("__sums", "__counts")).alias("__pos", "__e")
     means = (
-        df.select(*keys, F.posexplode(vector).alias("__pos", "__x"))
+        _partial_sums(df, keys, vector)
+        .select(*keys, entries)
         .groupBy(*keys, "__pos")
-        .agg(F.avg(F.col("__x").cast("double")).alias("__mean"))
+        .agg(F.sum("__e.__sums").alias("__sum"), F.sum("__e.__counts").alias("__n"))
+        .filter("__n > 0")
+        .withColumn("__mean", F.col("__sum") / F.col("__n"))
     )
     entries = F.sort_array(F.collect_list(F.struct("__pos", "__mean")))
     return means.groupBy(*keys).agg(F.transform(entries, lambda e: e["__mean"]).alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.canonical import content_hash, id_from_hash
 
-FIRST_WRITER = ["id", "type", "content", "source"]
+FIRST_WRITER = ["id", "type", "content", "source", "lexemes"]
 WIDE = [*FIRST_WRITER, "embedding"]
 
 
@@ -118,7 +118,7 @@ def update(base: DataFrame, delta: DataFrame) -> DataFrame:
     newer_first = hit & (F.struct(new("created_at"), new("first_seq")) < F.struct(old("created_at").alias("a"), old("first_seq").alias("b")))
     none = F.array().cast("array<string>")
     tags = F.array_sort(F.array_distinct(F.concat(F.coalesce(old("tags"), none), F.coalesce(new("tags"), none))))
-    columns = {name: F.when(newer_first, new(name)).otherwise(old(name)) for name in [*FIRST_WRITER, "created_at", "first_seq"]}
+    columns = {name: F.when(newer_first, new(name)).otherwise(old(name)) for name in [*FIRST_WRITER, "created_at", "first_seq"] if name in base.columns}
     columns["tags"] = F.when(hit, tags).otherwise(old("tags"))
     columns["confidence"] = F.greatest(old("confidence"), new("confidence"))
     columns["updated_at"] = F.greatest(old("updated_at"), new("updated_at"))

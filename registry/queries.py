@@ -161,6 +161,12 @@ def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lexeme", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
+def lexemes_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search words that the table of documents stores."""
+    rows = _document_table(spark, sf_dir, Workspace(spark)).read().select("id", F.inline("lexemes"))
+    return rows.select("id", "lexeme", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
 def embed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", embedding_key(F.col("text"), "model").alias("embed_key"))
 
@@ -603,6 +609,7 @@ QUERIES = {
     "canonical_pages": canonical_pages,
     "canonical_numbers": canonical_numbers,
     "lexemes": lexemes,
+    "lexemes_stored": lexemes_stored,
     "embed_key": embed_key,
     "embed_distinct": embed_distinct,
     "embed_once": embed_once_,

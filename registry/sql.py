@@ -188,6 +188,15 @@ WITH words AS (
 SELECT doc_id, lexeme, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions
 FROM (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS position FROM words)
 GROUP BY doc_id, lexeme""",
+    "lexemes_stored": rf"""
+WITH {DOCUMENT_REQUESTS},
+words AS (
+  SELECT {_uuid("content_hash")} AS id, list_filter(
+    regexp_split_to_array(lower(min(content) || ' ' || source), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w
+  FROM checked WHERE error IS NULL GROUP BY content_hash, source)
+SELECT id, lexeme, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions
+FROM (SELECT id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS position FROM words)
+GROUP BY id, lexeme""",
     "embed_key": "SELECT doc_id, sha256(text) || '::model' AS embed_key FROM documents",
     "embed_distinct": "SELECT sha256(text) || '::model' AS embed_key, count(*) AS n FROM documents GROUP BY text",
     "embed_once": f"""
