@@ -10,10 +10,13 @@ between those of the passage.
 Inside the tiles:
 
 1. Sets that are equal are one node from the start, whatever the number of copies.
-2. Every node is held against the node that leads most of its tiles.
-3. Components of the links found so far. Only tiles that still hold several components go on: their
-   nodes are compared in blocks, across components. So no pair inside a known group is looked at again.
-4. Components of all links.
+2. Every node is held against the node that leads most of its tiles, and components of the links are found.
+   Tiles that still hold several components get another lead, as long as that links many nodes; each turn costs
+   a comparison for every node outside the lead's component, so a group of very many near copies
+   becomes one component after a number of comparisons that grows with its size, not with the square.
+3. What still shares a tile across components is compared in blocks by bitmaps: first the closest pair of
+   every two components is checked, then all pairs that are left. So every pair that
+   shares a tile is in one component or has been compared.
 
 A comparison counts the differing bits of two bitmaps (each shingle flips one bit). That count is at most the
 number of shingles in one set only, so it bounds the overlap from above. Pairs that it does not
@@ -42,6 +45,8 @@ PERCENT = 80
 SEEDS = 3
 ENTRIES = 1_000_000  # tile entries per task
 BLOCK = 256  # nodes compared at once
+TURNS = 5  # other leads that are tried, at most
+WORTH = 0.2  # share of similar pairs in a turn from which another one is taken
 PROBE = 256  # one set in so many shows which parts are hot
 HOT_PARTS = 500
 HOT_LEAST = 50
@@ -120,7 +125,7 @@ def _tiles(values, offsets, sets, band, percent, seed, rows, keys) -> None:
     at = np.arange(len(local)) + np.repeat(offsets[sets] - (np.cumsum(n) - n), n)
     value = values[at]
     if seed:
-        value = mix(value ^ (np.uint64(seed) * _A))
+        value = mix(value ^ np.uint64(int(_A) * seed % 2**64))
         order = np.lexsort((value, local))
         value = value[order]
     most_apart = differing(2 * band, percent)
@@ -327,46 +332,87 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def _across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of two blocks of a tile: other components, not ruled out by size or bitmap."""
+def _across(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of two blocks of a tile: other components, not ruled out by size or bitmap.
 
-    def load(ids, labels, sizes, maps):
-        words = [len(m) // 8 for m in maps]
-        return np.array(ids), np.array(labels), np.array(sizes), [np.frombuffer(m, np.uint64) for m in maps], np.array(words)
+    ``best``: of every two components only the pair with the fewest differing bits.
+    """
+
+    def load(block):
+        words = np.array([len(m) // 8 for m in block["bitmaps"]])
+        maps = [np.frombuffer(m, np.uint64) for m in block["bitmaps"]]
+        return np.array(block["nodes"]), np.array(block["labels"]), np.array(block["sizes"]), maps, words
+
+    def near(one, two) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, label_a, n_a, maps_a, words_a = one
+        _, label_b, n_b, maps_b, words_b = two
+        for wa in np.unique(words_a).tolist():
+            for wb in np.unique(words_b).tolist():
+                i, j, words = np.flatnonzero(words_a == wa), np.flatnonzero(words_b == wb), min(wa, wb)
+                x = _fold(np.stack([maps_a[k] for k in i]), words)
+                y = _fold(np.stack([maps_b[k] for k in j]), words)
+                height = max(1, (1 << 18) // (words * len(j)))
+                for at in range(0, len(i), height):
+                    rows = i[at : at + height]
+                    apart = np.bitwise_count(x[at : at + height, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                    ok = may_link(n_a[rows, None], n_b[None, j], apart, percent) & (label_a[rows, None] != label_b[None, j])
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        yield rows[p], j[q], apart[p, q]
+
+    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "a", "b", "apart"])
+
+    def fewest(columns: list[np.ndarray]) -> list[np.ndarray]:
+        """One row for each pair of components, or for each pair of nodes."""
+        x, y, a, b, apart = columns
+        order = np.lexsort((b, a, apart, y, x)) if best else np.lexsort((b, a))
+        keys = (x[order], y[order]) if best else (a[order], b[order])
+        first = np.append(True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))[: len(a)]
+        return [c[order][first] for c in columns]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                a, label_a, n_a, maps_a, words_a = load(*(row["left"][k] for k in ("nodes", "labels", "sizes", "bitmaps")))
-                b, label_b, n_b, maps_b, words_b = load(*(row["right"][k] for k in ("nodes", "labels", "sizes", "bitmaps")))
-                for wa in np.unique(words_a).tolist():
-                    for wb in np.unique(words_b).tolist():
-                        i, j = np.flatnonzero(words_a == wa), np.flatnonzero(words_b == wb)
-                        words = min(wa, wb)
-                        x = _fold(np.stack([maps_a[k] for k in i]), words)
-                        y = _fold(np.stack([maps_b[k] for k in j]), words)
-                        for at in range(0, len(i), max(1, (1 << 18) // (words * len(j)))):
-                            rows = slice(at, at + max(1, (1 << 18) // (words * len(j))))
-                            apart = np.bitwise_count(x[rows, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
-                            ok = may_link(n_a[i[rows], None], n_b[None, j], apart, percent)
-                            ok &= label_a[i[rows], None] != label_b[None, j]
-                            p, q = np.nonzero(ok)
-                            out = a[i[rows][p]], b[j[q]]
-                            low, high = np.minimum(*out), np.maximum(*out)
-                            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
-
-    return blocks.mapInArrow(work, "a long, b long").distinct()
-
-
-def _blocks(mixed: DataFrame) -> DataFrame:
-    """Tiles as pairs of blocks of BLOCK nodes or fewer, in the order of size; blocks whose
-    sizes are too far apart do not meet. ``mixed``: tile, node, label, n, bitmap, members."""
+                one, two = load(row["left"]), load(row["right"])
+                for i, j, apart in near(one, two):
+                    a, b, x, y = one[0][i], two[0][j], one[1][i], two[1][j]
+                    held.append([np.minimum(x, y), np.maximum(x, y), np.minimum(a, b), np.maximum(a, b), apart])
+                    more += len(a)
+                    if more > 200_000:  # several tiles give the same pairs
+                        held = [fewest([np.concatenate(c) for c in zip(*held)])]
+                        more = 0
+                        if len(held[0][0]) > 500_000:
+                            yield pairs(held.pop())
+        if held:
+            yield pairs(fewest([np.concatenate(c) for c in zip(*held)]))
+
+    found = blocks.mapInArrow(work, "x long, y long, a long, b long, apart long")
+    if best:
+        closest = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")
+        found = found.groupBy("x", "y").agg(closest).select("p.a", "p.b")
+    return found.select("a", "b").distinct()
+
+
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """Each pair once, as (a, b) with the smaller node first."""
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
+    """Two blocks (left, right) of about BLOCK nodes of a tile at a time; blocks whose sizes are too far
+    apart do not meet. ``mixed``: tile, node, label, n, bitmap, members."""
     share = F.ceil(F.col("members") / BLOCK)
     spread = mixed.withColumn("part", F.pmod(F.xxhash64("node"), share))
     column = {"nodes": "node", "labels": "label", "sizes": "n", "bitmaps": "bitmap"}
     rows = F.collect_list(F.struct(*[F.col(c).alias(k) for k, c in column.items()]))
     held = spread.groupBy("tile", "part").agg(rows.alias("r"), F.min("n").alias("low"), F.max("n").alias("high"))
-    return held.select("tile", "part", "low", "high", F.struct(*[F.col(f"r.{k}").alias(k) for k in column]).alias("block"))
+    block = F.struct(*[F.col(f"r.{k}").alias(k) for k in column])
+    one = held.select("tile", F.col("part").alias("p"), F.col("low").alias("l"), F.col("high").alias("h"), block.alias("left"))
+    two = held.select("tile", "part", "low", "high", block.alias("right"))
+    near = (F.col("p") <= F.col("part")) & (100 * F.col("h") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("l"))
+    return one.join(two, "tile").filter(near).select("left", "right")
 
 
 def components_of(docs: DataFrame, space: Workspace, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -394,45 +440,66 @@ def components_of(docs: DataFrame, space: Workspace, words: int = WORDS, percent
     common = common.filter(F.col("count") >= max(HOT_LEAST, known / HOT_PARTS)).collect()
     hot = np.array([r["k"] for r in common], np.int64).view(np.uint64)
     shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # tile entries are fewer than 0.4 per shingle
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(0.4 * shingles / ENTRIES) + 1)
 
     members = space.stage(_members(_entries(docs, words, percent, 8 * tasks, hot), tasks), "members")
-    leads = members.groupBy("tile").agg(F.min("node").alias("lead"), F.count("*").alias("members"))
-    leads = space.stage(leads.filter("members > 1"), "leads")
-    in_tiles = members.join(leads, "tile")
-    best = (
-        in_tiles.filter("node != lead")
-        .groupBy("node", "lead")
-        .agg(F.sum("weight").alias("weight"))
-        .groupBy("node")
-        .agg(F.max_by("lead", F.struct("weight", -F.col("lead"))).alias("lead"))
-    )
-    used = members.select("node").distinct().join(nodes, "node")
-    used = space.stage(used, "used")
+    # the lead of a tile is its node that shares the most tiles with others: the least edited of a group of near copies
+    degrees = members.groupBy("node").agg(F.sum("weight").alias("degree"))
+    lead = F.max_by("node", F.struct("degree", "node")).alias("lead")
+    sizes = members.join(degrees, "node").groupBy("tile").agg(lead, F.count("*").alias("members")).filter("members > 1")
+    in_tiles = space.stage(members.join(sizes, "tile"), "in_tiles")
+    used = space.stage(in_tiles.select("node").distinct().join(nodes, "node"), "used")
     short = used.select("node", "n", "bitmap")
     left, right = (short.withColumnsRenamed({"node": x, "n": f"n_{x}", "bitmap": f"bitmap_{x}"}) for x in "ab")
-    pairs = best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    pairs = _rule_out(pairs.join(left, "a").join(right, "b"), percent)
 
     wanted = used.select("node", F.col("source.doc_id").alias("id"), F.col("source.text_key").alias("key"))
     same_row = docs["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64(docs["text"]) == wanted["key"])
     texts = docs.join(wanted, same_row).groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
     texts = space.stage(texts, "texts")
-    links = space.stage(_check(pairs, texts, words, percent), "links")
-    labels = components(space, links, "a", "b")
 
-    # tiles that hold several components
+    def unite(labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, float]:
+        """The labels after the similar ones of these pairs are linked as well, and the share of similar pairs."""
+        links = space.stage(_check(pairs, texts, words, percent), "links")
+        share = links.count() / max(1, pairs.count())
+        if labels is not None:
+            if not share:
+                return labels, share
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return components(space, links, "a", "b"), share
+
+    def held_against(leads: DataFrame) -> DataFrame:
+        """The pairs of every node with the lead of most of its tiles (tile, node, lead, weight)."""
+        votes = leads.filter("node != lead").groupBy("node", "lead").agg(F.sum("weight").alias("weight"))
+        lead = F.max_by("lead", F.struct("weight", -F.col("lead"))).alias("lead")
+        pairs = _ordered(votes.groupBy("node").agg(lead), "node", "lead")
+        return space.stage(_rule_out(pairs.join(left, "a").join(right, "b"), percent), "pairs")
+
     label = F.coalesce("label", "node").alias("label")
-    placed = in_tiles.join(labels, "node", "left").select("tile", "node", "members", label)
-    several = placed.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("tile")
-    mixed = space.stage(placed.join(several, "tile").join(short, "node"), "mixed")
-    held = space.stage(_blocks(mixed), "blocks")
-    one = held.select("tile", F.col("part").alias("p"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("block").alias("left"))
-    two = held.select("tile", "part", "low", "high", F.col("block").alias("right"))
-    near = (F.col("p") <= F.col("part")) & (100 * F.col("h") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("l"))
-    across = _across(one.join(two, "tile").filter(near).select("left", "right"), percent)
-    more = space.stage(_check(space.stage(across, "across"), texts, words, percent), "more_links")
-    labels = components(space, links.union(more), "a", "b")
+
+    def mixed_tiles(labels: DataFrame, turn: int) -> DataFrame:
+        """(tile, node, weight, members, label, lead, lead_label) of the tiles that hold several components;
+        a hash that changes with ``turn`` picks the lead."""
+        placed = in_tiles.drop("lead").join(labels, "node", "left").select("tile", "node", "weight", "members", label)
+        pick = F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn)))
+        tiles = placed.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), pick.alias("p")).filter("x != y")
+        tiles = tiles.select("tile", F.col("p.node").alias("lead"), F.col("p.label").alias("lead_label"))
+        return space.stage(placed.join(tiles, "tile"), "mixed")
+
+    labels, _ = unite(None, held_against(in_tiles))
+    for turn in range(TURNS):
+        mixed = mixed_tiles(labels, turn)
+        if mixed.isEmpty():
+            break
+        labels, share = unite(labels, held_against(mixed.filter("label != lead_label")))
+        if share < WORTH:
+            break
+    for best in (True, False):
+        mixed = mixed_tiles(labels, TURNS)
+        if mixed.isEmpty():
+            break
+        blocks = _blocks(mixed.join(short, "node"), percent)
+        labels, _ = unite(labels, space.stage(_across(blocks, percent, best), "across"))
 
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", label)
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
