@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from memspark.llm.chunks import Memory, pack_ids
 from memspark.llm.words import slices
 
-STEPS = 300_000  # steps kept by a transducer
+STEPS = 150_000  # steps kept by a transducer
+PARTS = 150_000  # parts of texts in each half of what a codec holds
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -198,7 +199,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern)
-        self.parts = Memory(lambda parts: [self._part(part) for part in parts])
+        self.parts = Memory(lambda parts: [self._part(part) for part in parts], PARTS)
         self.vocabulary = self.transducer.bytes_of
 
     def _part(self, part: str) -> bytes:

@@ -47,6 +47,7 @@ ENTRIES = 1_000_000  # tile entries per task
 BLOCK = 256  # nodes compared at once
 TURNS = 5  # other leads that are tried, at most
 WORTH = 0.2  # share of similar pairs in a turn from which another one is taken
+FEW_PAIRS = 100_000
 PROBE = 256  # one set in so many shows which parts are hot
 HOT_PARTS = 500
 HOT_LEAST = 50
@@ -307,7 +308,10 @@ def _rule_out(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: sorted sets are intersected."""
+    """The pairs (a, b) whose sets are similar: sorted sets are intersected. ``pairs`` is a written table.
+
+    Up to FEW_PAIRS their nodes are broadcast, so that only the texts in question are shuffled.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,6 +331,9 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    if pairs.count() <= FEW_PAIRS:  # read only the texts in question
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        texts = texts.join(F.broadcast(wanted.distinct()), "node", "left_semi")
     with_b = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     with_a = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
