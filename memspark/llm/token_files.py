@@ -45,7 +45,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.parts = Memory(self._parts)
 
     def _parts(self, parts: list[str]) -> list[bytes]:

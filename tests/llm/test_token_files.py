@@ -78,6 +78,16 @@ def test_odd_rows(spark, odd, space, monkeypatch):
     assert got == plain(odd_rows())
 
 
+def test_special_tokens_in_texts(spark, space):
+    """Their strings give their ids, as in the plain call of the library."""
+    library = Tokenizer.from_file(JSON)
+    texts = ["a<|endoftext|> b", "<|endoftext|>", "a <|endoftext|>  b <|endoftext|><|endoftext|>c", "<|endoftext|", "x  <|endoftext|>\n<|endoftext|> y"]
+    got, _ = result(make(spark, [(i, t, "s") for i, t in enumerate(texts)]), space)
+    own = [np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4") for t in texts]
+    assert own[0].tolist() == [64, 50256, 275, 2]
+    assert [(r[2], r[3]) for r in got] == [(len(o), zlib.crc32(o.tobytes())) for o in own]
+
+
 def test_empty_table(spark, empty, space):
     assert result(empty, space)[0] == []
 
