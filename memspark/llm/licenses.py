@@ -122,6 +122,8 @@ STOP = r"[.!?]+"
 SPACE = r"[ \t\n\x0B\f\r]"
 PARAGRAPH = rf"\n[ \t]*\n{SPACE}*"  # an empty line
 WRAP = r"\n[ \t#*/;-]*"  # a line break with the comment signs after it
+EMPTY = r"\n[ \t\r#*/;-]*\n[ \t\n\x0B\f\r#*/;-]*"  # PARAGRAPH, also with comment signs in the line and after it
+RESERVED = r"(?i)(\brights[^A-Za-z0-9]+reserved\b[^A-Za-z0-9\n]*)\n"  # a line that ends so
 HOLDER = r"(?:^| )copyright [^\n]*? all rights reserved$"  # of a normalised sentence
 
 
@@ -141,6 +143,28 @@ def _sentences(text: Column) -> Column:
     return F.split(F.trim(tidy), "\n")
 
 
+def _any(words: set[str]) -> str:
+    return "(?:" + "|".join(sorted(map(re.escape, words)) or ["(?!)"]) + ")"
+
+
+def _notice(known: dict[str, str]) -> str:
+    """A line with a copyright notice, up to its break. Not one that a known sentence may run through ("the copyright
+    holders", or its beginning after a stop), nor one of a notice that goes on to "rights reserved"."""
+    inner = _any({word for s in known for word in re.findall(r"\bcopyright ([a-z0-9]+)", s)})
+    first = _any({s.split(" ")[0] for s in known})
+    begins = rf"(?:\bcopyright\b(?![^A-Za-z0-9]*{inner}\b)|©|\(c\)[ \t]*[12][0-9]{{3}})"
+    reserved = r"[^.!?]{0,400}\brights[^A-Za-z0-9]+reserved\b"
+    return rf"(?i)({begins}(?!{reserved})(?![^\n]*[.!?][ \t]+[^A-Za-z0-9\n]*{first}\b)[^\n]*)\n"
+
+
+def _joined(text: Column, known: dict[str, str]) -> Column:
+    """The text with the lines of each paragraph joined; a notice of the holder is a paragraph of its own."""
+    for end in (_notice(known), RESERVED):
+        text = F.regexp_replace(text, end, "$1\u0001")
+    text = F.regexp_replace(F.regexp_replace(text, EMPTY, ".\u0001"), WRAP, " ")
+    return F.replace(text, F.lit("\u0001"), F.lit("\n"))
+
+
 def _identifiers(sentences: Column, known: dict[str, str]) -> Column:
     """Identifiers of the known sentences, each between two bars: |a||b|."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
@@ -174,7 +198,7 @@ def scan(
     """
     known = {normalised(s): i for s, i in sentences.items()}
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = F.replace(F.regexp_replace(F.regexp_replace(text, PARAGRAPH, ".\u0001"), WRAP, " "), F.lit("\u0001"), F.lit("\n"))
+    joined = _joined(text, known)
 
     def facts(by_line: Column, by_paragraph: Column) -> Column:
         lines, wrapped = _matched(by_line, rules), _matched(by_paragraph, rules)

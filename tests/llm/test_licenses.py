@@ -1,5 +1,6 @@
 """Known texts, wrapped and commented ones, rule order, odd rows."""
 
+import pytest
 from conftest_llm import make, odd_rows
 
 from memspark.llm import licenses
@@ -48,6 +49,43 @@ def test_wrapped_in_a_comment(spark):
     assert scan(spark, [text])[0][1] == "GPL-3.0-or-later"
 
 
+def wrapped(ids, sign, width=9, head=()):
+    """A header in a comment: lines of ``head``, then the sentences in lines of ``width`` words."""
+    words = " ".join(BY_ID[i] for i in ids).split()
+    lines = [*head, *(" ".join(words[i : i + width]) for i in range(0, len(words), width))]
+    return "\n".join(f"{sign} {line}" if line else sign for line in lines)
+
+
+HEADERS = [
+    (("GPL2grant", "GPLnowarranty", "GPLsee"), "GPL-2.0-or-later"),
+    (("MITgrant", "MITnotice", "MITnowarranty", "MITnoliability"), "MIT"),
+    (("BSDgrant", "BSDsource", "BSDbinary", "BSDname"), "BSD-3-Clause"),
+    (("ISCgrant",), "ISC"),
+]
+
+
+@pytest.mark.parametrize("sign", [" *", "#", "//"])
+def test_headers_in_comments(spark, sign):
+    """Lines with nothing but the sign part paragraphs; a notice is no part of the next sentence."""
+    title, notice = "foo.c does things", "Copyright (C) 2010 J. R. Body <a.b@c.org>"
+    heads = [(title, notice, ""), (title, "", notice), (notice, "All rights reserved", ""), (notice, "All rights reserved"), (notice, notice, "")]
+    for width in (5, 8, 9, 11):  # a line may also begin with "copyright notice" or "copyright holders"
+        texts = [wrapped(ids, sign, width, head) + f"\n{sign}\n\nint x;" for ids, _ in HEADERS for head in heads]
+        want = [licence for _, licence in HEADERS for _ in heads]
+        got = [set(g[1].split(",")) - {"Proprietary"} for g in scan(spark, texts)]
+        assert got == [{w} for w in want]
+
+
+def test_notices_keep_what_follows_in_their_line(spark):
+    grant = BY_ID["ISCgrant"].split()
+    texts = [
+        "Copyright 2010 Some Body. " + " ".join(grant[:6]) + "\n" + " ".join(grant[6:]),
+        "# Copyright 2010 The Regents of the\n# University of Somewhere, all rights\n# reserved.",
+        "// Copyright 2010 Some\r\n//\r\n// " + " ".join(grant[:9]) + "\r\n// " + " ".join(grant[9:]) + "\r\n",
+    ]
+    assert [g[1] for g in scan(spark, texts)] == ["ISC", "Proprietary", "ISC"]
+
+
 def test_several_licences(spark):
     text = "Licensed under CC BY 4.0.\nprose\nReleased under the MIT License.\nLicensed under CC BY 4.0."
     assert scan(spark, [text]) == [("CCBY4ref,MITref,CCBY4ref", "CC-BY-4.0,MIT", "")]
