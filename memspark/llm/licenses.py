@@ -3,8 +3,8 @@
 A text is read twice: line by line, and with the lines of each paragraph joined (licence texts are
 often wrapped). Either reading is split into sentences, and sentences are normalised: only
 letters a-z, digits and single spaces are left, so quotes, dashes and comment signs play no part. A normalised
-sentence that is known gives its identifier; a holder's name after "copyright" does not
-matter. Then the ordered rules run over the identifiers: each rule is a sequence; wherever it
+sentence that is known gives its identifier; a holder's name after "copyright" or in the BSD clause
+about names does not matter. Then the ordered rules run over the identifiers: each rule is a sequence; wherever it
 stands, it is taken out as its licence, and later rules see what is left. Identifiers that no rule
 takes are reported as unmatched.
 
@@ -125,6 +125,8 @@ WRAP = r"\n[ \t#*/;-]*"  # a line break with the comment signs after it
 EMPTY = r"\n[ \t\r#*/;-]*\n[ \t\n\x0B\f\r#*/;-]*"  # PARAGRAPH, also with comment signs in the line and after it
 RESERVED = r"(?i)(\brights[^A-Za-z0-9]+reserved\b[^A-Za-z0-9\n]*)\n"  # a line that ends so
 HOLDER = r"(?:^| )copyright [^\n]*? all rights reserved$"  # of a normalised sentence
+# The clause about names, whoever is named, by its tail: a stop in the name ends a sentence.
+NAMED = r"(?:^| )may (?:not )?be used to endorse or promote products derived from this software without (?:specific )?prior written permission$"
 
 
 def normalised(sentence: str) -> str:
@@ -168,10 +170,10 @@ def _joined(text: Column, known: dict[str, str]) -> Column:
 def _identifiers(sentences: Column, known: dict[str, str]) -> Column:
     """Identifiers of the known sentences, each between two bars: |a||b|."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    reserved = F.lit("AllRights" if "AllRights" in known.values() else None)
+    reserved, named = (F.lit(i if i in known.values() else None) for i in ("AllRights", "BSDname"))
 
     def one(sentence: Column) -> Column:
-        return F.coalesce(F.try_element_at(table, sentence), F.when(F.rlike(sentence, F.lit(HOLDER)), reserved))
+        return F.coalesce(F.try_element_at(table, sentence), F.when(F.rlike(sentence, F.lit(HOLDER)), reserved), F.when(F.rlike(sentence, F.lit(NAMED)), named))
 
     ids = F.filter(F.transform(sentences, one), F.isnotnull)
     return F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("|"), i, F.lit("|"))))

@@ -76,6 +76,23 @@ def test_headers_in_comments(spark, sign):
         assert got == [{w} for w in want]
 
 
+NAMES = [
+    "Neither the name of Foo Inc. nor the names of its contributors may",
+    "Neither the name of the University nor the names of its contributors may",
+    "Neither the name of J. R. Body nor the names of contributors may",
+    "Neither the name of the <organization> nor the\nnames of its contributors may",
+    "The name of the author may not",
+]
+
+
+def test_bsd_with_names(spark):
+    rest = " be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd = [BY_ID[i] for i in ("BSDgrant", "BSDsource", "BSDbinary")]
+    texts = ["\n".join([*bsd, name + rest]) for name in NAMES]
+    texts += ["# " + "\n# ".join((" ".join(bsd) + " " + name + rest).replace(" in ", "\n# in ").split("\n")) for name in NAMES]
+    assert [g[1] for g in scan(spark, texts)] == ["BSD-3-Clause"] * 10
+
+
 def test_notices_keep_what_follows_in_their_line(spark):
     grant = BY_ID["ISCgrant"].split()
     texts = [
