@@ -1,9 +1,9 @@
 """License scans: sentences to known identifiers, sequences of identifiers to licences.
 
-A text is read twice: line by line, and with the lines of each paragraph joined (licence texts are
-often wrapped). Either reading is split into sentences, and sentences are normalised: only
-letters a-z, digits and single spaces are left, so quotes, dashes and comment signs play no part. A normalised
-sentence that is known gives its identifier; a holder's name after "copyright" or in the BSD clause
+The lines of each paragraph are joined (licence texts are often wrapped) and split into sentences. Sentences are
+normalised: only letters a-z, digits and single spaces are left, so quotes, dashes and comment signs play no part. A normalised
+sentence that is known gives its identifier; one that is not is read again line by line, so identifiers of both
+readings stand in the order of the text; a holder's name after "copyright" or in the BSD clause
 about names does not matter. Then the ordered rules run over the identifiers: each rule is a sequence; wherever it
 stands, it is taken out as its licence, and later rules see what is left. Identifiers that no rule
 takes are reported as unmatched.
@@ -117,6 +117,7 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+END, JOINT = "\u0001", "\u0002"  # of a sentence, between two lines of one
 LEAD = r"(conditions|are met):"  # a colon that ends a sentence
 STOP = r"[.!?]+"
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -136,15 +137,6 @@ def normalised(sentence: str) -> str:
     return max((" ".join(re.sub(r"[^a-z0-9]+", " ", part).split()) for part in parts), key=len)
 
 
-def _sentences(text: Column) -> Column:
-    """Normalised sentences in order. A sentence ends at a line break, at . ! or ? before white space, or at a colon by LEAD."""
-    lowered = F.regexp_replace(F.translate(text, UPPER, LOWER), LEAD, "$1.")
-    split = F.regexp_replace(lowered, rf"{STOP}({SPACE})", "\n$1")
-    plain = F.regexp_replace(split, r"[^a-z0-9\n]+", " ")
-    tidy = F.regexp_replace(plain, r" ?\n[ \n]*", "\n")
-    return F.split(F.trim(tidy), "\n")
-
-
 def _any(words: set[str]) -> str:
     return "(?:" + "|".join(sorted(map(re.escape, words)) or ["(?!)"]) + ")"
 
@@ -159,24 +151,44 @@ def _notice(known: dict[str, str]) -> str:
     return rf"(?i)({begins}(?!{reserved})(?![^\n]*[.!?][ \t]+[^A-Za-z0-9\n]*{first}\b)[^\n]*)\n"
 
 
-def _joined(text: Column, known: dict[str, str]) -> Column:
-    """The text with the lines of each paragraph joined; a notice of the holder is a paragraph of its own."""
+def _sentences(text: Column, known: dict[str, str]) -> Column:
+    """Normalised sentences in order, the lines of each joined by JOINT. A sentence ends at the end of a paragraph, at . ! or ?
+    before white space, or at a colon by LEAD; a notice of the holder is a paragraph of its own."""
+    text = F.translate(text, UPPER + END + JOINT, LOWER + "  ")
     for end in (_notice(known), RESERVED):
-        text = F.regexp_replace(text, end, "$1\u0001")
-    text = F.regexp_replace(F.regexp_replace(text, EMPTY, ".\u0001"), WRAP, " ")
-    return F.replace(text, F.lit("\u0001"), F.lit("\n"))
+        text = F.regexp_replace(text, end, "$1" + END)
+    joined = F.regexp_replace(F.regexp_replace(text, EMPTY, END), WRAP, " " + JOINT)
+    lead = LEAD.replace(" ", f"[ {JOINT}]+")
+    split = F.regexp_replace(F.regexp_replace(joined, lead, "$1. "), rf"{STOP}{SPACE}", END)
+    plain = F.regexp_replace(split, f"[^a-z0-9{END}{JOINT}]+", " ")
+    lines = F.regexp_replace(plain, f"[ {JOINT}]*{JOINT}[ {JOINT}]*", JOINT)
+    tidy = F.regexp_replace(lines, f"[ {JOINT}]?{END}[ {END}{JOINT}]*", END)
+    return F.split(F.btrim(tidy, F.lit(f" {END}{JOINT}")), END)
 
 
 def _identifiers(sentences: Column, known: dict[str, str]) -> Column:
-    """Identifiers of the known sentences, each between two bars: |a||b|."""
+    """Identifiers of the known sentences, each between two bars: |a||b|. One that is not known as a
+    whole gives those of its lines, and that of a pattern it ends in."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    reserved, named = (F.lit(i if i in known.values() else None) for i in ("AllRights", "BSDname"))
+    patterns = [(HOLDER, "AllRights"), (NAMED, "BSDname")]
+
+    def exact(sentence: Column) -> Column:
+        return F.concat(F.lit("|"), F.try_element_at(table, sentence), F.lit("|"))
+
+    def by_pattern(sentence: Column) -> Column:
+        own = [F.when(F.rlike(sentence, F.lit(p)), f"|{i}|") for p, i in patterns if i in known.values()]
+        return F.coalesce(*own, F.lit(""))
+
+    def by_lines(sentence: Column) -> Column:
+        inner = F.transform(F.split(sentence, JOINT), lambda line: F.coalesce(exact(line), by_pattern(line)))
+        whole = by_pattern(F.translate(sentence, JOINT, " "))
+        return let(F.concat_ws("", inner), lambda a: let(whole, lambda b: F.when(F.endswith(a, b), a).otherwise(F.concat(a, b))))
 
     def one(sentence: Column) -> Column:
-        return F.coalesce(F.try_element_at(table, sentence), F.when(F.rlike(sentence, F.lit(HOLDER)), reserved), F.when(F.rlike(sentence, F.lit(NAMED)), named))
+        several = F.when(F.contains(sentence, F.lit(JOINT)), by_lines(sentence))
+        return F.coalesce(exact(F.translate(sentence, JOINT, " ")), several, by_pattern(sentence))
 
-    ids = F.filter(F.transform(sentences, one), F.isnotnull)
-    return F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit("|"), i, F.lit("|"))))
+    return F.concat_ws("", F.transform(sentences, one))
 
 
 def _matched(ids: Column, rules: list[tuple[tuple[str, ...], str]]) -> Column:
@@ -200,20 +212,15 @@ def scan(
     """
     known = {normalised(s): i for s, i in sentences.items()}
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = _joined(text, known)
 
-    def facts(by_line: Column, by_paragraph: Column) -> Column:
-        lines, wrapped = _matched(by_line, rules), _matched(by_paragraph, rules)
-        licences = F.array_sort(F.array_distinct(F.regexp_extract_all(F.concat(lines, wrapped), F.lit("<([^>]*)>"), 1)))
-        left = F.array_sort(F.array_distinct(F.regexp_extract_all(lines, F.lit(r"\|([^|]*)\|"), 1)))
+    def facts(ids: Column, matched: Column) -> Column:
+        licences = F.array_sort(F.array_distinct(F.regexp_extract_all(matched, F.lit("<([^>]*)>"), 1)))
+        left = F.array_sort(F.array_distinct(F.regexp_extract_all(matched, F.lit(r"\|([^|]*)\|"), 1)))
         return F.struct(
-            F.array_join(F.regexp_extract_all(by_line, F.lit(r"\|([^|]*)\|"), 1), ",").alias("sentence_ids"),
+            F.array_join(F.regexp_extract_all(ids, F.lit(r"\|([^|]*)\|"), 1), ",").alias("sentence_ids"),
             F.array_join(licences, ",").alias("licences"),
             F.array_join(left, ",").alias("unmatched"),
         )
 
-    both = let(
-        _identifiers(_sentences(text), known),
-        lambda a: let(_identifiers(_sentences(joined), known), lambda b: facts(a, b)),
-    )
-    return docs.withColumn(into, both)
+    found = let(_identifiers(_sentences(text, known), known), lambda ids: let(_matched(ids, rules), lambda m: facts(ids, m)))
+    return docs.withColumn(into, found)

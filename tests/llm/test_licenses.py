@@ -93,6 +93,22 @@ def test_bsd_with_names(spark):
     assert [g[1] for g in scan(spark, texts)] == ["BSD-3-Clause"] * 10
 
 
+@pytest.mark.parametrize("sign", ["", "#"])
+def test_identifiers_of_wrapped_texts(spark, sign):
+    """Both readings give identifiers and left-overs, in the order of the text, a sentence once."""
+    parts = [HEADERS[1][0], ("MITnowarranty",), ("BSDsource", "BSDbinary"), ("MITnotice", "AllRights", "MITnotice")]
+    texts = [wrapped(ids, sign) for ids in parts]
+    texts.append(f"{sign} Released under the MIT License\n{sign} Copyright 2010 Some Body\n{sign} All rights reserved\n{texts[1]}\n{sign} a line\n{BY_ID['BSDgrant']}")
+    texts.append("\n".join(BY_ID[i] for i in HEADERS[2][0][:3]) + "\n" + wrapped(["BSDname"], sign))
+    got = scan(spark, texts)
+    assert got[0] == ("MITgrant,MITnotice,MITnowarranty,MITnoliability", "MIT", "")
+    assert got[1] == ("MITnowarranty", "", "MITnowarranty")
+    assert got[2] == ("BSDsource,BSDbinary", "", "BSDbinary,BSDsource")
+    assert got[3] == ("MITnotice,AllRights,MITnotice", "Proprietary", "MITnotice")
+    assert got[4] == ("MITref,AllRights,MITnowarranty,BSDgrant", "MIT,Proprietary", "BSDgrant,MITnowarranty")
+    assert got[5] == ("BSDgrant,BSDsource,BSDbinary,BSDname", "BSD-3-Clause", "")
+
+
 def test_notices_keep_what_follows_in_their_line(spark):
     grant = BY_ID["ISCgrant"].split()
     texts = [
