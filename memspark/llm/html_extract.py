@@ -35,15 +35,20 @@ BLOCK = frozenset(
     "thead tbody tfoot tr td th ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript iframe object svg math canvas audio video map datalist select button textarea title".split())
+SILENT = frozenset("head script style template noscript iframe object svg canvas audio video map datalist select button textarea title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 SAME_LEVEL = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 KEEPS_P = BLOCK - frozenset("html body dd dt li td th tr tbody thead tfoot caption colgroup legend".split())
 
+# Space or a slash, or a name with or without a value; a quote opens a value only right after "=", elsewhere it is an ordinary character.
+_ATTRIBUTE = (
+    r"[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+    r"(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?+)?+"
+)
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    rf"|<([a-zA-Z][^\s/>]*)((?:{_ATTRIBUTE})*+)(?:>|\Z)",
     re.S,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

@@ -107,6 +107,22 @@ def test_parse(source, blocks):
     assert [" ".join(t.split()) for _, t in H.parse(source).blocks] == blocks
 
 
+@pytest.mark.parametrize(
+    "source, blocks",
+    [
+        ('<p class="a"">First paragraph.</p><p>Second one.</p><p class="b">Third.</p>', ["First paragraph.", "Second one.", "Third."]),
+        ("<article><p>One.</p><img alt=it's><p>Two.</p><p>Three.</p></article>", ["One.", "Two.", "Three."]),
+        ("<a href=/s?q=\"x>a</a> <p \"x>b</p><p ='x>c</p><p a = 'x > y' b=\">\"c>d</p>", ["a", "b", "c", "d"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", ["a x=2 b"]),
+    ],
+)
+def test_quotes_and_formulas(model, source, blocks):
+    """A tag ends where HTML ends it; formulas are text."""
+    assert [t for _, t in H.parse(source).blocks] == blocks
+    inside = f"<article><p>{prose(5, 60)}.</p>{source}<p>{prose(6, 60)}.</p></article>"
+    assert all(block in model.text(inside).split("\n") for block in blocks if block.endswith("."))
+
+
 def test_deep_and_long_pages(model):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert [t for _, t in H.parse(deep).blocks] == ["x"]
