@@ -6,8 +6,8 @@ from the leaves and down from the root; two passes give the exact marginal of ev
 block of text is kept when the marginal of its element is above one half.
 
 The potentials are counted on labelled pages: layouts of ``html_pages`` and a bounded sample of the table's own
-pages whose markup names the article (an ``article`` element; parts such as ``nav`` or ``footer`` inside it do not
-belong to it). Extraction then reads every page whole and alone, in one pass without a shuffle.
+pages whose markup names the article (an ``article`` element; parts such as ``nav`` or ``footer`` inside it, and those
+named as comments, adverts or notices, do not belong to it). Extraction then reads every page whole and alone, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.html_pages import labelled_pages
+from memspark.llm.html_pages import ADVERT, COMMENTS, NOTICE, labelled_pages
 
 SAMPLE = 200  # pages of the table used for the fit, at most
 SMOOTH = 2
@@ -202,6 +202,7 @@ def marked_labels(page: Page) -> list[int]:
 
 
 NOT_ARTICLE = frozenset("nav aside footer form menu".split())
+NOT_ARTICLE_NAMES = {frozenset(_PART.findall(name)) for name in (*COMMENTS, *ADVERT, *NOTICE)}
 
 
 def article_labels(page: Page) -> list[int] | None:
@@ -210,7 +211,8 @@ def article_labels(page: Page) -> list[int] | None:
         return None
     labels: list[int] = []
     for i, tag in enumerate(page.tag):
-        labels.append(1 if tag == "article" else 0 if tag in NOT_ARTICLE or not i else labels[page.parent[i]])
+        other = tag in NOT_ARTICLE or not i or any(name.issubset(page.names[i]) for name in NOT_ARTICLE_NAMES)
+        labels.append(1 if tag == "article" else 0 if other else labels[page.parent[i]])
     return labels
 
 
@@ -293,8 +295,11 @@ def fit(labelled: list[tuple[Page, list[int]]]) -> Model:
 
 
 def train(pages: DataFrame, limit: int = SAMPLE) -> Model:
-    """A model from the built layouts and at most ``limit`` pages of the table, chosen by a hash of the id."""
-    sample = pages.select("page_id", "html").dropna().orderBy(F.md5(F.col("page_id").cast("string")), "page_id").limit(limit)
+    """A model from the built layouts and at most ``limit`` pages of the table, chosen by a hash of the id among those
+    with an article; pages whose text has one article tag only come first."""
+    articles = F.regexp_count("html", F.lit(r"(?i)<article[\s/>]"))
+    usable = pages.select("page_id", "html", articles.alias("articles")).filter("articles > 0 and page_id is not null")
+    sample = usable.orderBy(F.col("articles") > 1, F.md5(F.col("page_id").cast("string")), "page_id").select("html").limit(limit)
     labelled = [(page, marked_labels(page)) for page in map(parse, labelled_pages())]
     for row in sample.collect():
         page = parse(row["html"])

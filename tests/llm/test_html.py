@@ -139,3 +139,23 @@ def test_column_and_training(spark):
     assert sorted((str(r[0]), r[1]) for r in got) == [("1", TEXT), ("2", ""), ("3", ""), ("3", ""), ("4", ""), ("None", TEXT)]
     nothing = spark.createDataFrame([], pages.schema)
     assert nothing.select(H.main_text(F.col("html"), H.train(nothing))).count() == 0
+
+
+@pytest.mark.parametrize("part", ["div class='comments'", "section id='comment-list'", "div class='ad-slot'", "div class='notice'"])
+def test_articles_that_enclose_other_parts(spark, part):
+    """Pages without an article take no place in the sample, and what is named otherwise inside one is no content."""
+    said = lambda i: f"<{part}><p>{prose(i, 40)}.</p><p>{prose(i + 1, 40)}.</p></{part.split()[0]}>"
+    own = lambda i: [prose(i + j, 40) + "." for j in range(2, 6)]
+    body = lambda i: "<article>" + "".join(f"<p>{p}</p>" for p in own(i)) + said(i) + "</article>"
+    rows = [(i, page(body(10 * i))) for i in range(60)] + [(i, page(f"<p>{prose(i, 30)}</p>")) for i in range(60, 400)]
+    model = H.train(spark.createDataFrame(rows, "page_id long, html string"), limit=60)
+    assert model.odds != H.fit([(p, H.marked_labels(p)) for p in map(H.parse, labelled_pages())]).odds
+    assert H.article_labels(H.parse(page(body(0)))).count(1) == 5
+    assert [model.text(page(body(i))) for i in (5000, 6000)] == ["\n".join(own(i)) for i in (5000, 6000)]
+
+
+def test_sample_of_usable_pages(spark):
+    """As if the table had only the pages with an article."""
+    rows = [(i, page(ARTICLE) if i % 9 == 0 else page(f"<p>{prose(i, 30)}</p>")) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert H.train(pages, limit=10) == H.train(pages.filter("page_id % 9 = 0"), limit=10)
