@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memspark.llm import (
     bpe,
     chat,
+    fill_middle,
     fingerprints,
     html_extract,
     jaccard,
@@ -84,6 +85,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,5 +105,6 @@ QUERIES = {
         op8_token_files,
         op9_mix_sources,
         op10_quality_rules,
+        op12_fill_in_middle,
     )
 }

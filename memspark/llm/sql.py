@@ -169,6 +169,31 @@ def _quality_rules() -> str:
     FROM scored, threshold"""
 
 
+FILL_IN_MIDDLE = r"""
+    WITH texts AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+             regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+      FROM documents),
+    drawn AS (
+      SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+      FROM texts),
+    formed AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+      FROM drawn),
+    cut AS (
+      SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS p, coalesce(array_to_string(units[a + 1:b], ''), '') AS m,
+             coalesce(array_to_string(units[b + 1:n], ''), '') AS s
+      FROM formed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                            WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM cut"""
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op3_ngram_jaccard": NGRAM_JACCARD,
@@ -176,4 +201,5 @@ ORACLE: dict[str, str] = {
     "op6_html_text": HTML_TEXT,
     "op9_mix_sources": _mix_sources(),
     "op10_quality_rules": _quality_rules(),
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
 }
