@@ -15,6 +15,7 @@ from memspark.llm import (
     licenses,
     mixing,
     quality,
+    substring_dedup,
     token_counts,
     token_files,
 )
@@ -85,6 +86,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
@@ -105,6 +111,7 @@ QUERIES = {
         op8_token_files,
         op9_mix_sources,
         op10_quality_rules,
+        op11_substring_dedup,
         op12_fill_in_middle,
     )
 }

@@ -169,6 +169,21 @@ def _quality_rules() -> str:
     FROM scored, threshold"""
 
 
+SUBSTRING_DEDUP = rf"""
+    WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+    windows AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts)),
+    earliest AS (SELECT g, min(doc_id) AS first_id FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+    gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN earliest USING (g) WHERE first_id < doc_id),
+    placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
+    kept AS (
+      SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS t
+      FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)"""
+
 FILL_IN_MIDDLE = r"""
     WITH texts AS (
       SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -201,5 +216,6 @@ ORACLE: dict[str, str] = {
     "op6_html_text": HTML_TEXT,
     "op9_mix_sources": _mix_sources(),
     "op10_quality_rules": _quality_rules(),
+    "op11_substring_dedup": SUBSTRING_DEDUP,
     "op12_fill_in_middle": FILL_IN_MIDDLE,
 }
