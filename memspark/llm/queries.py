@@ -10,6 +10,7 @@ from memspark.llm import (
     chat,
     fill_middle,
     fingerprints,
+    hard_negatives,
     html_extract,
     jaccard,
     licenses,
@@ -98,6 +99,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", shifted, hard_negatives.quantised(F.col("embedding")).alias("q"))
+    return hard_negatives.mine(rows, vec_id % 100 == 0, Workspace(spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,5 +121,6 @@ QUERIES = {
         op10_quality_rules,
         op11_substring_dedup,
         op12_fill_in_middle,
+        op13_hard_negatives,
     )
 }

@@ -209,6 +209,26 @@ FILL_IN_MIDDLE = r"""
            sha256(text) AS restored_sha256
     FROM cut"""
 
+HARD_NEGATIVES = """
+    WITH taken AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM taken a JOIN taken b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id,
+           (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op3_ngram_jaccard": NGRAM_JACCARD,
@@ -218,4 +238,5 @@ ORACLE: dict[str, str] = {
     "op10_quality_rules": _quality_rules(),
     "op11_substring_dedup": SUBSTRING_DEDUP,
     "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
