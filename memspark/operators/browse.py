@@ -176,9 +176,18 @@ def browse_many(
     rows here; ``refused`` gives their errors.
     """
     workspace = workspace or Workspace(addresses.sparkSession)
+    asked = workspace.stage(asked_lists(addresses, request_id), "asked")
+    return answered(memories, asked, request_id, workspace)
+
+
+def asked_lists(addresses: DataFrame, request_id: str) -> DataFrame:
+    """(request_id, limit, shelf): one row for every list that a faultless address asks for."""
     asked = parse_addresses(addresses).filter(F.col("error").isNull() & (F.col("view") != "item"))
-    asked = asked.select(request_id, "limit", F.explode(_wanted_shelves()).alias("shelf"))
-    asked = workspace.stage(asked, "asked")
+    return asked.select(request_id, "limit", F.explode(_wanted_shelves()).alias("shelf"))
+
+
+def answered(memories: DataFrame, asked: DataFrame, request_id: str, workspace: Workspace) -> DataFrame:
+    """The rows for ``asked`` (staged) from the records themselves."""
     counts = asked.groupBy("shelf").agg(F.count("*").alias("n"))
 
     # Lists of all records and of a type are cut before the join, as few rows of them are left;
@@ -188,8 +197,13 @@ def browse_many(
     tagged = memories.select(*LIST_ROW, F.explode(_tag_shelves()).alias("shelf"))
     tagged = _newest_by_shelf(tagged.join(counts.select("shelf"), "shelf", "left_semi"))
     newest = workspace.stage(fixed.unionByName(tagged), "newest")
+    return hits(asked, newest, counts, request_id)
+
+
+def hits(asked: DataFrame, newest: DataFrame, counts: DataFrame, request_id: str) -> DataFrame:
+    """Each request takes its own number of rows of the lists it asks for."""
     # A record with several of the wanted tags comes up once per tag: keep one.
-    hits = (
+    met = (
         join_salted(asked, newest, "shelf", counts, [request_id], how="inner")
         .filter(F.col("rank") <= F.col("limit"))
         .drop("shelf", "rank")
@@ -197,7 +211,7 @@ def browse_many(
     )
     window = Window.partitionBy(request_id).orderBy(*newest_first())
     return (
-        hits.withColumn("rank", F.row_number().over(window))
+        met.withColumn("rank", F.row_number().over(window))
         .filter((F.col("rank") <= BROWSE_MAX) & (F.col("rank") <= F.col("limit")))
         .select(request_id, "rank", *LIST_ROW)
     )

@@ -15,8 +15,10 @@ from memspark.functions.canonical import (
 from memspark.functions.lexemes import lexemes as lexemes_of
 from memspark.functions.vectors import l2_normalize, mean_pool, width_ok
 from memspark.operators import browse, merge, shape
+from memspark.operators import known as known_hashes_of
 from memspark.operators.embed import HashingEmbedder, distinct_texts, embed_once
 from memspark.operators.filters import matching
+from memspark.operators.newest import browse_table
 from memspark.operators.search import search, search_many
 from memspark.operators.validate import check_creates, check_lists, check_searches
 from memspark.plans.create import create
@@ -243,6 +245,51 @@ def upsert_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("created_at", "updated_at")}))
 
 
+def _event_table(spark: SparkSession, sf_dir: str, workspace: Workspace) -> MemoryTable:
+    """The events of small value folded into the base, the others pending."""
+    first, second = (merge.fold(half.withColumn("embedding", F.array().cast("array<float>")), hashed=True) for half in _halves(spark, sf_dir))
+    memories = MemoryTable.create(spark, workspace.path("table"), 0, "none")
+    memories.append(first, workspace=workspace)
+    memories.compact()
+    memories.append(second, workspace=workspace)
+    return memories
+
+
+def compact_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in two batches, the second of which is folded into half of the buckets only; ``rewritten`` tells whether
+    the fold rewrote the record's bucket."""
+    memories = _event_table(spark, sf_dir, Workspace(spark))
+    before = memories.state().base
+    memories.compact(buckets=range(memories.buckets // 2))
+    after = memories.state().base
+    changed = [b for b in after if after[b] != before.get(b)]
+    bucket = known_hashes_of.bucket_of(F.col("content_hash"), memories.buckets)
+    rows = memories.read().select(*RECORD, bucket.isin(changed).alias("rewritten"))
+    return flat(rows.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("created_at", "updated_at")}))
+
+
+def known_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of all events: is it stored, when only the events of small value were written?"""
+    workspace = Workspace(spark)
+    first, _ = _halves(spark, sf_dir)
+    memories = MemoryTable.create(spark, workspace.path("table"), 0, "none")
+    memories.append(merge.fold(first, hashed=True).withColumn("embedding", F.array().cast("array<float>")), workspace=workspace)
+    records = workspace.stage(V.event_records(spark, sf_dir), "records")
+    stored = memories.known(records, workspace).stored
+    hashes = records.select("content_hash")
+    if stored is None:
+        return flat(hashes.withColumn("stored", F.lit(False)))
+    return flat(hashes.join(stored.select("content_hash", F.lit(True).alias("s")), "content_hash", "left").select("content_hash", F.coalesce("s", F.lit(False)).alias("stored")))
+
+
+def browse_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of ``browse_many`` answered from the kept lists of the base and a pending batch."""
+    workspace = Workspace(spark)
+    memories = _event_table(spark, sf_dir, workspace)
+    found = browse_table(memories, _event_addresses(spark, sf_dir), workspace=workspace)
+    return found.select("request_id", "rank", "id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 def first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ways to split the same hashed text into type and source: the earlier write names the record."""
     even = F.col("event_id") % 2 == 0
@@ -618,6 +665,8 @@ QUERIES = {
     "dimension_check": dimension_check,
     "upsert_fold": upsert_fold,
     "upsert_incremental": upsert_incremental,
+    "compact_buckets": compact_buckets,
+    "known_hashes": known_hashes,
     "first_writer": first_writer,
     "upsert_returning": upsert_returning,
     "upsert_items": upsert_items,
@@ -634,6 +683,7 @@ QUERIES = {
     "recent_by_tags": recent_by_tags,
     "recent_by_type": recent_by_type,
     "browse_many": browse_many,
+    "browse_lists": browse_lists,
     "browse_rejects": browse_rejects,
     "items_by_address": items_by_address,
     "parse_addresses": parse_addresses,

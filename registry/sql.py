@@ -128,6 +128,27 @@ JSON_TAGS = """'["' || array_to_string(tag_list, '","') || '"]'"""
 
 UPSERT_FOLD = f"WITH {EVENT_RECORDS} SELECT {RECORD} FROM memories"
 
+BROWSE_MANY = f"""
+WITH {EVENT_RECORDS},
+newest AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories),
+asked AS (
+  SELECT event_id, event_type, 'user:' || user_id AS tag, greatest(1, floor(value)::BIGINT % 7) AS limit_rows
+  FROM events WHERE event_type IN ('click', 'error', 'view')),
+per_tag AS (
+  SELECT tag, place FROM (SELECT unnest(tag_list) AS tag, place FROM newest)),
+pairs AS (
+  SELECT event_id, limit_rows, place FROM asked JOIN newest ON event_type = 'view' AND place <= limit_rows
+  UNION
+  SELECT event_id, limit_rows, place FROM asked JOIN (
+    SELECT place, type, row_number() OVER (PARTITION BY type ORDER BY place) AS n FROM newest
+  ) t ON event_type = 'click' AND type = 'click' AND n <= limit_rows
+  UNION
+  SELECT event_id, limit_rows, place FROM asked JOIN (
+    SELECT tag, place, row_number() OVER (PARTITION BY tag ORDER BY place) AS n FROM per_tag
+  ) t ON event_type = 'error' AND (t.tag = asked.tag OR t.tag = 'user:7') AND n <= limit_rows),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place) AS rank FROM pairs)
+SELECT event_id AS request_id, rank, id, created_at FROM ranked JOIN newest USING (place) WHERE rank <= limit_rows"""
+
 CREATED = f"""
 WITH {DOCUMENT_REQUESTS}
 SELECT content_hash, {_uuid("content_hash")} AS id, type, source,
@@ -221,6 +242,15 @@ SELECT label, (pos - 1)::INTEGER AS pos, round(x / sqrt(sum(x * x) OVER (PARTITI
     "dimension_check": "SELECT vec_id, len(embedding) = 64 AS ok FROM embeddings",
     "upsert_fold": UPSERT_FOLD,
     "upsert_incremental": UPSERT_FOLD,
+    "compact_buckets": f"""
+WITH {EVENT_RECORDS},
+late AS (SELECT DISTINCT content_hash FROM writes, (SELECT value, event_id FROM events) e
+         WHERE writes.event_id = e.event_id AND NOT coalesce(value < 50, false)),
+folded AS (SELECT DISTINCT left(content_hash, 1) AS bucket FROM late WHERE left(content_hash, 1) < '8')
+SELECT {RECORD}, left(content_hash, 1) IN (SELECT bucket FROM folded) AS rewritten FROM memories""",
+    "known_hashes": f"""
+WITH {EVENT_WRITES}
+SELECT content_hash, bool_or(confidence < 50 / 500.0) AS stored FROM writes GROUP BY content_hash""",
     "upsert_returning": f"""
 WITH {EVENT_RECORDS}
 SELECT id, type, content, source, tags, confidence, created_at, updated_at FROM memories WHERE type = 'purchase'""",
@@ -270,26 +300,8 @@ WHERE list_has_any(tag_list, ['user:7', 'user:11', 'USER:1']) ORDER BY created_a
     "recent_by_type": f"""
 WITH {EVENT_RECORDS} SELECT {LIST_ROW}, {RANK} FROM memories
 WHERE type = 'error' ORDER BY created_at DESC, id LIMIT 100""",
-    "browse_many": f"""
-WITH {EVENT_RECORDS},
-newest AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories),
-asked AS (
-  SELECT event_id, event_type, 'user:' || user_id AS tag, greatest(1, floor(value)::BIGINT % 7) AS limit_rows
-  FROM events WHERE event_type IN ('click', 'error', 'view')),
-per_tag AS (
-  SELECT tag, place FROM (SELECT unnest(tag_list) AS tag, place FROM newest)),
-pairs AS (
-  SELECT event_id, limit_rows, place FROM asked JOIN newest ON event_type = 'view' AND place <= limit_rows
-  UNION
-  SELECT event_id, limit_rows, place FROM asked JOIN (
-    SELECT place, type, row_number() OVER (PARTITION BY type ORDER BY place) AS n FROM newest
-  ) t ON event_type = 'click' AND type = 'click' AND n <= limit_rows
-  UNION
-  SELECT event_id, limit_rows, place FROM asked JOIN (
-    SELECT tag, place, row_number() OVER (PARTITION BY tag ORDER BY place) AS n FROM per_tag
-  ) t ON event_type = 'error' AND (t.tag = asked.tag OR t.tag = 'user:7') AND n <= limit_rows),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place) AS rank FROM pairs)
-SELECT event_id AS request_id, rank, id, created_at FROM ranked JOIN newest USING (place) WHERE rank <= limit_rows""",
+    "browse_many": BROWSE_MANY,
+    "browse_lists": BROWSE_MANY,
     "items_by_address": f"""
 WITH {EVENT_RECORDS},
 requests AS (
