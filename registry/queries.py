@@ -14,7 +14,7 @@ from memspark.functions.canonical import (
 )
 from memspark.functions.lexemes import lexemes as lexemes_of
 from memspark.functions.vectors import l2_normalize, mean_pool, width_ok
-from memspark.operators import browse, merge, shape
+from memspark.operators import browse, grouped, merge, shape
 from memspark.operators import known as known_hashes_of
 from memspark.operators.embed import HashingEmbedder, distinct_texts, embed_once
 from memspark.operators.filters import matching
@@ -524,6 +524,22 @@ def search_batch_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_many(memories, _self_queries(memories), OPTIONS, block_bytes=256_000)
 
 
+def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_batch`` over vectors grouped around centres, most of which a query may skip."""
+    workspace = Workspace(spark)
+    memories = V.vectors(spark, sf_dir)
+    groups = grouped.VectorGroups.build(memories, DIM, workspace)
+    return grouped.search_grouped(groups, _self_queries(memories), OPTIONS, workspace)
+
+
+def search_grouped_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_batch_filtered`` over small groups."""
+    workspace = Workspace(spark)
+    memories = V.typed_vectors(spark, sf_dir)
+    groups = grouped.VectorGroups.build(memories, DIM, workspace, group=100)
+    return grouped.search_grouped(groups, _filtered_queries(memories), OPTIONS, workspace).drop("tags")
+
+
 def search_by_label_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean vector of every label searches all vectors."""
     memories = V.vectors(spark, sf_dir)
@@ -694,6 +710,8 @@ QUERIES = {
     "search_batch": search_batch,
     "search_batch_filtered": search_batch_filtered,
     "search_batch_passes": search_batch_passes,
+    "search_grouped": search_grouped,
+    "search_grouped_filtered": search_grouped_filtered,
     "search_by_label_mean": search_by_label_mean,
     "search_items": search_items,
     "digest": digest,

@@ -323,6 +323,8 @@ WHERE type = 'en' AND source IN ('src1', 'src2', 'src3') ORDER BY similarity DES
     "search_batch": SELF_SEARCH,
     "search_batch_passes": SELF_SEARCH,
     "search_batch_filtered": f"WITH {FILTERED_HITS} SELECT query_id, rank, id, type, similarity FROM hits",
+    "search_grouped": SELF_SEARCH,
+    "search_grouped_filtered": f"WITH {FILTERED_HITS} SELECT query_id, rank, id, type, similarity FROM hits",
     "search_by_label_mean": f"""
 WITH means AS (
   SELECT label, pos, avg(x::DOUBLE) AS x
