@@ -8,8 +8,8 @@ that may follow the encoding of the bytes before it. The machine gives that last
 A place is a start from which a token may still go on, with what the token before it bars; places move on bytes by
 themselves. A state is the set of open places. Places, states and steps are made when first met and kept, up to
 a bound on their number; beyond it the machine starts afresh, with the same results. A token is
-final as soon as every open place lies behind it, and none lies further back than the longest token. Then
-the tokens are read off from the last one back.
+final as soon as the encodings up to all open places have it; no open place lies further back than the longest
+token, and their encodings soon agree. Every LOOK bytes the tokens that are final are given and forgotten.
 
 Decoder: bytes of tokens go through a UTF-8 state machine that holds back an unfinished character.
 """
@@ -20,6 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from memspark.llm.chunks import Memory, pack_ids
 from memspark.llm.words import slices
 
 STEPS = 150_000  # steps kept by a transducer
+LOOK = 4096  # bytes after which the tokens that are final are read off
 PARTS = 150_000  # parts of texts in each half of what a codec holds
 
 
@@ -165,7 +167,7 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        last, state = [], self.start
+        last, state, look = [], self.start, LOOK
         for byte in data:
             step = state.get(byte)
             if step is None:
@@ -177,11 +179,22 @@ class Transducer:
                 self.made += 1
             state, token = step
             last.append(token)
-            if len(state.places) == 1 and len(last) > 64:  # no earlier place is open: all is decided
-                out += self._chain(last)
-                last.clear()
+            if len(last) >= look:
+                final = self._final(state, last)
+                out += self._chain(last[:final])
+                del last[:final]
+                look = len(last) + LOOK
         return out + self._chain(last)
 
+    def _final(self, state: State, last: list[int]) -> int:
+        """The last place that the encodings up to all open places go through."""
+        ends = {len(last) - len(place.since) for place in state.places}
+        while len(ends) > 1:
+            furthest = max(ends)
+            ends.remove(furthest)
+            ends.add(furthest - len(self.bytes_of[last[furthest - 1]]))
+        return ends.pop()
+
     def _chain(self, last: list[int]) -> list[int]:
         """The tokens that end at the last byte, from the last token at each byte."""
         tokens, at, length = [], len(last), self.bytes_of
@@ -193,19 +206,60 @@ class Transducer:
         return tokens
 
 
+# The letters and numbers that Unicode 16.0 added to Unicode 15.1, as hexadecimal ranges. The patterns of the
+# public vocabularies are read by the tables of Unicode 16.0.
+ADDED = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 "
+    "113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+
+
+@cache
+def members(kind: str) -> np.ndarray:
+    """For each code point whether it is a letter ("L") or a number ("N"); surrogates are neither."""
+    out = np.fromiter((category(chr(c))[0] == kind for c in range(0x110000)), bool, 0x110000)
+    for part in ADDED[kind].split():
+        first, _, last = part.partition("-")
+        out[int(first, 16) : int(last or first, 16) + 1] = True
+    return out
+
+
+def _ranges(inside: np.ndarray) -> str:
+    """The marked code points as the inner part of a character class."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    return "".join(f"\\U{a:08X}-\\U{b - 1:08X}" for a, b in edges.reshape(-1, 2).tolist())
+
+
+@cache
+def compiled(pattern: str) -> regex.Pattern:
+    r"""A pattern whose \p{L} and \p{N} are ``members``, whatever tables the regex package has."""
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind in ADDED:
+        name = rf"\p{{{kind}}}"
+        found = np.zeros(0x110000, bool)
+        found[[ord(c) for c in regex.findall(name, points)]] = True
+        ours = members(kind)
+        more, less = _ranges(ours & ~found), _ranges(found & ~ours)
+        own = f"[{name}--[{less}]]" if less else name
+        pattern = pattern.replace(name, f"[{own}||[{more}]]" if more else own)
+    return regex.compile(pattern, regex.V1)
+
+
 class Codec:
     """Texts to ids and back for one file of ranks and one pattern of pieces."""
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
-        self.pieces = regex.compile(pattern)
+        self.pieces = compiled(pattern)
         self.parts = Memory(lambda parts: [self._part(part) for part in parts], PARTS)
         self.vocabulary = self.transducer.bytes_of
 
     def _part(self, part: str) -> bytes:
         ids: list[int] = []
         word = part[1:] if part[:1] == " " else part
-        # a word, or a word with a comma or full stop, is split by the pattern as follows
+        # a word, or a word with a comma or full stop, is split by the pattern as follows;
+        # what Python knows as letters are letters in the pattern as well
         if word.isalpha():
             pieces = [part]
         elif word[-1:] in (",", ".") and word[:-1].isalpha():

@@ -36,6 +36,50 @@ def test_every_character():
         assert CODEC.encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
+def test_classes_of_every_code_point():
+    """Letters, numbers and white space are those of the library, for each code point."""
+    ranks = {bytes([b]): b for b in range(256)}
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", None)):
+        probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=ranks, special_tokens={})
+        theirs = {c for at in range(0, len(points), 1 << 16) for c in probe.decode(probe.encode_ordinary("".join(points[at : at + (1 << 16)])))}
+        assert set(bpe.compiled(name).findall("".join(points))) == theirs
+        if kind:
+            assert {chr(c) for c in np.flatnonzero(bpe.members(kind))} == theirs
+            assert {c for c in points if c.isalpha()} <= theirs or kind == "N"
+
+
+def test_doubtful_characters_beside_neighbours_that_merge():
+    """Code points that other tables class otherwise, before and after characters with whose bytes theirs merge."""
+    import regex
+
+    odd = [c for k in "LN" for c in regex.findall(rf"\p{{{k}}}", "".join(map(chr, range(0xE000, 0x110000)))) if not bpe.members(k)[ord(c)]]
+    odd += [chr(int(part.partition("-")[0], 16)) for text in bpe.ADDED.values() for part in text.split()]
+    assert len(odd) > 10_000
+    for c in odd[::7] + ["\U00019036"]:
+        text = f"{c}澾 a{c}{c}1 é{c} {c}é\U0001f642{c}"
+        assert CODEC.encode(text).tolist() == LIBRARY.encode_ordinary(text)
+
+
+def test_output_after_bounded_lookahead(monkeypatch):
+    """What is held of a piece stays short, also where a place is always open."""
+    r = random.Random(3)
+    held = []
+    final = bpe.Transducer._final
+
+    def watched(self, state, last):
+        out = final(self, state, last)
+        held.append(len(last) - out)
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "_final", watched)
+    for piece in (b"a" * 60_000, b" " * 30_000, "".join(r.choice("abcdefgh") for _ in range(60_000)).encode(), "é".encode() * 20_000, b"=-" * 20_000):
+        machine = bpe.Transducer(bpe.read_ranks(RANKS))
+        text = piece.decode()
+        assert machine.encode(piece) == tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=machine.ranks, special_tokens={}).encode_ordinary(text)
+    assert held and max(held) < 400
+
+
 def test_long_pieces():
     r = random.Random(1)
     for text in ["ab" * 20_000, "".join(r.choice("abcdefgh") for _ in range(60_000)), " " * 5000 + "x", "é" * 9000]:
