@@ -118,6 +118,7 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END, JOINT = "\u0001", "\u0002"  # of a sentence, between two lines of one
+NOTICE = "\u0003"  # before a copyright notice
 LEAD = r"(conditions|are met):"  # a colon that ends a sentence
 STOP = r"[.!?]+"
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -141,22 +142,37 @@ def _any(words: set[str]) -> str:
     return "(?:" + "|".join(sorted(map(re.escape, words)) or ["(?!)"]) + ")"
 
 
-def _notice(known: dict[str, str]) -> str:
-    """A line with a copyright notice, up to its break. Not one that a known sentence may run through ("the copyright
-    holders", or its beginning after a stop), nor one of a notice that goes on to "rights reserved"."""
+def _notices(text: Column, known: dict[str, str]) -> Column:
+    """``text`` with END instead of the break after each line that holds a copyright notice.
+
+    A notice is not one that a known sentence may run through ("the copyright holders", or its beginning after a stop), nor
+    one that goes on to "rights reserved". Notices are marked first, then each line is looked at from its last
+    stop before the beginning of a known sentence on, so the time grows with the text alone.
+    """
     inner = _any({word for s in known for word in re.findall(r"\bcopyright ([a-z0-9]+)", s)})
     first = _any({s.split(" ")[0] for s in known})
-    begins = rf"(?:\bcopyright\b(?![^A-Za-z0-9]*{inner}\b)|©|\(c\)[ \t]*[12][0-9]{{3}})"
+    begins = rf"(\bcopyright\b(?![^A-Za-z0-9]*{inner}\b)|©|\(c\)[ \t]*[12][0-9]{{3}})"
     reserved = r"[^.!?]{0,400}\brights[^A-Za-z0-9]+reserved\b"
-    return rf"(?i)({begins}(?!{reserved})(?![^\n]*[.!?][ \t]+[^A-Za-z0-9\n]*{first}\b)[^\n]*)\n"
+    marked = F.regexp_replace(text, rf"(?i){begins}(?!{reserved})", f"{NOTICE}$1")
+
+    def closed(line: Column) -> Column:
+        rest = F.regexp_replace(line, rf"(?i)^.*[.!?](?=[ \t]+[^A-Za-z0-9]*{first}\b)", "")
+        return F.when(F.contains(rest, F.lit(NOTICE)), F.concat(line, F.lit(END))).otherwise(F.concat(line, F.lit("\n")))
+
+    def by_lines(marked: Column) -> Column:
+        # the text after the last break has no break behind it
+        lines = F.split(marked, "\n", -1)
+        all_but_last = let(lines, lambda ls: F.concat(F.array_join(F.transform(F.slice(ls, 1, F.size(ls) - 1), closed), ""), F.element_at(ls, -1)))
+        return F.when(F.contains(marked, F.lit(NOTICE)), F.translate(all_but_last, NOTICE, "")).otherwise(marked)
+
+    return let(marked, by_lines)
 
 
 def _sentences(text: Column, known: dict[str, str]) -> Column:
     """Normalised sentences in order, the lines of each joined by JOINT. A sentence ends at the end of a paragraph, at . ! or ?
     before white space, or at a colon by LEAD; a notice of the holder is a paragraph of its own."""
-    text = F.translate(text, UPPER + END + JOINT, LOWER + "  ")
-    for end in (_notice(known), RESERVED):
-        text = F.regexp_replace(text, end, "$1" + END)
+    text = F.translate(text, UPPER + END + JOINT + NOTICE, LOWER + "   ")
+    text = F.regexp_replace(_notices(text, known), RESERVED, "$1" + END)
     joined = F.regexp_replace(F.regexp_replace(text, EMPTY, END), WRAP, " " + JOINT)
     lead = LEAD.replace(" ", f"[ {JOINT}]+")
     split = F.regexp_replace(F.regexp_replace(joined, lead, "$1. "), rf"{STOP}{SPACE}", END)
@@ -170,13 +186,18 @@ def _identifiers(sentences: Column, known: dict[str, str]) -> Column:
     """Identifiers of the known sentences, each between two bars: |a||b|. One that is not known as a
     whole gives those of its lines, and that of a pattern it ends in."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    patterns = [(HOLDER, "AllRights"), (NAMED, "BSDname")]
+    tail = " all rights reserved"
+    patterns = {
+        # HOLDER, asked from its end, as the time of the pattern grows with the square of the number of its first words
+        "AllRights": lambda s: F.endswith(s, F.lit(tail)) & F.rlike(F.left(s, F.char_length(s) - len(tail)), F.lit("(?:^| )copyright ")),
+        "BSDname": lambda s: F.rlike(s, F.lit(NAMED)),
+    }
 
     def exact(sentence: Column) -> Column:
         return F.concat(F.lit("|"), F.try_element_at(table, sentence), F.lit("|"))
 
     def by_pattern(sentence: Column) -> Column:
-        own = [F.when(F.rlike(sentence, F.lit(p)), f"|{i}|") for p, i in patterns if i in known.values()]
+        own = [F.when(fits(sentence), f"|{i}|") for i, fits in patterns.items() if i in known.values()]
         return F.coalesce(*own, F.lit(""))
 
     def by_lines(sentence: Column) -> Column:

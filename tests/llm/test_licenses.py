@@ -142,3 +142,17 @@ def test_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_time_grows_with_the_text(spark):
+    """One long line or sentence with very many notices, and many lines of them."""
+    import time
+
+    texts = ["see copyright of me " * 50_000, "copyright a. " * 50_000, "(c) 2010 x\n" * 50_000, "rights reserved " * 50_000, "copyright x " * 50_000 + "all rights reserved"]
+    took = []
+    for part in (10, 1):
+        rows = spark.createDataFrame([(i, t[: len(t) // part] + "\nAll rights reserved") for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        began = time.time()
+        licenses.scan(rows).collect()
+        took.append(time.time() - began)
+    assert took[1] < 30 and took[1] < 40 * max(took[0], 0.5)
