@@ -167,26 +167,27 @@ def _weights(counts: np.ndarray) -> np.ndarray:
     )
 
 
-def _threshold(scored: list[tuple[float, int]]) -> float:
-    """The cut with the best balanced accuracy; the lowest such cut, so that clean texts stay.
+def _threshold(scored: list[tuple[float, int, int]]) -> float:
+    """The cut with the best balanced accuracy; the lowest such cut, so that clean texts stay. ``scored`` has
+    (score, good or not, number of rows).
 
     Without bad examples it is the lowest good score; without good ones nothing is cut.
     """
-    good = sum(g for _, g in scored)
-    bad = len(scored) - good
+    good = sum(g * n for _, g, n in scored)
+    bad = sum(n for *_, n in scored) - good
     if not good:
         return -math.inf
     scored = sorted(scored)
     best, cut, good_below, bad_below = -1.0, scored[0][0], 0, 0
-    for i, (score, is_good) in enumerate(scored):
+    for i, (score, is_good, n) in enumerate(scored):
         if i and score > scored[i - 1][0]:
             value = (good - good_below) / good + (bad_below / bad if bad else 0)
             if value > best:
                 best, cut = value, (score + scored[i - 1][0]) / 2
         elif not i:
             best, cut = 1.0, score
-        good_below += is_good
-        bad_below += 1 - is_good
+        good_below += is_good * n
+        bad_below += (1 - is_good) * n
     return cut
 
 
@@ -202,8 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     seen = labelled.select("good", _fact_column(F.col("text"), weights).alias("f")).filter(
         ~base_failed(F.col("f.n_words"), F.col("f.n_repeat_words"))
     )
-    rows = seen.select(F.col("f.score") / F.greatest("f.n_grams", F.lit(1)), F.col("good")).collect()
-    return Model(weights, _threshold([(float(s), int(g)) for s, g in rows]))
+    # repeated rows of a labelled id are counted before they are gathered
+    mean = (F.col("f.score") / F.greatest("f.n_grams", F.lit(1))).alias("mean")
+    rows = seen.select(mean, "good").groupBy("mean", "good").count().collect()
+    return Model(weights, _threshold([(float(s), int(g), int(n)) for s, g, n in rows]))
 
 
 def judge(docs: DataFrame, model: Model, into: str = "quality") -> DataFrame:
