@@ -429,6 +429,13 @@ def components_of(docs: DataFrame, space: Workspace, words: int = WORDS, percent
     or white space) has an empty set, is linked with nothing and is its own component. Repeated
     rows and equal texts are one set. An empty table gives an empty result.
     """
+    found = _grouped(docs, space, words, percent)
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, label, component_id) for every row; ``label`` names the component and is null
+    for texts without words."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", "text")
     key = F.xxhash64("text").alias("text_key")
@@ -510,19 +517,30 @@ def components_of(docs: DataFrame, space: Workspace, words: int = WORDS, percent
 
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", label)
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = grouped.join(least, "label").select("node", "component_id")
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(answer, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    answer = grouped.join(least, "label").select("node", "label", "component_id")
+    rows = sets.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
+    return rows.join(answer, "node", "left").drop("node")
 
 
 def keep_first(docs: DataFrame, space: Workspace, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose doc_id is the smallest of their component.
+    """One row of every component, with all columns: the one of the smallest doc_id, rows without doc_id last.
 
-    A row without doc_id stays when nothing with a doc_id is linked with it. Rows that share
-    a doc_id stay or go together: they stay if one of them is the first of its component.
+    Rows that have the same doc_id and text are one document, of which one row stays. Where the smallest doc_id stands for several
+    texts of a component, the one with the smallest hash stays. A text without words is a component of its own.
     """
-    found = components_of(docs, space, words, percent)
-    first = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    kept = space.stage(found.filter(first).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    found = space.stage(_grouped(docs.select("doc_id", "text"), space, words, percent), "grouped")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_key")
+    first = first.unionByName(found.filter("label IS NULL").select("doc_id", "text_key").distinct())
+    kept = space.stage(first.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")), "kept")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.kept_id")) & F.xxhash64("a.text").eqNullSafe(F.col("b.kept_key"))
+    held = docs.alias("a").join(kept.alias("b"), same, "left_semi")
+    repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    repeated = space.stage(repeated, "repeated")
+    if repeated.isEmpty():
+        return held
+    single = held.alias("a").join(repeated.alias("b"), same, "left_anti")
+    several = held.alias("a").join(repeated.alias("b"), same, "left_semi")
+    # one row of each, taken whole; parts combine before the shuffle, so a row that is very often there is no hot key
+    one = several.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.first(F.struct(*[several[c] for c in docs.columns])).alias("row"))
+    return single.unionByName(one.select("row.*"))

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest_llm import make, odd_rows, prose
 
 from memspark.llm import jaccard
@@ -146,4 +147,24 @@ def test_keep_first(spark, space):
     docs = make(spark, rows)
     kept = jaccard.keep_first(docs, space)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
+
+
+def test_keep_first_of_repeated_rows(spark, space):
+    """Rows that come several times stay once; of an id with two texts both stay if nothing smaller is linked with them."""
+    a, b, c, d = (prose(k, 60) for k in (1, 2, 3, 4))
+    near = a + " tail"
+    rows = [(5, a, "x")] * 7 + [(3, near, "x")] * 5 + [(None, a, "y")] * 4 + [(None, c, "y")] * 3 + [(8, b, "x"), (8, d, "x"), (8, d, "x")]
+    rows += [(9, None, "x")] * 3 + [(9, " ", "x"), (None, None, "x"), (None, "", "x"), (None, None, "x")]
+    kept = jaccard.keep_first(make(spark, rows).repartition(4), space)
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert found == sorted([(3, near), (None, c), (8, b), (8, d), (9, None), (9, " "), (None, None), (None, "")], key=repr)
+    assert "taken" in kept.columns
+
+
+def test_keep_first_with_clashing_names(spark, space):
+    names = ["kept_id", "kept_key", "label", "row", "last", "r", "key", "text_key"]
+    docs = make(spark, [(1, prose(1, 50), "a"), (2, prose(1, 50), "a"), (2, prose(1, 50), "a"), (3, "x", "b"), (3, "x", "b")]).drop("key")
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    kept = jaccard.keep_first(docs, space)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
