@@ -22,6 +22,7 @@ from memspark.operators.newest import browse_table
 from memspark.operators.search import search, search_many
 from memspark.operators.validate import check_creates, check_lists, check_searches
 from memspark.plans.create import create
+from memspark.plans.lists import run_lists
 from memspark.plans.search import run_searches
 from memspark.sources.requests import parse_lines, read_lines_stream
 from memspark.sources.results import json_rows
@@ -572,6 +573,36 @@ def list_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.list_digest(V.event_records(spark, sf_dir))
 
 
+def _user_lists(spark: SparkSession, sf_dir: str):
+    """A list request for every user: for the user's and the next user's tag, a tag and a type, a type, everything, or
+    a faulty one."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    kind, user = F.col("user_id") % 20, F.col("user_id").cast("string")
+    own, next_ = F.concat(F.lit("user:"), user), F.concat(F.lit("user:"), (F.col("user_id") + 1).cast("string"))
+    raw = (
+        F.when(kind < 8, F.to_json(F.struct(F.array(own, next_, own).alias("tags"))))
+        .when(kind < 16, F.to_json(F.struct(F.lit(" click").alias("type"), F.array(own).alias("tags"))))
+        .when(kind == 16, F.lit('{"type":"view","tags":[]}'))
+        .when(kind == 17, F.lit("{}"))
+        .when(kind == 18, F.lit('{"tags":["nobody"]}'))
+        .otherwise(F.lit('{"tags":"x"}'))
+    )
+    lines = users.select(F.col("user_id").alias("query_id"), raw.alias("raw"))
+    return run_lists(lines, V.event_records(spark, sf_dir), digest_lines=50)
+
+
+def list_items_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _, _ = _user_lists(spark, sf_dir)
+    return items.select("query_id", "rank", "id", "type", "created_at")
+
+
+def list_digests_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per request and chunk, faulty requests with their error."""
+    _, digests, rejected = _user_lists(spark, sf_dir)
+    errors = rejected.select(F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("chunks"), F.col("error").alias("text"))
+    return digests.unionByName(errors)
+
+
 def resource_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.with_links(V.event_records(spark, sf_dir).select("id"))
 
@@ -716,6 +747,8 @@ QUERIES = {
     "search_items": search_items,
     "digest": digest,
     "list_digest": list_digest,
+    "list_items_many": list_items_many,
+    "list_digests_many": list_digests_many,
     "resource_links": resource_links,
     "full_records": full_records,
     "record_cards": record_cards,

@@ -149,6 +149,20 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place) AS rank FROM pairs)
 SELECT event_id AS request_id, rank, id, created_at FROM ranked JOIN newest USING (place) WHERE rank <= limit_rows"""
 
+LISTS_MANY = f"""
+WITH {EVENT_RECORDS},
+newest AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories),
+asked AS (
+  SELECT user_id AS query_id, user_id % 20 AS kind, 'user:' || user_id AS own, 'user:' || (user_id + 1) AS next_one
+  FROM (SELECT DISTINCT user_id FROM events)),
+hits AS (
+  SELECT query_id, id, type, created_at, tag_list, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank,
+         count(*) OVER (PARTITION BY query_id) AS n
+  FROM asked JOIN newest ON CASE
+    WHEN kind < 8 THEN list_has_any(tag_list, [own, next_one])
+    WHEN kind < 16 THEN type = 'click' AND list_contains(tag_list, own)
+    WHEN kind = 16 THEN type = 'view' ELSE kind = 17 END)"""
+
 CREATED = f"""
 WITH {DOCUMENT_REQUESTS}
 SELECT content_hash, {_uuid("content_hash")} AS id, type, source,
@@ -353,6 +367,17 @@ SELECT query_id, coalesce(text, 'No memories found.') AS text FROM queries LEFT
 WITH {EVENT_RECORDS}
 SELECT 'Found ' || count(*) || ' memories:' AS line FROM memories
 UNION ALL SELECT '• [' || type || '] tags=' || array_to_string(tag_list, ', ') FROM memories""",
+    "list_items_many": f"{LISTS_MANY} SELECT query_id, rank, id, type, created_at FROM hits",
+    "list_digests_many": f"""
+{LISTS_MANY},
+chunks AS (
+  SELECT query_id, (rank - 1) // 50 AS chunk, any_value((n + 49) // 50) AS chunks,
+         CASE WHEN (rank - 1) // 50 = 0 THEN 'Found ' || any_value(n) || ' memories:' || chr(10) ELSE '' END || string_agg(
+           '• [' || type || '] tags=' || array_to_string(tag_list, ', '), chr(10) ORDER BY rank) AS text
+  FROM hits GROUP BY query_id, (rank - 1) // 50)
+SELECT query_id, coalesce(chunk, 0) AS chunk, coalesce(chunks, 1) AS chunks, coalesce(text, 'No memories found.') AS text
+FROM asked LEFT JOIN chunks USING (query_id) WHERE kind < 19
+UNION ALL SELECT NULL, NULL, NULL, 'tags must be an array' FROM asked WHERE kind = 19""",
     "resource_links": f"""
 WITH {EVENT_RECORDS}
 SELECT id, 'mem://item/' || id AS uri, 'memory:' || id AS name, 'Full content for ' || id AS description,
