@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from memspark.operators.filters import matching
 from memspark.operators.newest import browse_table
 from memspark.operators.search import search, search_many
 from memspark.operators.validate import check_creates, check_lists, check_searches
+from memspark.plans.backlog import Retry
 from memspark.plans.create import create
 from memspark.plans.lists import run_lists
 from memspark.plans.search import run_searches
@@ -31,6 +34,7 @@ from memspark.sources.table import MemoryTable
 from memspark.streaming.dedupe import latest, stream_fold, write_changes
 from memspark.streaming.ingest import ingest_stream
 from registry import views as V
+from registry.embedders import Crooked, Down, FirstTimeFailing
 from registry.views import DIM, flat, table
 
 OPTIONS = Options(dim=DIM)
@@ -198,6 +202,21 @@ def embed_once_(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embed_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is embedded although the model fails whenever it meets a text for the first time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    embedded = embed_once(docs, "text", FirstTimeFailing(DIM), OPTIONS, spread_by=["doc_id"], pause=0.0)
+    return embedded.select("doc_id", F.size("embedding").alias("width"), "embed_error")
+
+
+def reject_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the vector of a text cannot be stored: no vector, a wrong width, NaN or infinity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    options = Options(dim=DIM, embed_retries=1)
+    embedded = embed_once(docs, "text", Crooked(DIM), options, spread_by=["doc_id"], pause=0.0, batch=16)
+    return embedded.select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width"), "embed_error")
+
+
 def embed_cls_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First word only, not normalised: one entry per document that has a word."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -649,6 +668,23 @@ def create_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(memories.read().select("content_hash", "id", "type", "source", "tags", "confidence", width))
 
 
+def create_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents while the model fails for half of them, then a batch without lines when it works again: what waited is
+    created as if nothing had happened. ``waiting`` counts what is left."""
+    workspace = Workspace(spark)
+    memories = MemoryTable.create(spark, workspace.path("table"), DIM, HashingEmbedder(DIM).model)
+    lines, retry = V.document_lines(spark, sf_dir), Retry(attempts=3, delay=timedelta(minutes=10))
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    options = Options(dim=DIM, embed_retries=1)
+    create(lines, memories, Down(DIM), options, ts=start, retry=retry, workspace=workspace, pause=0.0, batch=16)
+    for minutes in (5, 15):  # too early, then due
+        create(lines.limit(0), memories, HashingEmbedder(DIM), options, ts=start + timedelta(minutes=minutes), retry=retry, workspace=workspace)
+    rows = memories.read()
+    at = (F.col("created_at") == F.lit(start)).alias("first_time")
+    waiting = F.lit(len(memories.backlog())).alias("waiting")
+    return flat(rows.select("content_hash", "id", "type", "source", "tags", "confidence", F.size("embedding").alias("width"), at, waiting))
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a search request over the table of documents."""
     workspace = Workspace(spark)
@@ -707,6 +743,8 @@ QUERIES = {
     "embed_key": embed_key,
     "embed_distinct": embed_distinct,
     "embed_once": embed_once_,
+    "embed_retry": embed_retry,
+    "reject_vectors": reject_vectors,
     "embed_cls_raw": embed_cls_raw,
     "mean_pool_normalize": mean_pool_normalize,
     "dimension_check": dimension_check,
@@ -755,6 +793,7 @@ QUERIES = {
     "json_lines": json_lines,
     "create_documents": create_documents,
     "create_incremental": create_incremental,
+    "create_retried": create_retried,
     "search_documents": search_documents,
     "stream_upsert": stream_upsert,
     "stream_ingest": stream_ingest,

@@ -397,6 +397,13 @@ WITH {EVENT_RECORDS}
 SELECT '{{"id":"' || id || '","type":"' || type || '","content":' || to_json(content) || ',"tags":' || {JSON_TAGS}
        || '}}' AS value FROM memories""",
     "create_documents": CREATED,
+    "create_retried": f"SELECT *, true AS first_time, 0 AS waiting FROM ({CREATED})",
+    "embed_retry": "SELECT doc_id, 64 AS width, NULL::VARCHAR AS embed_error FROM documents",
+    "reject_vectors": """
+SELECT doc_id, CASE WHEN length(text) % 5 = 4 THEN 64 END AS width,
+       CASE length(text) % 5 WHEN 0 THEN 'Failed to generate embedding after retries' WHEN 1 THEN 'expected 64 dimensions, not 65'
+         WHEN 2 THEN 'NaN not allowed in vector' WHEN 3 THEN 'infinite value not allowed in vector' END AS embed_error
+FROM documents""",
     "search_documents": f"""
 WITH {DOCUMENT_REQUESTS},
 records AS (
