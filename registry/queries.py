@@ -379,6 +379,12 @@ def filter_tags_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.select("id", "type", "tags"))
 
 
+def filter_tags_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tags over a table, half of it pending, of which only buckets with these tags are read."""
+    memories = _event_table(spark, sf_dir, Workspace(spark))
+    return flat(memories.read_tagged(["user:7", "user:11", "user:none"]).select("id", "type", "tags"))
+
+
 def filter_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matching(V.event_records(spark, sf_dir), type="view", tags=["user:7", "user:11"])
     return flat(rows.select("id", "type", "tags"))
@@ -685,6 +691,20 @@ def create_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.select("content_hash", "id", "type", "source", "tags", "confidence", F.size("embedding").alias("width"), at, waiting))
 
 
+def reuse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct document text: is there a stored vector, when two thirds of the documents were created?"""
+    workspace = Workspace(spark)
+    embedder = HashingEmbedder(DIM)
+    memories = MemoryTable.create(spark, workspace.path("table"), DIM, embedder.model)
+    lines = V.document_lines(spark, sf_dir)
+    create(lines.filter("seq % 3 = 1"), memories, embedder, OPTIONS, workspace=workspace)
+    memories.compact()
+    create(lines.filter("seq % 3 = 2"), memories, embedder, OPTIONS, workspace=workspace)
+    keys = V.document_texts(spark, sf_dir).select(embedding_key(F.col("content"), embedder.model).alias("embed_key")).distinct()
+    stored = memories.stored_vectors(keys, workspace).select("embed_key", F.size("embedding").alias("width"))
+    return keys.join(stored, "embed_key", "left")
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a search request over the table of documents."""
     workspace = Workspace(spark)
@@ -760,6 +780,7 @@ QUERIES = {
     "duplicate_hashes": duplicate_hashes,
     "filter_type": filter_type,
     "filter_tags_any": filter_tags_any,
+    "filter_tags_lookup": filter_tags_lookup,
     "filter_both": filter_both,
     "get_by_ids": get_by_ids,
     "list_newest": list_newest,
@@ -794,6 +815,7 @@ QUERIES = {
     "create_documents": create_documents,
     "create_incremental": create_incremental,
     "create_retried": create_retried,
+    "reuse_vectors": reuse_vectors,
     "search_documents": search_documents,
     "stream_upsert": stream_upsert,
     "stream_ingest": stream_ingest,

@@ -288,6 +288,9 @@ WITH {EVENT_WRITES} SELECT content_hash, count(*) AS n FROM writes GROUP BY cont
     "filter_type": f"WITH {EVENT_RECORDS} SELECT id, type, tags FROM memories WHERE type = 'click'",
     "filter_tags_any": f"""
 WITH {EVENT_RECORDS} SELECT id, type, tags FROM memories
+WHERE list_has_any(tag_list, ['user:7', 'user:11', 'user:none'])""",
+    "filter_tags_lookup": f"""
+WITH {EVENT_RECORDS} SELECT id, type, tags FROM memories
 WHERE list_has_any(tag_list, ['user:7', 'user:11', 'user:none'])""",
     "filter_both": f"""
 WITH {EVENT_RECORDS} SELECT id, type, tags FROM memories
@@ -397,6 +400,11 @@ WITH {EVENT_RECORDS}
 SELECT '{{"id":"' || id || '","type":"' || type || '","content":' || to_json(content) || ',"tags":' || {JSON_TAGS}
        || '}}' AS value FROM memories""",
     "create_documents": CREATED,
+    "reuse_vectors": f"""
+WITH {DOCUMENT_REQUESTS}
+SELECT sha256(content) || '::hashed-words-64' AS embed_key,
+       CASE WHEN bool_or(error IS NULL AND doc_id % 3 <> 0) THEN 64 END AS width
+FROM checked GROUP BY content""",
     "create_retried": f"SELECT *, true AS first_time, 0 AS waiting FROM ({CREATED})",
     "embed_retry": "SELECT doc_id, 64 AS width, NULL::VARCHAR AS embed_error FROM documents",
     "reject_vectors": """

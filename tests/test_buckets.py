@@ -219,3 +219,46 @@ def test_batch_that_missed_a_fold_is_not_relied_on(spark, tmp_path):
     assert answers(browse_table(memories, asked)) == answers(browse.browse_many(memories.read(), asked))
     memories.compact()
     assert memories.state().complete and KEPT >= 100
+
+
+def test_rare_tag_reads_few_buckets(spark, tmp_path, monkeypatch):
+    memories = new_table(spark, tmp_path, "a")
+    rows = numbered(0, 600) + [("700", ["rare"], 0, 700), ("701", ["rare", "t1"], 0, 701)]
+    memories.append(batch(spark, rows))
+    memories.compact()
+    memories.append(batch(spark, [("5", ["rare"], 3, 900), ("6", ["t2"], 3, 901), ("1000", ["late"], 3, 902)]))
+    whole = memories.read()
+    opened, scan = set(), MemoryTable._scan
+    monkeypatch.setattr(MemoryTable, "_scan", lambda self, paths: opened.update(paths) or scan(self, paths))
+    for tags, kind, most in ((["rare"], None, 3), (["late", "none"], None, 1), (["none"], None, 0), (["t1", "rare"], "log", 64), ([], "log", 64), (["rare"], "none", 3)):
+        opened.clear()
+        found = sorted(r["content"] for r in memories.read_tagged(tags, kind).collect())
+        want = whole.filter("true" if kind is None else f"type = '{kind}'")
+        want = want.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]))) if tags else want
+        assert found == sorted(r["content"] for r in want.collect())
+        assert len([path for path in opened if path.startswith("base-")]) <= most
+
+
+def test_stored_vectors_without_reading_the_base(spark, tmp_path, monkeypatch):
+    from memspark.functions.canonical import embedding_key
+
+    memories = new_table(spark, tmp_path, "a", 16)
+    memories.append(batch(spark, numbered(0, 200)))
+    memories.compact()
+    memories.append(batch(spark, numbered(190, 220, 2)))
+    space = Workspace(spark)
+
+    def found(a, b):
+        keys = spark.range(a, b).select(embedding_key(F.col("id").cast("string"), "none").alias("embed_key"), "id")
+        got = memories.stored_vectors(keys, space).join(keys, "embed_key").collect()
+        assert all(list(r["embedding"]) == [1.0] for r in got)
+        return sorted(r["id"] for r in got)
+
+    assert found(150, 300) == list(range(150, 220))
+    opened, scan = [], MemoryTable._scan
+    monkeypatch.setattr(MemoryTable, "_scan", lambda self, paths: opened.extend(paths) or scan(self, paths))
+    assert found(5000, 5100) == []
+    assert not any(path.startswith("base-") for path in opened)
+    opened.clear()
+    assert found(17, 18) == [17]
+    assert len([path for path in opened if path.startswith("base-")]) == 1
