@@ -33,6 +33,7 @@ from memspark.sources.scratch import Workspace
 from memspark.sources.table import MemoryTable
 from memspark.streaming.dedupe import latest, stream_fold, write_changes
 from memspark.streaming.ingest import ingest_stream
+from memspark.streaming.keyed import fold_changes, keyed_fold, last_changes
 from registry import views as V
 from registry.embedders import Crooked, Down, FirstTimeFailing
 from registry.views import DIM, flat, table
@@ -730,6 +731,20 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(latest(spark, changes).select(*RECORD))
 
 
+def stream_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of four files, merged in keyed state with a map of tags; the changes are folded."""
+    workspace = Workspace(spark)
+    events = table(spark, sf_dir, "events")
+    source, changes = workspace.path("events"), workspace.path("changes")
+    events.repartition(4, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    write_changes(
+        keyed_fold(V.event_writes(stream)), changes, workspace.path("checkpoint"), available_now=True
+    ).awaitTermination()
+    fold_changes(spark, changes, keep=1)
+    return flat(last_changes(spark, changes).select(*RECORD))
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream of request lines through the create job into the table."""
     workspace = Workspace(spark)
@@ -818,5 +833,6 @@ QUERIES = {
     "reuse_vectors": reuse_vectors,
     "search_documents": search_documents,
     "stream_upsert": stream_upsert,
+    "stream_keyed": stream_keyed,
     "stream_ingest": stream_ingest,
 }

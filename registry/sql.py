@@ -456,6 +456,7 @@ SELECT way, id, similarity FROM ways, (
   SELECT vec_id AS id, {SCORE.format("embedding", "v")} AS similarity
   FROM embeddings, centroid WHERE vec_id % 7 > 3 ORDER BY 2 DESC, 1 LIMIT 50)""",
     "stream_upsert": UPSERT_FOLD,
+    "stream_keyed": UPSERT_FOLD,
     "stream_ingest": f"""
 WITH {EVENT_WRITES}
 SELECT content_hash, min(id) AS id, min(type) AS type, min(content) AS content, min(source) AS source,
