@@ -48,21 +48,46 @@ class _Writer:
         out = []
         for _ in range(self.r.randint(1, 14)):
             kind = self.r.random()
-            if kind < 0.75:
+            if kind < 0.3:
+                out.append(self.short_block())
+            elif kind < 0.8:
                 body = self.prose(1, 6)
                 if self.r.random() < 0.2:
                     body += f" <a href='/{self.word()}'>{self.words(1, 3)}</a> {self.sentence()}"
                 out.append(f"<p>{'<b>' if self.r.random() < 0.1 else ''}{body}" + self.r.choice(["</p>", "</p>", "</p>", ""]))
-            elif kind < 0.83:
+            elif kind < 0.86:
                 out.append(f"<h2>{self.words(1, 8)}</h2>")
-            elif kind < 0.9:
+            elif kind < 0.92:
                 out.append("<ul>" + "".join(f"<li>{self.prose(1, 2)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
-            elif kind < 0.95:
+            elif kind < 0.96:
                 out.append(f"<blockquote><p>{self.prose(1, 3)}</p></blockquote>")
             else:
                 out.append(f"<table><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 6)}</td></tr></table>")
         return out
 
+    def linked(self, text: str) -> str:
+        return f"<a href='/{self.word()}'>{text}</a>"
+
+    def short_block(self) -> str:
+        """What articles hold beside paragraphs: short or linked lines, lists of both, definitions, tables, pictures with a line."""
+        r = self.r
+        item = lambda: self.linked(self.words(1, 6)) if r.random() < 0.5 else self.words(1, 4)
+        kinds = [
+            lambda: f"<p>{self.words(1, 3).capitalize()}.</p>",
+            lambda: f"<p>{self.linked(self.prose(1, 2))}</p>",
+            lambda: f"<p>{self.words(1, 4)}</p>",
+            lambda: "<ul>" + "".join(f"<li>{self.words(1, 3)}</li>" for _ in range(r.randint(1, 5))) + "</ul>",
+            lambda: "<ol>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(1, 6))) + "</ol>",
+            lambda: "<ul>" + "".join(f"<li>{self.linked(self.words(1, 8))}</li>" for _ in range(r.randint(2, 7))) + "</ul>",
+            lambda: "<dl>" + "".join(f"<dt>{self.words(1, 3)}</dt><dd>{self.prose(1, 2)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>",
+            lambda: "<table><tr><th>" + "</th><th>".join(self.word() for _ in range(3)) + "</th></tr>"
+            + "".join("<tr><td>" + "</td><td>".join(self.words(1, 2) for _ in range(3)) + "</td></tr>" for _ in range(r.randint(1, 4))) + "</table>",
+            lambda: f"<figure><img src='/{self.word()}.png'><figcaption>{self.words(2, 12)}</figcaption></figure>",
+            lambda: f"<pre>{self.words(2, 20)}</pre>",
+            lambda: f"<h3>{self.words(1, 4)}</h3>",
+        ]
+        return r.choice(kinds)()
+
     def boilerplate(self) -> str:
         r = self.r
         short = lambda: r.choice([self.sentence(), f"<p>{self.prose(1, 2)}</p>", self.words(2, 12)])
@@ -85,8 +110,10 @@ class _Writer:
         r = self.r
         title = self.words(1, 9).capitalize()
         body = [f"<h1>{title}</h1>", *self.blocks()]
+        if r.random() < 0.2:  # a short article, with a title or without
+            body = body[: r.choice([0, 1])] + [self.short_block() for _ in range(r.randint(1, 4))]
         for _ in range(r.choice([0, 0, 1, 2])):
-            body.insert(r.randint(1, len(body)), self.boilerplate())
+            body.insert(r.randint(min(1, len(body)), len(body)), self.boilerplate())
         if r.random() < 0.2:
             body.append(self.comments())
         inner = "".join(body)
@@ -108,6 +135,6 @@ class _Writer:
         return f"<html><head><title>{title}</title></head><body data-content='0'>{''.join(around)}</body></html>"
 
 
-def labelled_pages(pages: int = 300, seed: int = 1) -> list[str]:
+def labelled_pages(pages: int = 400, seed: int = 1) -> list[str]:
     """Pages with labels in their markup; the same for the same seed."""
     return [_Writer(seed * 1_000_003 + i).page() for i in range(pages)]

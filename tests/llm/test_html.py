@@ -159,3 +159,40 @@ def test_sample_of_usable_pages(spark):
     rows = [(i, page(ARTICLE) if i % 9 == 0 else page(f"<p>{prose(i, 30)}</p>")) for i in range(90)]
     pages = spark.createDataFrame(rows, "page_id long, html string")
     assert H.train(pages, limit=10) == H.train(pages.filter("page_id % 9 = 0"), limit=10)
+
+
+TITLE = "<h1>A title of it</h1><p>" + "Some longer sentence stands here, and goes on for a while. " * 3 + "</p>"
+SHAPES = {
+    "<article><h1>Title</h1><p>Short.</p><ul><li>one</li><li>two</li></ul><p>End.</p></article>": "Title\nShort.\none\ntwo\nEnd.",
+    f"<article>{TITLE}<h2>Sources</h2><ul><li><a href='a'>First source</a></li><li><a href='b'>Second source</a></li></ul></article>"
+    "<footer><ul><li><a href='/'>Home</a></li></ul></footer>": "Sources\nFirst source\nSecond source",
+    f"<article>{TITLE}<dl><dt>Term</dt><dd>What the term is about.</dd></dl><table><tr><th>Head</th><th>Other</th></tr>"
+    "<tr><td>1</td><td>2</td></tr></table></article>": "Term\nWhat the term is about.\nHead\nOther\n1\n2",
+    f"<nav><ul><li><a href='/'>Home</a></li></ul></nav><article>{TITLE}<figure><img><figcaption>A caption</figcaption></figure></article>": "A caption",
+    f"<article>{TITLE}<p><a href='x'>A whole linked paragraph that goes on for some words.</a></p></article>": "A whole linked paragraph that goes on for some words.",
+    "Just a page of plain text.": "Just a page of plain text.",
+    "<html><body>Just text<br>more": "Just text more",
+}
+
+
+def built_model():
+    return H.fit([(page, H.marked_labels(page)) for page in map(H.parse, labelled_pages())])
+
+
+def test_shapes_of_articles():
+    """Short blocks, lists of links, definitions, tables and captions of an article stay."""
+    model = built_model()
+    for page, tail in SHAPES.items():
+        assert model.text(page).endswith(tail), page
+
+
+def test_held_out_blocks():
+    """Recall and precision per block on layouts that the model has not seen."""
+    model, hit, extra, lost = built_model(), 0, 0, 0
+    for page in map(H.parse, labelled_pages(300, seed=9)):
+        labels, chance = H.marked_labels(page), model.marginals(page)
+        for node, _ in page.blocks:
+            hit += labels[node] and chance[node] > 0.5
+            extra += not labels[node] and chance[node] > 0.5
+            lost += labels[node] and chance[node] <= 0.5
+    assert hit / (hit + extra) > 0.95 and hit / (hit + lost) > 0.95
