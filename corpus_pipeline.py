@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest doc_id. Rows without doc_id
-    stay unless they are linked with one that has it; rows that share a doc_id stay together."""
+    """One row of every group of linked documents: that of the smallest doc_id. Rows without doc_id
+    come last; rows with the same doc_id and text are one document."""
     return jaccard.keep_first(docs, Workspace(spark))
 
 
