@@ -3,8 +3,10 @@
 A run of K words is an anchor when the smallest of its inner runs of S words (by hash) stands at
 its start or at its end. Whether it is one depends on its own words alone, so what is common to two
 texts has the same anchors in both, wherever it stands; an edit changes only the anchors it touches.
-A fingerprint lists the anchors of the whole text in order, eight hex digits each. Likeness is the
-number of anchors in both over the number in either.
+A fingerprint lists the anchors of the whole text in order, eight hex digits each. Likeness matches anchors by
+place: the k-th of a kind in one text with the k-th in the other. Matches that follow each other in both texts count as one
+run; where a run ends because what follows stands elsewhere, one match is not counted. So moved blocks cost one match each, a shuffled text is like
+nothing, and a repeated passage counts as often as both texts have it.
 
 Everything is built-in expressions. The neighbour of a document (the next one in falling
 order of id) comes from a window over ranges of ids; the first document of a range finds its
@@ -59,16 +61,45 @@ def as_text(found: Column) -> Column:
     return F.lower(F.array_join(F.transform(found, F.hex), ""))
 
 
+def numbered(found: Column) -> Column:
+    """A key for each anchor, in order: its hash, and how many of the same stand before it. No key comes twice."""
+    places = F.array_sort(F.transform(found, lambda a, i: F.struct(a.alias("anchor"), i.alias("place"))))
+
+    def of_sorted(s: Column) -> Column:
+        def keys(hashes: Column) -> Column:
+            def key(entry: Column, i: Column) -> Column:
+                again = F.get(hashes, i - 1) == entry["anchor"]
+                before = F.when(again, i + 1 - F.array_position(hashes, entry["anchor"])).otherwise(F.lit(0).cast("bigint"))
+                return F.struct(entry["place"].alias("place"), (F.shiftleft(entry["anchor"], 31) + before).alias("key"))
+
+            return F.transform(F.array_sort(F.transform(s, key)), lambda e: e["key"])
+
+        return let(F.transform(s, lambda e: e["anchor"]), keys)
+
+    single = F.transform(found, lambda a: F.shiftleft(a, 31))
+    return F.when(F.size(F.array_distinct(found)) == F.size(found), single).otherwise(let(places, of_sorted))
+
+
 def likeness(one: Column, other: Column) -> Column:
-    """Anchors in both over anchors in either; 1 when neither text has any."""
-    both = F.size(F.array_intersect(one, other))
-    either = F.size(F.array_union(one, other))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    """Matches over keys in either of two texts (``numbered``), less one match for each break in their order;
+    1 when neither text has any."""
+
+    def steps(keys: Column) -> Column:
+        return F.transform(F.slice(keys, 1, F.greatest(F.size(keys) - 1, F.lit(0))), lambda k, i: F.xxhash64(k, F.get(keys, i + 1)))
+
+    def share(here: Column, there: Column) -> Column:
+        both = F.size(here)
+        kept = F.size(F.array_intersect(steps(here), steps(there)))
+        breaks = F.greatest(both - 1 - kept, F.lit(0))
+        either = F.size(one) + F.size(other) - both
+        return F.when(either == 0, F.lit(1.0)).otherwise((both - breaks) / either)
+
+    return let(F.array_intersect(one, other), lambda here: let(F.array_intersect(other, one), lambda there: share(here, there)))
 
 
 def matches(one: Column, other: Column) -> Column:
-    """Anchors of ``one`` that ``other`` has, with their places in both: array of (anchor, place, other_place)."""
-    found = F.transform(one, lambda a, i: F.struct(a.alias("anchor"), i.alias("place"), (F.array_position(other, a) - 1).alias("other_place")))
+    """The matches of two texts (``numbered``) with their places in both: array of (key, place, other_place)."""
+    found = F.transform(one, lambda k, i: F.struct(k.alias("key"), i.alias("place"), (F.array_position(other, k) - 1).alias("other_place")))
     return F.filter(found, lambda m: m["other_place"] >= 0)
 
 
@@ -121,8 +152,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         return F.struct(
             as_text(a).alias("fingerprint"),
             as_text(b).alias("edited_fingerprint"),
-            likeness(a, b).alias("near_edited"),
-            likeness(a, c).alias("near_next"),
+            let(numbered(a), lambda x: F.struct(let(numbered(b), lambda y: likeness(x, y)).alias("e"), let(numbered(c), lambda y: likeness(x, y)).alias("n"))).alias("near"),
         )
 
     value = let(
@@ -130,4 +160,5 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         lambda a: let(anchors(F.col("edited")), lambda b: let(anchors(F.col("next_text")), lambda c: facts(a, b, c))),
     )
     found = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), value.alias("f"))
-    return found.select("doc_id", "n_chars", "edited_sha256", F.inline(F.array("f")))
+    found = found.select("doc_id", "n_chars", "edited_sha256", F.inline(F.array("f")))
+    return found.select(*found.columns[:-1], F.col("near.e").alias("near_edited"), F.col("near.n").alias("near_next"))

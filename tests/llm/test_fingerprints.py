@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -37,8 +38,19 @@ def plain_anchors(text):
 
 
 def like(a, b):
-    a, b = set(a), set(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
+    """The k-th of a kind with the k-th; a match whose follower in one text stands elsewhere in the other breaks the order."""
+    def number(v):
+        seen = Counter()
+        return [(x, seen.update([x]) or seen[x]) for x in v]
+
+    a, b = number(a), number(b)
+    if not a and not b:
+        return 1.0
+    in_a, in_b = set(a), set(b)
+    here, there = [x for x in a if x in in_b], [x for x in b if x in in_a]
+    steps = set(zip(there, there[1:]))
+    breaks = sum(pair not in steps for pair in zip(here, here[1:]))
+    return (len(here) - breaks) / (len(a) + len(b) - len(here))
 
 
 def plain(rows):
@@ -97,7 +109,7 @@ def test_equal_and_edited_texts(spark):
 def test_matches(spark):
     base = prose(5, 100)
     docs = make(spark, [(1, base, "s")]).withColumn("other", F.concat(F.lit(prose(9, 10) + " "), "text"))
-    a, b = fingerprints.anchors(F.col("text")), fingerprints.anchors(F.col("other"))
+    a, b = (fingerprints.numbered(fingerprints.anchors(F.col(c))) for c in ("text", "other"))
     [row] = docs.select(fingerprints.matches(a, b).alias("m"), F.size(a).alias("n")).collect()
     assert len(row["m"]) == row["n"]
     assert len({m["other_place"] - m["place"] for m in row["m"]}) == 1
@@ -107,3 +119,26 @@ def test_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = fingerprints.fingerprint(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_places_and_repeats_count(spark):
+    """Moved blocks, shuffled words and the number of repeats are seen; sets of anchors would not tell them apart."""
+    blocks = [prose(20 + k, 40) for k in range(6)]
+    base = " ".join(blocks)
+    words = base.split()
+    texts = {
+        "same": base,
+        "swapped": " ".join([*blocks[3:], *blocks[:3]]),
+        "reversed": " ".join(blocks[::-1]),
+        "twice": f"{base} {base}",
+        "shuffled": " ".join(" ".join(words[i : i + 8]) for i in range(len(words) - 8, -1, -8)),
+    }
+    docs = make(spark, [(k, t, n) for k, (n, t) in enumerate(texts.items())])
+    own = fingerprints.numbered(fingerprints.anchors(F.lit(base)))
+    other = fingerprints.numbered(fingerprints.anchors(F.col("text")))
+    near = {r["source"]: r["n"] for r in docs.select("source", fingerprints.likeness(own, other).alias("n")).collect()}
+    assert near["same"] == 1.0
+    assert 0.9 < near["swapped"] < 1.0 and near["reversed"] < near["swapped"]
+    assert 0.45 < near["twice"] < 0.55 and near["shuffled"] < 0.5
+    for name, text in texts.items():
+        assert near[name] == like(plain_anchors(base), plain_anchors(text))
