@@ -29,11 +29,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memspark.llm.chunks import Memory, pack_ids
+from memspark.llm.memory import tidy
 from memspark.llm.words import slices
 
 STEPS = 150_000  # steps kept by a transducer
 LOOK = 4096  # bytes after which the tokens that are final are read off
 PARTS = 150_000  # parts of texts in each half of what a codec holds
+SLICE = 2 << 20  # bytes of text that are cut at once, about
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -272,7 +274,7 @@ class Codec:
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, 32 bits each; none for null."""
-        for rows in slices(pa.record_batch([texts], ["text"]), "text"):
+        for rows in slices(pa.record_batch([texts], ["text"]), "text", SLICE):
             ids, starts = self.parts.ids(rows.column(0))
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 yield ids[a:b]
@@ -339,6 +341,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text as an array of ints. Null gives an empty array."""
 
+    @tidy
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for column in texts:
@@ -353,6 +356,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """The text of an array of ids; null gives null."""
 
+    @tidy
     def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for column in columns:
@@ -366,23 +370,26 @@ CODED = DIGEST + ", ids array<int>"
 
 
 def _round_trip(text: Column, path: str, pattern: str, with_ids: bool) -> Column:
+    @tidy
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for column in texts:
-            ids = list(own.encode_all(column))
-            decoded = []
-            for one in ids:
+            counts, encoded, decoded, kept = [], [], [], []
+            for ids in own.encode_all(column):
+                counts.append(len(ids))
+                encoded.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 back = hashlib.sha256()
-                for part in own.decode(one):
+                for part in own.decode(ids):
                     back.update(part.encode())
                 decoded.append(back.hexdigest())
-            counts = np.array([len(i) for i in ids], np.int64)
-            encoded = [hashlib.sha256(i.tobytes()).hexdigest() for i in ids]
-            columns = [pa.array(counts), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    kept.append(ids)
+            columns = [pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+                flat = np.concatenate(kept).view(np.int32) if kept else np.zeros(0, np.int32)
+                kept = []  # the ids are in ``flat``
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 names.append("ids")
             yield pa.StructArray.from_arrays(columns, names)

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.components import components
+from memspark.llm.memory import tidy
 from memspark.llm.words import mix, shingle_sets, slices, utf8
 from memspark.sources.scratch import Workspace
 
@@ -182,6 +183,7 @@ def _sets_column(text, words: int, percent: int):
             schema=_SETS,
         )
 
+    @tidy
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             batch = pa.record_batch([column], ["text"])
@@ -200,6 +202,7 @@ def _entries(docs: DataFrame, words: int, percent: int, buckets: int, hot: np.nd
     tiles keep their whole key, and their bucket follows from the node.
     """
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -241,6 +244,7 @@ def _members(entries: DataFrame, tasks: int) -> DataFrame:
     """(tile, node, weight) of tiles with two nodes or more. Tiles with the same nodes are one
     tile; weight counts them. Hot tiles come as they are."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [], []
         names = ["tile", "node", "weight"]
@@ -293,6 +297,7 @@ def _members(entries: DataFrame, tasks: int) -> DataFrame:
 def _rule_out(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs with sizes and bitmaps that the bitmaps do not rule out."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -313,6 +318,7 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     Up to FEW_PAIRS their nodes are broadcast, so that only the texts in question are shuffled.
     """
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a", 1 << 20):
@@ -378,6 +384,7 @@ def _across(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
         first = np.append(True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))[: len(a)]
         return [c[order][first] for c in columns]
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, more = [], 0
         for batch in batches:

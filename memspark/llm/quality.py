@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.memory import tidy
 from memspark.llm.words import SEPARATOR, Words, slices, utf8
 
 GRAM = 3  # characters
@@ -99,6 +100,7 @@ def facts(texts: pa.Array, weights: np.ndarray) -> list[np.ndarray]:
 
 
 def _fact_column(text: Column, weights: np.ndarray) -> Column:
+    @tidy
     def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             batch = pa.record_batch([column], ["text"])
@@ -133,6 +135,7 @@ def sample_labels(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
 def _count(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """n-grams per bucket over all documents and over the trusted ones: shape (2, BUCKETS)."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
