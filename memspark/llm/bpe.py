@@ -35,7 +35,7 @@ from memspark.llm.words import slices
 STEPS = 150_000  # steps kept by a transducer
 LOOK = 4096  # bytes after which the tokens that are final are read off
 PARTS = 150_000  # parts of texts in each half of what a codec holds
-SLICE = 2 << 20  # bytes of text that are cut at once, about
+SLICE = 4 << 20  # bytes of text that are cut at once, about; words recur in it, so smaller ones take longer
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
