@@ -41,5 +41,6 @@ def components(space: Workspace, links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return labels.coalesce(1) if small else labels
         edges, before = space.stage(_stars(edges, small), "edges"), now

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm.components import components
+from memspark.llm.components import SMALL, components
 from memspark.llm.memory import tidy
 from memspark.llm.words import mix, shingle_sets, slices, utf8
 from memspark.sources.scratch import Workspace
@@ -315,7 +315,7 @@ def _rule_out(pairs: DataFrame, percent: int) -> DataFrame:
 def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: sorted sets are intersected. ``pairs`` is a written table.
 
-    Up to FEW_PAIRS their nodes are broadcast, so that only the texts in question are shuffled.
+    Up to FEW_PAIRS they are broadcast, so that only the texts in question are shuffled.
     """
 
     @tidy
@@ -337,9 +337,8 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    if pairs.count() <= FEW_PAIRS:  # read only the texts in question
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-        texts = texts.join(F.broadcast(wanted.distinct()), "node", "left_semi")
+    if pairs.count() <= FEW_PAIRS:  # only the texts in question are shuffled, once
+        return _both(pairs, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
     with_b = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     with_a = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
@@ -409,6 +408,14 @@ def _across(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
     return found.select("a", "b").distinct()
 
 
+def _both(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
+    """Few ``pairs`` (a, b), which are broadcast, with the ``names`` of both nodes from ``values`` (node, names)."""
+    ends = [F.struct(F.col(x).alias("node"), F.lit(x).alias("end")) for x in "ab"]
+    met = values.join(F.broadcast(pairs.select("a", "b", F.inline(F.array(*ends)))), "node")
+    found = [F.max(F.when(F.col("end") == x, F.col(name))).alias(f"{name}_{x}") for x in "ab" for name in names]
+    return met.groupBy("a", "b").agg(*found)
+
+
 def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
     """Each pair once, as (a, b) with the smaller node first."""
     return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
@@ -470,6 +477,8 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
     lead = F.max_by("node", F.struct("degree", "node")).alias("lead")
     sizes = members.join(degrees, "node").groupBy("tile").agg(lead, F.count("*").alias("members")).filter("members > 1")
     in_tiles = space.stage(members.join(sizes, "tile"), "in_tiles")
+    small = in_tiles.count() <= SMALL
+    in_tiles = in_tiles.coalesce(1) if small else in_tiles
     used = space.stage(in_tiles.select("node").distinct().join(nodes, "node"), "used")
     short = used.select("node", "n", "bitmap")
     left, right = (short.withColumnsRenamed({"node": x, "n": f"n_{x}", "bitmap": f"bitmap_{x}"}) for x in "ab")
@@ -494,7 +503,9 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
         votes = leads.filter("node != lead").groupBy("node", "lead").agg(F.sum("weight").alias("weight"))
         lead = F.max_by("lead", F.struct("weight", -F.col("lead"))).alias("lead")
         pairs = _ordered(votes.groupBy("node").agg(lead), "node", "lead")
-        return space.stage(_rule_out(pairs.join(left, "a").join(right, "b"), percent), "pairs")
+        # of a small table there are at most as many pairs as it has rows
+        both = _both(pairs, short, ["n", "bitmap"]) if small else pairs.join(left, "a").join(right, "b")
+        return space.stage(_rule_out(both, percent), "pairs")
 
     label = F.coalesce("label", "node").alias("label")
 
@@ -505,7 +516,8 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
         pick = F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn)))
         tiles = placed.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), pick.alias("p")).filter("x != y")
         tiles = tiles.select("tile", F.col("p.node").alias("lead"), F.col("p.label").alias("lead_label"))
-        return space.stage(placed.join(tiles, "tile"), "mixed")
+        mixed = space.stage(placed.join(tiles, "tile"), "mixed")
+        return mixed.coalesce(1) if small else mixed
 
     labels, _ = unite(None, held_against(in_tiles))
     for turn in range(TURNS):
