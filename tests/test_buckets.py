@@ -262,3 +262,36 @@ def test_stored_vectors_without_reading_the_base(spark, tmp_path, monkeypatch):
     opened.clear()
     assert found(17, 18) == [17]
     assert len([path for path in opened if path.startswith("base-")]) == 1
+
+
+def test_lists_do_not_carry_the_tags_of_their_records(spark, tmp_path):
+    """A record stands in a list for each of its tags: with all tags in every entry, lists grow with the square of their number."""
+    memories = new_table(spark, tmp_path, "a", 2)
+    memories.append(batch(spark, [(str(i), [f"t{i}-{k}" for k in range(50)], 0, i) for i in range(20)]))
+    memories.compact()
+    state = memories.state()
+    kept = memories.newest(state)
+    assert "tags" not in kept.columns and kept.filter("shelf LIKE 'tag:%'").count() == 20 * 50
+    cards = memories.cards(state).collect()
+    assert len(cards) == 20 and all(len(r["tags"]) == 50 for r in cards)
+    space = Workspace(spark)
+    asked = spark.createDataFrame([(0, "mem://by-tags/t3-7"), (1, "mem://recent?limit=5")], "request_id long, uri string")
+    for found in (browse.browse_many(memories.read(), asked, workspace=space), browse_table(memories, asked, workspace=space)):
+        assert sorted((r["request_id"], len(r["tags"])) for r in found.collect()) == [(0, 50)] + [(1, 50)] * 5
+    for label in ("newest", "placed"):
+        assert "tags" not in spark.read.parquet(f"{space.folder}/{label}-*").columns
+
+
+def test_lists_written_before_there_were_cards(spark, tmp_path):
+    memories = new_table(spark, tmp_path, "a", 2)
+    memories.append(batch(spark, numbered(0, 40)))
+    memories.compact()
+    asked = addresses(spark)
+    expected = answers(browse_table(memories, asked))
+
+    def older(pointer):
+        for entry in pointer["base"].values():
+            del entry["cards"]
+
+    memories._commit(older)
+    assert answers(browse_table(memories, asked)) == expected
