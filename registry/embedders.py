@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from memspark.operators.embed import HashingEmbedder
@@ -12,10 +14,10 @@ class FirstTimeFailing(HashingEmbedder):
 
     def __init__(self, dim: int):
         super().__init__(dim)
-        self.met: set[str] = set()
+        self.met: set[bytes] = set()  # by a short hash: whole texts would be held for as long as the task runs
 
     def encode(self, texts, pooling="mean", normalize=True):
-        new = set(texts) - self.met
+        new = {hashlib.blake2b(repr(text).encode(), digest_size=16).digest() for text in texts} - self.met
         self.met |= new
         if new:
             raise RuntimeError("not ready")

@@ -1,6 +1,7 @@
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from memspark.operators.embed import (
     pool_tokens,
     vector_error,
 )
+from memspark.operators import embed
 from memspark.operators.skew import join_salted
 
 OPTIONS = Options(dim=16, embed_retries=1)
@@ -150,3 +152,30 @@ def test_vector_columns(spark):
     assert means == {1: [2.0, 2.0], 2: [0.0, 0.0]}
     bad = spark.createDataFrame([([1.0],), ([1.0, None],), (None,), ([1.0, 2.0],)], "e array<float>")
     assert [r[0] for r in bad.select(width_ok(F.col("e"), 2)).collect()] == [False, False, False, True]
+
+
+def test_words_are_split_without_compiling_a_pattern_for_each_call(monkeypatch):
+    import pyarrow.compute as pc
+
+    texts = ["Blue paint, 2 tins!", "", None, "\n xéY中١ _a-b", "..."]
+    pieces = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), r"[^\p{L}\p{N}]+").to_pylist()
+    words, rows = embed._words(texts)
+    expected = [(n, word) for n, parts in enumerate(pieces) for word in parts or [] if word]
+    assert list(zip(rows.tolist(), words.to_pylist())) == expected
+
+    def compiled(*args, **how):
+        raise AssertionError("a pattern was compiled")
+
+    for name in ("split_pattern_regex", "match_substring_regex"):
+        monkeypatch.setattr(pc, name, compiled)
+    assert np.allclose(np.linalg.norm(HashingEmbedder(8).encode(["one two"]), axis=1), 1.0)
+
+
+def test_first_time_failing_does_not_hold_texts():
+    from registry.embedders import FirstTimeFailing
+
+    model = FirstTimeFailing(8)
+    with pytest.raises(RuntimeError):
+        model.encode(["x" * 10_000, "y"])
+    assert model.encode(["x" * 10_000, "y"]).shape == (2, 8)
+    assert len(model.met) == 2 and all(len(key) == 16 for key in model.met)
