@@ -16,6 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from memspark.operators.merge import FIRST_WRITER
 
+# Tags of a record in one batch that are asked for one by one; for more, the stored ones are read once.
+FEW_TAGS = 32
 _TIMES = ["created_at", "first_seq", "confidence", "updated_at"]
 
 
@@ -34,7 +36,7 @@ class KeyedMerge(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.value.get() if self.value.exists() else None
         now = dict(zip(self.value_schema.names, before)) if before is not None else None
-        changed, grown = False, False
+        changed, asked = False, set()
         for row in rows:
             if now is None:
                 now, changed = {name: row[name] for name in self.value_schema.names}, True
@@ -46,14 +48,20 @@ class KeyedMerge(StatefulProcessor):
                     if now[name] is None or (row[name] is not None and row[name] > now[name]):
                         changed |= now[name] != row[name]
                         now[name] = row[name]
-            for tag in row["tags"] or []:
-                if not self.tags.containsKey((tag,)):
-                    self.tags.updateValue((tag,), (True,))
-                    grown = True
+            asked.update(row["tags"] or [])
+        # One question costs a round trip to the state store, and the keys come many at a time.
+        stored = None
+        if before is None:
+            stored = set()
+        elif len(asked) > FEW_TAGS:
+            stored = {tag for (tag,) in self.tags.keys()}
+        fresh = asked - stored if stored is not None else {tag for tag in asked if not self.tags.containsKey((tag,))}
+        for tag in fresh:
+            self.tags.updateValue((tag,), (True,))
         if changed:
             self.value.update(tuple(now[name] for name in self.value_schema.names))
-        if changed or grown:
-            tags = sorted(tag for (tag,) in self.tags.keys())
+        if changed or fresh:
+            tags = sorted(stored | fresh if stored is not None else (tag for (tag,) in self.tags.keys()))
             full = {**now, "content_hash": key[0], "tags": tags}
             yield Row(**{name: full[name] for name in self.schema.names})
 

@@ -69,3 +69,52 @@ def test_folding_bounds_the_folders(spark, tmp_path):
     assert sorted(map(str, last_changes(spark, changes).collect())) == want
     with pytest.raises(FileNotFoundError):
         last_changes(spark, str(tmp_path / "none"))
+
+
+def test_many_tags_are_not_asked_for_one_by_one(spark):
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from memspark.streaming.keyed import FEW_TAGS, KeyedMerge
+
+    class State:
+        def __init__(self):
+            self.row, self.held, self.asked, self.written = None, set(), 0, 0
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+        def containsKey(self, tag):
+            self.asked += 1
+            return tag in self.held
+
+        def updateValue(self, tag, value):
+            self.held.add(tag)
+            self.written += 1
+
+        def keys(self):
+            return iter(self.held)
+
+    schema = T._parse_datatype_string("content_hash binary, id string, type string, content string, source string, tags array<string>, confidence double, created_at long, updated_at long, first_seq long")
+    merged = KeyedMerge(schema)
+    merged.value, merged.tags = State(), State()
+
+    def send(first, last):
+        rows = [Row(content_hash=b"h", id="i", type="n", content="c", source="s", tags=[f"t{n:03d}"], confidence=0.5, created_at=1, updated_at=1, first_seq=1) for n in range(first, last)]
+        merged.tags.asked = merged.tags.written = 0
+        out = list(merged.handleInputRows((b"h",), iter(rows), None))
+        return out[0]["tags"] if out else None, merged.tags.asked, merged.tags.written
+
+    many = 3 * FEW_TAGS
+    names = [f"t{n:03d}" for n in range(2 * many)]
+    assert send(0, many) == (names[:many], 0, many)
+    assert send(1, many + 5) == (names[: many + 5], 0, 5)
+    assert send(1, many) == (None, 0, 0)
+    assert send(many + 5, many + 6) == (names[: many + 6], 1, 1)
+    assert send(0, 1) == (None, 1, 0)
