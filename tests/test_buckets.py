@@ -278,7 +278,7 @@ def test_lists_do_not_carry_the_tags_of_their_records(spark, tmp_path):
     asked = spark.createDataFrame([(0, "mem://by-tags/t3-7"), (1, "mem://recent?limit=5")], "request_id long, uri string")
     for found in (browse.browse_many(memories.read(), asked, workspace=space), browse_table(memories, asked, workspace=space)):
         assert sorted((r["request_id"], len(r["tags"])) for r in found.collect()) == [(0, 50)] + [(1, 50)] * 5
-    for label in ("newest", "placed"):
+    for label in ("newest", "met"):
         assert "tags" not in spark.read.parquet(f"{space.folder}/{label}-*").columns
 
 
