@@ -1,10 +1,10 @@
 """Requests for records with very many tags."""
 
 import pytest
-from registry.queries import items_by_address
+from registry.queries import get_by_ids, items_by_address
 
 
-@pytest.mark.parametrize("query", [items_by_address])
+@pytest.mark.parametrize("query", [items_by_address, get_by_ids])
 def test_tags_become_text_once_for_each_record(spark, tmp_path, query):
     """As text next to a request, the tags of a record would be joined again for each of its requests."""
     events = [(i, 7 + i % 40, "view", 1.0, '{"k":1}') for i in range(200)]
