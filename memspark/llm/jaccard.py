@@ -16,7 +16,7 @@ Inside the tiles:
    becomes one component after a number of comparisons that grows with its size, not with the square.
 3. What still shares a tile across components is compared in blocks by bitmaps: first the closest pair of
    every two components is checked, then all pairs that are left. So every pair that
-   shares a tile is in one component or has been compared.
+   shares a tile is in one component or has been compared. The texts of a pair are compared once.
 
 A comparison counts the differing bits of two bitmaps (each shingle flips one bit). That count is at most the
 number of shingles in one set only, so it bounds the overlap from above. Pairs that it does not
@@ -416,6 +416,11 @@ def _both(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
     return met.groupBy("a", "b").agg(*found)
 
 
+def _unchecked(pairs: DataFrame, checked: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that are not among those already ``checked``: what was found apart stays so."""
+    return pairs.join(checked.select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
 def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
     """Each pair once, as (a, b) with the smaller node first."""
     return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
@@ -519,12 +524,15 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
         mixed = space.stage(placed.join(tiles, "tile"), "mixed")
         return mixed.coalesce(1) if small else mixed
 
-    labels, _ = unite(None, held_against(in_tiles))
+    checked = held_against(in_tiles)  # pairs of which the texts were compared
+    labels, _ = unite(None, checked)
     for turn in range(TURNS):
         mixed = mixed_tiles(labels, turn)
         if mixed.isEmpty():
             break
-        labels, share = unite(labels, held_against(mixed.filter("label != lead_label")))
+        pairs = held_against(mixed.filter("label != lead_label"))
+        labels, share = unite(labels, pairs)
+        checked = checked.union(pairs)
         if share < WORTH:
             break
     for best in (True, False):
@@ -532,7 +540,9 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
         if mixed.isEmpty():
             break
         blocks = _blocks(mixed.join(short, "node"), percent)
-        labels, _ = unite(labels, space.stage(_across(blocks, percent, best), "across"))
+        pairs = space.stage(_unchecked(_across(blocks, percent, best), checked), "across")
+        labels, _ = unite(labels, pairs)
+        checked = checked.union(pairs)
 
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", label)
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -168,3 +168,9 @@ def test_keep_first_with_clashing_names(spark, space):
     docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
     kept = jaccard.keep_first(docs, space)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_a_pair_is_checked_once(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    checked = spark.createDataFrame([(1, 3), (1, 3), (3, 2)], "a long, b long")
+    assert sorted(map(tuple, jaccard._unchecked(pairs, checked).collect())) == [(1, 2), (2, 3)]
