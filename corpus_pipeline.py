@@ -4,7 +4,6 @@ predecessor kept, with Parquet between them."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from memspark.llm import bpe, jaccard, mixing, quality
 from memspark.llm.queries import table, vocabulary
@@ -32,8 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every row and what identifies them and their decoding; one row for each row of ``docs``."""
     path, pattern = vocabulary("byte_bpe_50k.tiktoken")
-    coded = docs.select("doc_id", "source", bpe.coded(F.col("text"), path, pattern).alias("coded"))
-    return coded.select("doc_id", "source", "coded.*")
+    return bpe.coded_rows(docs.select("doc_id", "source", "text"), "text", path, pattern)
 
 
 STAGES = [

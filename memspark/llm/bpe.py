@@ -25,8 +25,9 @@ from unicodedata import category
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.llm.chunks import Memory, pack_ids
 from memspark.llm.memory import tidy
@@ -36,6 +37,7 @@ STEPS = 150_000  # steps kept by a transducer
 LOOK = 4096  # bytes after which the tokens that are final are read off
 PARTS = 150_000  # parts of texts in each half of what a codec holds
 SLICE = 4 << 20  # bytes of text that are cut at once, about; words recur in it, so smaller ones take longer
+CODED_SLICE = 2 << 20  # bytes of text whose ids leave a task together, about
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -369,32 +371,27 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODED = DIGEST + ", ids array<int>"
 
 
-def _round_trip(text: Column, path: str, pattern: str, with_ids: bool) -> Column:
-    @tidy
-    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path, pattern)
-        for column in texts:
-            counts, encoded, decoded, kept = [], [], [], []
-            for ids in own.encode_all(column):
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                back = hashlib.sha256()
-                for part in own.decode(ids):
-                    back.update(part.encode())
-                decoded.append(back.hexdigest())
-                if with_ids:
-                    kept.append(ids)
-            columns = [pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                flat = np.concatenate(kept).view(np.int32) if kept else np.zeros(0, np.int32)
-                kept = []  # the ids are in ``flat``
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-                names.append("ids")
-            yield pa.StructArray.from_arrays(columns, names)
-
-    return F.arrow_udf(work, CODED if with_ids else DIGEST).asNondeterministic()(text)
+_CODED = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def _coded(own: Codec, texts: pa.Array, with_ids: bool = True) -> list[pa.Array]:
+    """The columns of CODED, or without the ids those of DIGEST."""
+    counts, encoded, decoded, kept = [], [], [], []
+    for ids in own.encode_all(texts):
+        counts.append(len(ids))
+        encoded.append(hashlib.sha256(ids.tobytes()).hexdigest())
+        back = hashlib.sha256()
+        for part in own.decode(ids):
+            back.update(part.encode())
+        decoded.append(back.hexdigest())
+        if with_ids:
+            kept.append(ids)
+    columns = [pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+    if with_ids:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        flat = np.concatenate(kept).view(np.int32) if kept else np.zeros(0, np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+    return columns
 
 
 def digest(text: Column, path: str, pattern: str) -> Column:
@@ -402,9 +399,42 @@ def digest(text: Column, path: str, pattern: str) -> Column:
 
     Null counts as the empty text. Every row is worked on alone.
     """
-    return _round_trip(text, path, pattern, False)
+
+    @tidy
+    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for column in texts:
+            yield pa.StructArray.from_arrays(_coded(own, column, with_ids=False), _CODED[:3])
+
+    return F.arrow_udf(work, DIGEST).asNondeterministic()(text)
 
 
 def coded(text: Column, path: str, pattern: str) -> Column:
     """``digest`` with the ids themselves: a struct of CODED."""
-    return _round_trip(text, path, pattern, True)
+
+    @tidy
+    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for column in texts:
+            yield pa.StructArray.from_arrays(_coded(own, column), _CODED)
+
+    return F.arrow_udf(work, CODED).asNondeterministic()(text)
+
+
+def coded_rows(rows: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
+    """``rows`` with the columns of ``coded`` in place of ``text``.
+
+    A batch leaves in parts of about CODED_SLICE bytes of text, so neither all its ids nor copies of its rows are held.
+    """
+    others = [f for f in rows.schema.fields if f.name != text]
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            for part in slices(batch, text, CODED_SLICE):
+                columns = [part.column(f.name) for f in others] + _coded(own, part.column(text))
+                yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in others], *_CODED])
+
+    schema = T.StructType([*others, *T.StructType.fromDDL(CODED).fields])
+    return rows.mapInArrow(work, schema)

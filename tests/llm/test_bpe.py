@@ -146,3 +146,13 @@ def test_columns(spark, odd, empty):
 def test_cuts(text):
     joined = [i for part in cut(text) for i in LIBRARY.encode_ordinary(part)]
     assert joined == LIBRARY.encode_ordinary(text)
+
+
+def test_coded_rows_leave_in_parts(spark, monkeypatch):
+    texts = ["Hello, world", None, "", "naïve   text\n\n", "x" * 300] * 4
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").coalesce(1)
+    want = {r["doc_id"]: tuple(r["d"]) for r in rows.select("doc_id", bpe.coded(F.col("text"), RANKS, P.PATTERN).alias("d")).collect()}
+    monkeypatch.setattr(bpe, "CODED_SLICE", 200)
+    found = bpe.coded_rows(rows, "text", RANKS, P.PATTERN)
+    assert found.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert {r["doc_id"]: tuple(r)[2:] for r in found.collect()} == want
