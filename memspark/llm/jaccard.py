@@ -49,6 +49,10 @@ BLOCK = 256  # nodes compared at once
 TURNS = 5  # other leads that are tried, at most
 WORTH = 0.2  # share of similar pairs in a turn from which another one is taken
 FEW_PAIRS = 100_000
+BITMAP_PAIRS = 10_000  # compared by their bitmaps in a task, about
+TEXT_PAIRS = 500  # compared by their texts in a task, about
+BLOCK_ROWS = 5_000  # rows of tiles in a task that compares blocks, about
+BLOCK_PAIRS = 2_000_000  # pairs of nodes that share a tile in such a task, about
 PROBE = 256  # one set in so many shows which parts are hot
 HOT_PARTS = 500
 HOT_LEAST = 50
@@ -337,8 +341,10 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    if pairs.count() <= FEW_PAIRS:  # only the texts in question are shuffled, once
-        return _both(pairs, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    count = pairs.count()
+    if count <= FEW_PAIRS:  # only the texts in question are shuffled, once
+        both = _both(pairs, texts, ["text"], 1 + count // TEXT_PAIRS)
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
     with_b = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     with_a = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
@@ -408,12 +414,13 @@ def _across(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
     return found.select("a", "b").distinct()
 
 
-def _both(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
-    """Few ``pairs`` (a, b), which are broadcast, with the ``names`` of both nodes from ``values`` (node, names)."""
+def _both(pairs: DataFrame, values: DataFrame, names: list[str], tasks: int) -> DataFrame:
+    """Few ``pairs`` (a, b), which are broadcast, with the ``names`` of both nodes from ``values`` (node, names). At most ``tasks``
+    tasks go on with them: a Python process for a few pairs costs more than the pairs."""
     ends = [F.struct(F.col(x).alias("node"), F.lit(x).alias("end")) for x in "ab"]
     met = values.join(F.broadcast(pairs.select("a", "b", F.inline(F.array(*ends)))), "node")
     found = [F.max(F.when(F.col("end") == x, F.col(name))).alias(f"{name}_{x}") for x in "ab" for name in names]
-    return met.groupBy("a", "b").agg(*found)
+    return met.groupBy("a", "b").agg(*found).coalesce(tasks)
 
 
 def _unchecked(pairs: DataFrame, checked: DataFrame) -> DataFrame:
@@ -485,6 +492,7 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
     small = in_tiles.count() <= SMALL
     in_tiles = in_tiles.coalesce(1) if small else in_tiles
     used = space.stage(in_tiles.select("node").distinct().join(nodes, "node"), "used")
+    in_use = used.count()
     short = used.select("node", "n", "bitmap")
     left, right = (short.withColumnsRenamed({"node": x, "n": f"n_{x}", "bitmap": f"bitmap_{x}"}) for x in "ab")
 
@@ -509,7 +517,7 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
         lead = F.max_by("lead", F.struct("weight", -F.col("lead"))).alias("lead")
         pairs = _ordered(votes.groupBy("node").agg(lead), "node", "lead")
         # of a small table there are at most as many pairs as it has rows
-        both = _both(pairs, short, ["n", "bitmap"]) if small else pairs.join(left, "a").join(right, "b")
+        both = _both(pairs, short, ["n", "bitmap"], 1 + in_use // BITMAP_PAIRS) if small else pairs.join(left, "a").join(right, "b")
         return space.stage(_rule_out(both, percent), "pairs")
 
     label = F.coalesce("label", "node").alias("label")
@@ -539,7 +547,9 @@ def _grouped(docs: DataFrame, space: Workspace, words: int, percent: int) -> Dat
         mixed = mixed_tiles(labels, TURNS)
         if mixed.isEmpty():
             break
-        blocks = _blocks(mixed.join(short, "node"), percent)
+        size = mixed.agg(F.count("*").alias("rows"), F.sum("members").alias("pairs")).first()  # a tile counts its members for each
+        tasks = 1 + size["rows"] // BLOCK_ROWS + size["pairs"] // BLOCK_PAIRS
+        blocks = _blocks(mixed.join(short, "node"), percent).coalesce(tasks)
         pairs = space.stage(_unchecked(_across(blocks, percent, best), checked), "across")
         labels, _ = unite(labels, pairs)
         checked = checked.union(pairs)

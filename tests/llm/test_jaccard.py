@@ -3,6 +3,7 @@
 import random
 import re
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from conftest_llm import make, odd_rows, prose
 
 from memspark.llm import jaccard
 from memspark.llm.words import shingle_sets, utf8
+from memspark.sources.scratch import Workspace
 
 import pyarrow as pa
 
@@ -174,3 +176,22 @@ def test_a_pair_is_checked_once(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     checked = spark.createDataFrame([(1, 3), (1, 3), (3, 2)], "a long, b long")
     assert sorted(map(tuple, jaccard._unchecked(pairs, checked).collect())) == [(1, 2), (2, 3)]
+
+
+def test_few_pairs_go_to_few_tasks(spark):
+    """However many partitions a shuffle has: a Python process for every pair or two costs more than the pairs."""
+    texts = [prose(seed, 40) for seed in range(150)]
+    rows = [(i, text, "a") for i, text in enumerate([*texts, *(text + " tail" for text in texts)])]
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    try:
+        space = Workspace(spark)
+        got = result(jaccard.components_of(make(spark, rows), space))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == plain_components(rows)
+    folders = [f for kind in ("pairs", "links") for f in Path(space.folder.removeprefix("file:")).glob(f"{kind}-*")]
+    assert folders and all(len(list(f.glob("part-*"))) == 1 for f in folders)
