@@ -295,3 +295,31 @@ def test_lists_written_before_there_were_cards(spark, tmp_path):
 
     memories._commit(older)
     assert answers(browse_table(memories, asked)) == expected
+
+
+def test_only_asked_columns_go_through_the_merge(spark, tmp_path):
+    """Also with a base, buckets that no batch touches, and several batches."""
+    memories = new_table(spark, tmp_path, "a", 4)
+    memories.append(batch(spark, numbered(0, 60)))
+    columns = ["id", "confidence", "embedding"]
+    for _ in range(2):
+        whole, part = memories.read(), memories.read(columns=columns)
+        assert part.columns == columns
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.select(*columns).collect()))
+        scans = [line for line in plan(part).splitlines() if "ReadSchema" in line]
+        assert scans and not any("content:" in line or "lexemes" in line for line in scans)
+        memories.compact()
+        memories.append(only(spark, batch(spark, numbered(40, 90, 5)), 4, [2]))
+
+
+def test_a_large_batch_has_a_task_for_every_piece_of_a_bucket(spark, tmp_path):
+    memories = new_table(spark, tmp_path, "a", 4)
+    records = batch(spark, numbered(0, 400))
+    small, large = memories._dealt_batch(records, 1000), memories._dealt_batch(records, 4 * (40 << 20))
+    where = F.spark_partition_id().alias("p"), known.bucket_of(F.col("content_hash"), 4).alias("b")
+    held = large.select(*where).distinct().collect()
+    assert len(held) == len({r.p for r in held}) == 12  # no task has two buckets, no bucket one task
+    assert {r.p // 3 == r.b for r in held} == {True}
+    assert sorted(r.b for r in small.select(where[1]).distinct().collect()) == [0, 1, 2, 3]
+    folder = memories.append(records, size=4 * (40 << 20))
+    assert memories.batch(folder).count() == 400 and len(rows_of(memories)) == 400
